@@ -7,7 +7,8 @@
 3. Bands of the signatures put classes into buckets. Each member of a bucket is compared with the
    bucket's smallest member on the full sets (links, not all pairs), and components are formed.
 4. Buckets whose members are then still in several components are compared block by block, on
-   signatures and then on the full sets, so no link between different texts is lost to step 3.
+   signatures, on finer signatures that only their members get, and then on the full sets, so no link
+   between different texts is lost to step 3.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ SHINGLE, PERCENT = 5, 75
 #: 32 bands of 4 slots: a pair at similarity 0.75 meets in none of them once in 200,000 times, and seldom above.
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Step 4: members in a block, and how far (in standard deviations) below the threshold an estimate rules a pair out.
-BLOCK, SIGMAS = 128, 6
+#: Step 4: members in a block; slots of the finer signatures, of which two bits each are kept; and how far (in
+#: standard deviations) below the threshold an estimate rules a pair out.
+BLOCK, FINE_SLOTS, SIGMAS = 128, 1024, 5
 _U = np.uint64
 
 
@@ -71,7 +73,7 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, owners: int, slots: in
     return sig.reshape(owners, slots)
 
 
-def signatures(sets: list[np.ndarray], most: int = 100_000) -> np.ndarray:
+def signatures(sets: list[np.ndarray], most: int = 100_000, slots: int = SLOTS) -> np.ndarray:
     """In steps of about `most` elements."""
     out, at = [], 0
     while at < len(sets):
@@ -79,26 +81,35 @@ def signatures(sets: list[np.ndarray], most: int = 100_000) -> np.ndarray:
         while to < len(sets) and (to == at or held + len(sets[to]) <= most):
             held, to = held + len(sets[to]), to + 1
         sizes = [len(s) for s in sets[at:to]]
-        out.append(superminhash(np.concatenate(sets[at:to]), np.repeat(np.arange(to - at), sizes), to - at))
+        out.append(superminhash(np.concatenate(sets[at:to]), np.repeat(np.arange(to - at), sizes), to - at, slots))
         at = to
-    return np.concatenate(out) if out else np.zeros((0, SLOTS), _U)
+    return np.concatenate(out) if out else np.zeros((0, slots), _U)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(len(sig), BANDS, ROWS)
-    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), (len(sig), BANDS)).copy()
-    for r in range(ROWS):
-        total = mix(total * _U(0x9E3779B97F4A7C15) + rows[:, :, r])
-    return total
+def short(sig: np.ndarray) -> np.ndarray:
+    """Slots as 32-bit numbers; unequal slots stay unequal but for one in four billion."""
+    return (mix(sig) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def fine(sets: list[np.ndarray]) -> list[bytes]:
+    """Two bits of each of FINE_SLOTS slots: half of the bytes have the first bits, the other half the second ones."""
+    sig = mix(signatures(sets, 20_000, FINE_SLOTS))
+    return [np.packbits(np.stack([s & _U(1), s >> _U(1) & _U(1)]).astype(np.uint8), axis=1).tobytes() for s in sig]
+
+
+def in_buckets(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each band, with the columns, band and bucket (a hash of the band's slots)."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)).alias("bucket")))
+    return rows.select(*columns, F.explode(each).alias("at")).select(*columns, "at.band", "at.bucket")
 
 
 def _lists(values: np.ndarray) -> pa.Array:
-    flat = pa.array(np.ascontiguousarray(values).view(np.int64).ravel())
+    flat = pa.array(np.ascontiguousarray(values).ravel())
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1] if values.ndim > 1 else 1), pa.int32()), flat)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Of rows (doc_id, text as binary): doc_id, n_shingles, d1, d2 (a digest of the set), bands."""
+    """Of rows (doc_id, text as binary): doc_id, n_shingles, d1, d2 (a digest of the set), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,9 +118,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts[i:j])
                 n = np.array([len(s) for s in sets], np.int64)
                 d = [np.array([mix(s ^ _U(k)).sum(dtype=_U) for s in sets], _U).view(np.int64) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n), pa.array(d[0]), pa.array(d[1]), _lists(band_keys(signatures(sets)))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n), pa.array(d[0]), pa.array(d[1]), _lists(short(signatures(sets)))], ["doc_id", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -127,6 +138,18 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
+def fine_signatures(docs: DataFrame) -> DataFrame:
+    """Of rows (doc_id, text as binary): id, fine."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for i, j in slices(texts, 1 << 20):
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(fine(shingle_sets(texts[i:j])), pa.binary())], ["id", "fine"])
+
+    return docs.mapInArrow(run, "id long, fine binary")
+
+
 def similar(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return 100 * shared >= PERCENT * (F.size(a) + F.size(b) - shared)
@@ -141,32 +164,48 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(pairs.join(right, "b").join(left, "a").where(similar(F.col("sa"), F.col("sb"))).select("a", "b").distinct(), "links")
 
 
+def floor_at(slots: int, agree: float) -> float:
+    """Equal slots below which a pair at the threshold is not to be expected; agree: how often unequal slots look equal."""
+    p = PERCENT / 100 + (1 - PERCENT / 100) * agree
+    return slots * p - SIGMAS * (slots * p * (1 - p)) ** 0.5
+
+
 def block_pairs(members: DataFrame) -> DataFrame:
     """Candidates (a, b) of different components within each bucket, by blocks of members.
 
-    members: bucket, id, component, bands, n (of the bucket). Members are dealt into ceil(n / BLOCK) blocks
-    by hash; every two blocks of a bucket meet in one group of about 2 * BLOCK rows. Bands stand in for
-    signatures: two members that share a bucket meet in one by definition; only the first shared bucket
-    of a pair counts, so a pair is emitted once.
+    members: bucket, band, id, component, sig, fine, n (of the bucket). Members are dealt into
+    ceil(n / BLOCK) blocks by hash; every two blocks of a bucket meet in one group of about 2 * BLOCK
+    rows. Pairs whose signatures put them SIGMAS deviations below the threshold are ruled out; a pair
+    that meets in several buckets is emitted in the one of its first band.
     """
     spread = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", spread).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    every = dealt.select("bucket", "id", "component", "bands", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = every.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "bands")
+    rest = ["band", "id", "component", "sig", "fine"]
+    every = dealt.select("bucket", *rest, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = every.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
+    least, least_fine = floor_at(SLOTS, 0), floor_at(FINE_SLOTS, 0.25)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket, i, j = int(pdf["bucket"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        band, i, j = int(pdf["band"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         first, second = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        ids1, ids2 = first["id"].to_numpy(), second["id"].to_numpy()
-        if not len(ids1) or not len(ids2):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        b1, b2 = np.stack(first["bands"].to_list()), np.stack(second["bands"].to_list())
-        other = (ids1[:, None] < ids2[None]) | ((ids1[:, None] > ids2[None]) & (i != j))
-        other &= first["component"].to_numpy()[:, None] != second["component"].to_numpy()[None]
-        x, y = np.nonzero(other)
-        shared = b1[x] == b2[y]
-        here = shared.argmax(1) == (b1[x] == bucket).argmax(1)
-        return pd.DataFrame({"a": np.minimum(ids1[x], ids2[y])[here], "b": np.maximum(ids1[x], ids2[y])[here]})
+        found = [np.zeros((0, 2), np.int64)]
+        if len(first) and len(second):
+            ids, others = first["id"].to_numpy(), second["id"].to_numpy()
+            s1, s2 = np.stack(first["sig"].to_list()), np.stack(second["sig"].to_list())
+            f1, f2 = (np.stack([np.frombuffer(x, np.uint64) for x in side["fine"]]).reshape(len(side), 2, -1) for side in (first, second))
+            c1, c2 = first["component"].to_numpy(), second["component"].to_numpy()
+            for k in range(len(ids)):
+                go = np.flatnonzero((c2 != c1[k]) & ((others > ids[k]) if i == j else (others != ids[k])))
+                unlike = f2[go] ^ f1[k]
+                go = go[FINE_SLOTS - np.bitwise_count(unlike[:, 0] | unlike[:, 1]).sum(1, dtype=np.int64) >= least_fine]
+                equal = s2[go] == s1[k]
+                take = equal.sum(1) >= least
+                if band:
+                    take &= ~equal[:, : band * ROWS].reshape(len(go), band, ROWS).all(2).any(1)
+                go = go[take]
+                found.append(np.stack([np.minimum(ids[k], others[go]), np.maximum(ids[k], others[go])], 1))
+        pairs = np.concatenate(found)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return keyed.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -182,15 +221,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     sketched = written(sketches(texts), "sketches")
     some = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    placed = classes.select("id", F.explode("bands").alias("bucket"))
+    classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
+    placed = in_buckets(classes, "id").drop("band")
     pivots = placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("bucket", "pivot")
     shared = placed.join(pivots, "bucket")
     pairs = written(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = verified(pairs, texts)
     labels = written(components(links), "labels")
     rest = unsettled(classes, labels)
-    more = written(block_pairs(rest), "pairs")
+    ids = written(rest.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    finer = written(fine_signatures(texts.join(small(ids), "doc_id", "left_semi")).dropDuplicates(["id"]), "fine")
+    more = written(block_pairs(rest.join(finer, "id")), "pairs")
     if not more.isEmpty():
         links = links.unionByName(verified(more, texts))
         labels = written(components(links), "labels")
@@ -201,8 +242,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def unsettled(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (bucket, id, component, bands, n) of buckets whose members are in several components."""
-    labelled = classes.join(labels, "id", "left").select("id", "bands", F.coalesce("component", "id").alias("component"))
-    placed = labelled.select("id", "component", F.explode("bands").alias("bucket"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("bucket", "n")
-    return labelled.select("id", "component", "bands", F.explode("bands").alias("bucket")).join(open_, "bucket")
+    """Members (bucket, band, id, component, sig, n) of buckets whose members are in several components."""
+    labelled = classes.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("component"))
+    open_ = in_buckets(labelled, "component").groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("bucket", "n")
+    return in_buckets(labelled, "id", "component", "sig").join(open_, "bucket")

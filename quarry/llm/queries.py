@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.license_scan import license_scan
+from quarry.llm.near_dedup import near_dedup
+from quarry.llm.quality import quality
 from quarry.llm.secret_scan import secret_scan
 from quarry.llm.warc import page_archives
 
@@ -20,6 +22,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -60,6 +70,8 @@ FROM g
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_quality": op2_quality,
+        "op3_near_dedup": op3_near_dedup,
         "op5_secret_scan": op5_secret_scan,
         "op8_license_scan": op8_license_scan,
         "op9_warc": op9_warc,
