@@ -112,9 +112,9 @@ def is_space() -> np.ndarray:
     return table
 
 
-def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of data."""
-    space, out, at, n = is_space(), [], 0, len(data)
+def hash_words(data: bytes, space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of data. space: the 256 flags of what parts words, if not ASCII white space."""
+    space, out, at, n = is_space() if space is None else space, [], 0, len(data)
     while at < n:
         end = min(n, at + STEP_BYTES)
         while end < n and not space[data[end]]:  # up to the end of the word
@@ -132,11 +132,11 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes], space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, one after another, and at which word each text begins (one more: the end);
     the joined bytes with the words' starts and ends follow."""
     data = b"\n".join(texts)
-    starts, ends, hashes = hash_words(data)
+    starts, ends, hashes = hash_words(data, space)
     begins = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
     return hashes, np.searchsorted(starts, begins), data, starts, ends
