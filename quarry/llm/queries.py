@@ -11,6 +11,7 @@ from quarry.llm.bpe import byte_bpe
 from quarry.llm.decontaminate import decontaminate
 from quarry.llm.exact_dedup import exact_dedup
 from quarry.llm.license_scan import license_scan
+from quarry.llm.maxent_lm import lm_scores
 from quarry.llm.near_dedup import near_dedup
 from quarry.llm.quality import quality
 from quarry.llm.secret_scan import secret_scan
@@ -33,6 +34,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_quality": op2_quality,
         "op3_near_dedup": op3_near_dedup,
+        "op4_maxent_lm": op4_maxent_lm,
         "op5_secret_scan": op5_secret_scan,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_decontaminate": op7_decontaminate,
