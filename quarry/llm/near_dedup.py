@@ -65,11 +65,12 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, owners: int, slots: in
         np.minimum.at(sig, owner * slots + slot, (_U(j) << _U(32)) | (draw >> _U(32)))
         open_ = (sig.reshape(owners, slots) >= (_U(j + 1) << _U(32))).any(1)  # early stopping, by document
         go = open_[owner]
-        if not go.any():
+        left = int(go.sum())
+        if not left:
             break
-        elements, owner = elements[go], owner[go]
-        perm = perm[go] if perm is not None else None
-        picked = picked[go]
+        if perm is None or left < len(go) // 2:  # elements of documents that have stopped do no harm, but cost time
+            elements, owner, picked = elements[go], owner[go], picked[go]
+            perm = perm[go] if perm is not None else None
     return sig.reshape(owners, slots)
 
 
@@ -86,9 +87,13 @@ def signatures(sets: list[np.ndarray], most: int = 100_000, slots: int = SLOTS)
     return np.concatenate(out) if out else np.zeros((0, slots), _U)
 
 
-def short(sig: np.ndarray) -> np.ndarray:
-    """Slots as 32-bit numbers; unequal slots stay unequal but for one in four billion."""
-    return (mix(sig) & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band of each signature."""
+    rows = sig.reshape(len(sig), BANDS, ROWS)
+    total = np.broadcast_to(np.arange(1, BANDS + 1, dtype=_U), (len(sig), BANDS)).copy()
+    for r in range(ROWS):
+        total = mix(total * _U(0x9E3779B97F4A7C15) + rows[:, :, r])
+    return total.view(np.int64)
 
 
 def fine(sets: list[np.ndarray]) -> list[bytes]:
@@ -97,19 +102,13 @@ def fine(sets: list[np.ndarray]) -> list[bytes]:
     return [np.packbits(np.stack([s & _U(1), s >> _U(1) & _U(1)]).astype(np.uint8), axis=1).tobytes() for s in sig]
 
 
-def in_buckets(rows: DataFrame, *columns: str) -> DataFrame:
-    """A row for each band, with the columns, band and bucket (a hash of the band's slots)."""
-    each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)).alias("bucket")))
-    return rows.select(*columns, F.explode(each).alias("at")).select(*columns, "at.band", "at.bucket")
-
-
 def _lists(values: np.ndarray) -> pa.Array:
     flat = pa.array(np.ascontiguousarray(values).ravel())
     return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1] if values.ndim > 1 else 1), pa.int32()), flat)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Of rows (doc_id, text as binary): doc_id, n_shingles, d1, d2 (a digest of the set), sig."""
+    """Of rows (doc_id, text as binary): doc_id, n_shingles, d1, d2 (a digest of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,9 +117,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts[i:j])
                 n = np.array([len(s) for s in sets], np.int64)
                 d = [np.array([mix(s ^ _U(k)).sum(dtype=_U) for s in sets], _U).view(np.int64) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n), pa.array(d[0]), pa.array(d[1]), _lists(short(signatures(sets)))], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n), pa.array(d[0]), pa.array(d[1]), _lists(band_keys(signatures(sets)))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -139,15 +138,16 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def fine_signatures(docs: DataFrame) -> DataFrame:
-    """Of rows (doc_id, text as binary): id, fine."""
+    """Of rows (doc_id, text as binary): id, bands, fine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in slices(texts, 1 << 20):
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(fine(shingle_sets(texts[i:j])), pa.binary())], ["id", "fine"])
+                sets = shingle_sets(texts[i:j])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], _lists(band_keys(signatures(sets))), pa.array(fine(sets), pa.binary())], ["id", "bands", "fine"])
 
-    return docs.mapInArrow(run, "id long, fine binary")
+    return docs.mapInArrow(run, "id long, bands array<long>, fine binary")
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -173,36 +173,33 @@ def floor_at(slots: int, agree: float) -> float:
 def block_pairs(members: DataFrame) -> DataFrame:
     """Candidates (a, b) of different components within each bucket, by blocks of members.
 
-    members: bucket, band, id, component, sig, fine, n (of the bucket). Members are dealt into
-    ceil(n / BLOCK) blocks by hash; every two blocks of a bucket meet in one group of about 2 * BLOCK
-    rows. Pairs whose signatures put them SIGMAS deviations below the threshold are ruled out; a pair
-    that meets in several buckets is emitted in the one of its first band.
+    members: bucket, id, component, bands, fine, n (of the bucket). Members are dealt into ceil(n / BLOCK)
+    blocks by hash; every two blocks of a bucket meet in one group of about 2 * BLOCK rows. Pairs whose
+    signatures put them SIGMAS deviations below the threshold are ruled out; a pair that meets in several
+    buckets is emitted in the one of its first band.
     """
     spread = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", spread).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    rest = ["band", "id", "component", "sig", "fine"]
+    rest = ["id", "component", "bands", "fine"]
     every = dealt.select("bucket", *rest, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = every.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
-    least, least_fine = floor_at(SLOTS, 0), floor_at(FINE_SLOTS, 0.25)
+    least = floor_at(FINE_SLOTS, 0.25)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        band, i, j = int(pdf["band"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        bucket, i, j = int(pdf["bucket"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         first, second = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
         found = [np.zeros((0, 2), np.int64)]
         if len(first) and len(second):
             ids, others = first["id"].to_numpy(), second["id"].to_numpy()
-            s1, s2 = np.stack(first["sig"].to_list()), np.stack(second["sig"].to_list())
+            b1, b2 = np.stack(first["bands"].to_list()), np.stack(second["bands"].to_list())
             f1, f2 = (np.stack([np.frombuffer(x, np.uint64) for x in side["fine"]]).reshape(len(side), 2, -1) for side in (first, second))
             c1, c2 = first["component"].to_numpy(), second["component"].to_numpy()
+            band = int((b1[0] == bucket).argmax())
             for k in range(len(ids)):
                 go = np.flatnonzero((c2 != c1[k]) & ((others > ids[k]) if i == j else (others != ids[k])))
                 unlike = f2[go] ^ f1[k]
-                go = go[FINE_SLOTS - np.bitwise_count(unlike[:, 0] | unlike[:, 1]).sum(1, dtype=np.int64) >= least_fine]
-                equal = s2[go] == s1[k]
-                take = equal.sum(1) >= least
-                if band:
-                    take &= ~equal[:, : band * ROWS].reshape(len(go), band, ROWS).all(2).any(1)
-                go = go[take]
+                go = go[FINE_SLOTS - np.bitwise_count(unlike[:, 0] | unlike[:, 1]).sum(1, dtype=np.int64) >= least]
+                go = go[~(b2[go, :band] == b1[k, :band]).any(1)]
                 found.append(np.stack([np.minimum(ids[k], others[go]), np.maximum(ids[k], others[go])], 1))
         pairs = np.concatenate(found)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -221,17 +218,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     sketched = written(sketches(texts), "sketches")
     some = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    placed = in_buckets(classes, "id").drop("band")
+    classes = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    placed = classes.select("id", F.explode("bands").alias("bucket"))
     pivots = placed.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("bucket", "pivot")
-    shared = placed.join(pivots, "bucket")
+    shared = written(placed.join(pivots, "bucket"), "shared")  # buckets of two classes or more
     pairs = written(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = verified(pairs, texts)
     labels = written(components(links), "labels")
-    rest = unsettled(classes, labels)
+    rest = written(unsettled(shared, labels), "unsettled")
     ids = written(rest.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    finer = written(fine_signatures(texts.join(small(ids), "doc_id", "left_semi")).dropDuplicates(["id"]), "fine")
-    more = written(block_pairs(rest.join(finer, "id")), "pairs")
+    finer = fine_signatures(texts.join(small(ids), "doc_id", "left_semi")).dropDuplicates(["id"])
+    more = written(block_pairs(rest.join(written(finer, "fine"), "id")), "pairs")
     if not more.isEmpty():
         links = links.unionByName(verified(more, texts))
         labels = written(components(links), "labels")
@@ -241,8 +238,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return sketched.select("doc_id", "n_shingles", "d1", "d2").join(small(known), ["d1", "d2"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def unsettled(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (bucket, band, id, component, sig, n) of buckets whose members are in several components."""
-    labelled = classes.join(labels, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("component"))
-    open_ = in_buckets(labelled, "component").groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("bucket", "n")
-    return in_buckets(labelled, "id", "component", "sig").join(open_, "bucket")
+def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, id, component, n) of buckets whose members are in several components."""
+    placed = shared.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("bucket", "n")
+    return placed.join(open_, "bucket")
