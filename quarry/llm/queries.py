@@ -15,6 +15,7 @@ from quarry.llm.maxent_lm import lm_scores
 from quarry.llm.near_dedup import near_dedup
 from quarry.llm.quality import quality
 from quarry.llm.secret_scan import secret_scan
+from quarry.llm.suffix_dedup import suffix_dedup
 from quarry.llm.warc import page_archives
 
 
@@ -58,6 +59,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_archives(table(spark, sf_dir, "pages")).drop("archive", "offset")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": op7_decontaminate,
         "op8_license_scan": op8_license_scan,
         "op9_warc": op9_warc,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
