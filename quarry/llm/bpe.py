@@ -240,7 +240,11 @@ def reassemble(parts: DataFrame, streams: DataFrame, table: list[bytes], with_id
                 at += n
                 each = own.tolist()
                 got = (doc_id, int(sizes[own].sum()), hashlib.sha256(b" ".join([text[w] for w in each])).hexdigest(), hashlib.sha256(b"".join([raw[w] for w in each])).hexdigest())
-                out.append((*got, np.array([i for w in each for i in listed[w]], np.int32)) if with_ids else got)
+                if with_ids:
+                    size = sizes[own]
+                    place = np.repeat(ends[own] - size - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    got = (*got, flat[place].astype(np.int32))
+                out.append(got)
         result = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
         return result.astype({"doc_id": "Int64"})
 

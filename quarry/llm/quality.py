@@ -159,15 +159,31 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     THRESHOLD on. An empty table gives an empty result; other columns are not read.
     """
     out = F.coalesce(held_out("doc_id", HELD_OUT_OF, 0), F.lit(True))
+    score = scorer(fitted(docs, labels, id_col, text_col, label_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(text_or_empty(text_col).cast("binary")).alias("score"))
+    return rows.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
+    """Weights learned from the labels that are not held out."""
+    out = F.coalesce(held_out("doc_id", HELD_OUT_OF, 0), F.lit(True))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("quality"))
-    weights = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), known.where(~out), label_col="quality")
+    return train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), known.where(~out), label_col="quality")
+
+
+def scorer(weights: np.ndarray):
+    """A column function from texts as binary to scores; other columns stay in the JVM."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        listed = texts.to_list()
+        got = [scores([bytes(t) for t in listed[i:j]], weights) for i, j in slices(listed, 1 << 20)]
+        return pd.Series(np.concatenate(got) if got else np.zeros(0))
+
+    return score
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            got = [scores(texts[i:j], weights) for i, j in slices(texts, 1 << 20)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(got) if got else np.zeros(0))], ["doc_id", "held_out", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    scored = rows.select("doc_id", out.alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """docs, with all their columns, without the rows that score below THRESHOLD."""
+    score = scorer(fitted(docs, labels, id_col, text_col, label_col))
+    return docs.where(score(text_or_empty(text_col).cast("binary")) >= THRESHOLD)
