@@ -26,13 +26,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shuffle_partitions, text_or_empty
+from quarry.llm.common import release, shuffle_partitions, text_or_empty
 
-BLOCK_BYTES = 16 << 20
+#: Characters of a block; fewer where the ids are wanted too, which take more memory.
+BLOCK_BYTES, BLOCK_BYTES_WITH_IDS = 16 << 20, 6 << 20
 #: Texts of more characters are matched piece by piece, without a list of all pre-tokens.
 LONG_TEXT = 4 << 20
 #: Words of more bytes are merged with a heap.
@@ -96,66 +98,68 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Numbers below 2^32, byte planes apart, deflated."""
+    """Numbers below 2^32, byte planes apart, compressed."""
     planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zlib.compress(planes.tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def pack_strings(words: list[bytes]) -> bytes:
     sizes = pack(np.fromiter(map(len, words), np.int64, len(words)))
-    return len(sizes).to_bytes(4, "little") + sizes + zlib.compress(b"".join(words), 1)
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.ZstdCompressor(level=1).compress(b"".join(words))
 
 
 def unpack_strings(data: bytes) -> list[bytes]:
     n = int.from_bytes(data[:4], "little")
     ends = np.cumsum(unpack(data[4 : 4 + n]).astype(np.int64))
-    whole = zlib.decompress(data[4 + n :])
+    whole = zstandard.ZstdDecompressor().decompress(data[4 + n :])
     return [whole[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(ends) else []
 
 
 class Block:
     """Texts in a row whose pre-tokens share a numbering."""
 
-    def __init__(self):
-        self.numbers: dict[str, int] = defaultdict()
+    def __init__(self, pattern):
+        self.pattern, self.numbers = pattern, defaultdict()
         self.numbers.default_factory = self.numbers.__len__
         self.ids, self.sizes, self.stream, self.bytes = [], [], array("I"), 0
 
-    def add(self, doc_id, text: str, pattern) -> None:
+    def add(self, doc_id, text: str) -> None:
         before = len(self.stream)
-        found = pattern.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in pattern.finditer(text))
+        found = self.pattern.findall(text) if len(text) <= LONG_TEXT else (m[0] for m in self.pattern.finditer(text))
         self.stream.extend(map(self.numbers.__getitem__, found))
         self.ids.append(doc_id)
         self.sizes.append(len(self.stream) - before)
         self.bytes += len(text)
 
     def ordered(self, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words by bucket, then bytes; each one's bucket; and the place of every number in that order."""
+        """The words by bucket, then number; each one's bucket; and the place of every number in that order."""
         words = [w.encode() for w in self.numbers]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-        by_bytes = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        order = by_bytes[np.argsort(bucket[by_bytes], kind="stable")]
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        return [words[i] for i in order], bucket[order], place
+        return [words[i] for i in order.tolist()], bucket[order], place
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], pattern_text: str) -> Iterator[tuple[int, Block]]:
+def blocks_of(batches: Iterator[pa.RecordBatch], pattern_text: str, most: int) -> Iterator[tuple[int, Block]]:
     """Blocks of a partition's rows (doc_id, text), with their ids."""
-    pattern, part, n, block = regex.compile(pattern_text), TaskContext.get().partitionId(), 0, Block()
+    pattern, part, n, block = regex.compile(pattern_text), TaskContext.get().partitionId(), 0, None
     for b in batches:
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            block.add(doc_id, text.as_py(), pattern)
-            if block.bytes >= BLOCK_BYTES:
+            block = block or Block(pattern)
+            block.add(doc_id, text.as_py())
+            if block.bytes >= most:
                 yield part << 24 | n, block
-                n, block = n + 1, Block()
-    if block.ids:
+                n, block = n + 1, None
+    if block:
         yield part << 24 | n, block
+    block = None
+    release()
 
 
 def _digest(words: list[bytes]) -> int:
@@ -165,11 +169,11 @@ def _digest(words: list[bytes]) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def dictionaries(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """bucket, block, words: each block's distinct pre-tokens of each bucket, ascending."""
+def dictionaries(docs: DataFrame, pattern: str, buckets: int, most: int = BLOCK_BYTES) -> DataFrame:
+    """bucket, block, words: each block's distinct pre-tokens of each bucket."""
 
     def run(batches):
-        for number, block in blocks_of(batches, pattern):
+        for number, block in blocks_of(batches, pattern, most):
             words, bucket, _ = block.ordered(buckets)
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if words else []
             ends = [*starts[1:], len(words)] if words else []
@@ -193,16 +197,18 @@ def encoded_words(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                     known[w] = ids = encode_word(w, ranks)
                 lists.append(ids)
             out.append((block, pack(np.array([i for x in lists for i in x], np.int64)), pack(np.fromiter(map(len, lists), np.int64, len(lists)))))
+        known.clear()
+        release()
         return pd.DataFrame({"bucket": pdf["bucket"], "block": [x[0] for x in out], "ids": [x[1] for x in out], "sizes": [x[2] for x in out]})
 
     return parts.groupBy("bucket").applyInPandas(run, "bucket long, block long, ids binary, sizes binary")
 
 
-def positions(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+def positions(docs: DataFrame, pattern: str, buckets: int, most: int = BLOCK_BYTES) -> DataFrame:
     """block, doc_ids, sizes, stream, places, digest: a block's texts as sequences of its words' numbers, and the numbers' places in its dictionary."""
 
     def run(batches):
-        for number, block in blocks_of(batches, pattern):
+        for number, block in blocks_of(batches, pattern, most):
             words, _, place = block.ordered(buckets)
             stream = np.frombuffer(block.stream, np.uint32)
             often = np.argsort(-np.bincount(stream, minlength=len(words)), kind="stable")  # frequent words get small numbers
@@ -246,6 +252,8 @@ def reassemble(parts: DataFrame, streams: DataFrame, table: list[bytes], with_id
                     got = (*got, flat[place].astype(np.int32))
                 out.append(got)
         result = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+        del listed, raw, text, flat
+        release()
         return result.astype({"doc_id": "Int64"})
 
     return parts.groupBy("block").cogroup(streams.groupBy("block")).applyInPandas(run, schema)
@@ -265,6 +273,6 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
         table[i] = token
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    buckets = 2 * shuffle_partitions(spark)
-    coded = encoded_words(dictionaries(source, pattern, buckets), ranks)
-    return reassemble(coded, positions(source, pattern, buckets), table, with_ids)
+    buckets, most = 2 * shuffle_partitions(spark), BLOCK_BYTES_WITH_IDS if with_ids else BLOCK_BYTES
+    coded = encoded_words(dictionaries(source, pattern, buckets, most), ranks)
+    return reassemble(coded, positions(source, pattern, buckets, most), table, with_ids)
