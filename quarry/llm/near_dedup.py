@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, slices, small, text_or_empty, windows, words_of, written
+from quarry.llm.common import mix, release, slices, small, text_or_empty, windows, words_of, written
 from quarry.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -118,6 +118,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 d = [np.array([mix(s ^ _U(k)).sum(dtype=_U) for s in sets], _U).view(np.int64) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n), pa.array(d[0]), pa.array(d[1]), _lists(band_keys(signatures(sets)))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
@@ -133,6 +134,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], lists], ["id", "shingles"])
+        release()
 
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
@@ -146,6 +148,7 @@ def fine_signatures(docs: DataFrame) -> DataFrame:
             for i, j in slices(texts, 1 << 20):
                 sets = shingle_sets(texts[i:j])
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], _lists(band_keys(signatures(sets))), pa.array(fine(sets), pa.binary())], ["id", "bands", "fine"])
+        release()
 
     return docs.mapInArrow(run, "id long, bands array<long>, fine binary")
 
@@ -170,41 +173,49 @@ def floor_at(slots: int, agree: float) -> float:
     return slots * p - SIGMAS * (slots * p * (1 - p)) ** 0.5
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
+def block_pairs(members: DataFrame, rows: int) -> DataFrame:
     """Candidates (a, b) of different components within each bucket, by blocks of members.
 
-    members: bucket, id, component, bands, fine, n (of the bucket). Members are dealt into ceil(n / BLOCK)
-    blocks by hash; every two blocks of a bucket meet in one group of about 2 * BLOCK rows. Pairs whose
-    signatures put them SIGMAS deviations below the threshold are ruled out; a pair that meets in several
-    buckets is emitted in the one of its first band.
+    members: bucket, id, component, bands, fine, n (of the bucket); rows: how many there are. Members are
+    dealt into ceil(n / BLOCK) blocks by hash; every two blocks of a bucket meet in one group of about
+    2 * BLOCK rows, and buckets of one block share groups of about that size. Pairs whose signatures put
+    them SIGMAS deviations below the threshold are ruled out; a pair that meets in several buckets is
+    emitted in the one of its first band.
     """
     spread = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("blocks", spread).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
     rest = ["id", "component", "bands", "fine"]
-    every = dealt.select("bucket", *rest, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    keyed = every.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *rest)
+    every = dealt.select("bucket", "blocks", *rest, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(rows // (8 * BLOCK) + 1))).otherwise(F.xxhash64("bucket", i, j))
+    keyed = every.select(group.alias("group"), "bucket", i.alias("i"), j.alias("j"), "own", *rest)
     least = floor_at(FINE_SLOTS, 0.25)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket, i, j = int(pdf["bucket"].iloc[0]), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        first, second = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+        pdf = pdf.sort_values(["bucket", "i", "j"], kind="stable")
+        key = pdf[["bucket", "i", "j", "own", "id", "component"]].to_numpy(np.int64)
+        bands, prints = np.stack(pdf["bands"].to_list()), np.frombuffer(b"".join(pdf["fine"]), np.uint64).reshape(len(pdf), 2, -1)
+        cuts = np.flatnonzero(np.append(True, (key[1:, :3] != key[:-1, :3]).any(1)))
         found = [np.zeros((0, 2), np.int64)]
-        if len(first) and len(second):
-            ids, others = first["id"].to_numpy(), second["id"].to_numpy()
-            b1, b2 = np.stack(first["bands"].to_list()), np.stack(second["bands"].to_list())
-            f1, f2 = (np.stack([np.frombuffer(x, np.uint64) for x in side["fine"]]).reshape(len(side), 2, -1) for side in (first, second))
-            c1, c2 = first["component"].to_numpy(), second["component"].to_numpy()
-            band = int((b1[0] == bucket).argmax())
-            for k in range(len(ids)):
-                go = np.flatnonzero((c2 != c1[k]) & ((others > ids[k]) if i == j else (others != ids[k])))
-                unlike = f2[go] ^ f1[k]
+        for a, b in zip(cuts, [*cuts[1:], len(pdf)], strict=True):
+            bucket, i, j = key[a, :3]
+            first, second = (a + np.flatnonzero(key[a:b, 3] == x) for x in (i, j))
+            if not len(first) or not len(second):
+                continue
+            ids, components_ = key[:, 4], key[:, 5]
+            band = int((bands[a] == bucket).argmax())
+            for k in first:
+                go = second[(components_[second] != components_[k]) & ((ids[second] > ids[k]) if i == j else (ids[second] != ids[k]))]
+                if not len(go):
+                    continue
+                unlike = prints[go] ^ prints[k]
                 go = go[FINE_SLOTS - np.bitwise_count(unlike[:, 0] | unlike[:, 1]).sum(1, dtype=np.int64) >= least]
-                go = go[~(b2[go, :band] == b1[k, :band]).any(1)]
-                found.append(np.stack([np.minimum(ids[k], others[go]), np.maximum(ids[k], others[go])], 1))
+                go = go[~(bands[go, :band] == bands[k, :band]).any(1)]
+                found.append(np.stack([np.minimum(ids[k], ids[go]), np.maximum(ids[k], ids[go])], 1))
         pairs = np.concatenate(found)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return keyed.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return keyed.groupBy("group").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,7 +239,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = written(unsettled(shared, labels), "unsettled")
     ids = written(rest.select(F.col("id").alias("doc_id")).distinct(), "ids")
     finer = fine_signatures(texts.join(small(ids), "doc_id", "left_semi")).dropDuplicates(["id"])
-    more = written(block_pairs(rest.join(written(finer, "fine"), "id")), "pairs")
+    more = written(block_pairs(rest.join(written(finer, "fine"), "id"), rest.count()), "pairs")
     if not more.isEmpty():
         links = links.unionByName(verified(more, texts))
         labels = written(components(links), "labels")
