@@ -87,10 +87,10 @@ def robots(agent: str):
 
 def published_at(value: Column) -> Column:
     """RFC 2822 dates only; without a zone they are UTC. Anything else is null."""
-    zoned = F.try_to_timestamp(value, F.lit("EEE, d MMM yyyy HH:mm:ss Z"))
-    named = F.try_to_timestamp(F.regexp_replace(value, r" (GMT|UT|UTC)$", " +0000"), F.lit("EEE, d MMM yyyy HH:mm:ss Z"))
-    bare = F.try_to_timestamp(F.concat(value, F.lit(" +0000")), F.lit("EEE, d MMM yyyy HH:mm:ss Z"))
-    return F.coalesce(zoned, named, bare)
+    bare = F.regexp_replace(F.trim(value), "^[A-Za-z]{3},\\s*", "")
+    zone = F.regexp_replace(bare, " (GMT|UT|UTC)$", " +0000")
+    kind = F.lit("d MMM yyyy HH:mm:ss Z")
+    return F.coalesce(F.try_to_timestamp(zone, kind), F.try_to_timestamp(F.concat(bare, F.lit(" +0000")), kind))
 
 
 @F.pandas_udf(StringType())

@@ -33,11 +33,16 @@ def index_stream(stream: DataFrame, store: IndexStore, descriptor: dict, checkpo
     return stream.writeStream.foreachBatch(stage).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """A stream's event time has to be an instant."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events
+
+
 def windowed(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes", kind: str = "event_type") -> DataFrame:
     """Counts and mean value by tumbling window and kind; late events within the delay still count."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", width), kind).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("window_start"), kind, "n", "mean_value")
+    return _timed(events).withWatermark("ts", delay).groupBy(F.window("ts", width), kind).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("window_start"), kind, "n", "mean_value")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes", key: str = "user_id") -> DataFrame:
     """Sessions of a key: begin, end, events."""
-    return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
+    return _timed(events).withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
