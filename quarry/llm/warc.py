@@ -84,7 +84,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Whole records from pieces of an inflated archive; at most one record and one piece are held."""
+    """Whole records, without the two line ends after each, from pieces of an inflated archive; at most one record and one piece are held."""
     held = bytearray()
     need = None
     for piece in pieces:
@@ -164,7 +164,7 @@ def normalise_file(source: str, target: str) -> int:
     with fs.open_input_stream(path, compression=None) as stream:
         for data in split_records(inflate(stream)):
             fields, _ = parse_record(data)
-            packed = member(data if data.endswith(CRLF + CRLF) else data + CRLF + CRLF)
+            packed = member(data + CRLF + CRLF)
             out.write(packed)
             index.write(json.dumps({"offset": at, "length": len(packed), "type": fields["warc-type"], "uri": fields["warc-target-uri"], "id": fields["warc-record-id"]}).encode() + b"\n")
             at, n = at + len(packed), n + 1
