@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_words, is_space, mix, slices, text_or_empty, words_of
+from quarry.llm.common import hash_words, is_space, mix, release, slices, text_or_empty, words_of
 
 BITS = 18
 DIM = 1 << BITS
@@ -178,6 +178,8 @@ def scorer(weights: np.ndarray):
     def score(texts: pd.Series) -> pd.Series:
         listed = texts.to_list()
         got = [scores([bytes(t) for t in listed[i:j]], weights) for i, j in slices(listed, 1 << 20)]
+        del listed
+        release()
         return pd.Series(np.concatenate(got) if got else np.zeros(0))
 
     return score

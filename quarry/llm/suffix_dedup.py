@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import pack, unpack
-from quarry.llm.common import mix, powers, prefix_sums, shuffle_partitions, text_or_empty
+from quarry.llm.common import mix, powers, prefix_sums, release, shuffle_partitions, text_or_empty
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 8 << 20
@@ -120,7 +120,7 @@ def two_stage_sort(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def equal_runs(text: np.ndarray, wanted: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """For the wanted places, a number that is the same for those with equal next `length` bytes (-1 elsewhere)."""
+    """For the wanted places, a number that is the same for those with equal next `length` bytes, eight at least (-1 elsewhere)."""
     order = two_stage_sort(text, length)
     order = order[wanted[order]]
     words = words_at(text, length + 8)
@@ -223,6 +223,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, li
                 n, ids, texts, held = n + 1, [], [], 0
     if ids:
         yield part << 24 | n, ids, texts
+    ids = texts = None
+    release()
 
 
 def _by_bucket(numbers: np.ndarray) -> list[tuple[int, int, int]]:
