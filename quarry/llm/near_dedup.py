@@ -30,7 +30,7 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Step 4: members in a block; slots of the finer signatures, of which two bits each are kept; and how far (in
 #: standard deviations) below the threshold an estimate rules a pair out.
-BLOCK, FINE_SLOTS, SIGMAS = 128, 1024, 5
+BLOCK, FINE_SLOTS, SIGMAS = 512, 1024, 5
 _U = np.uint64
 
 
@@ -164,7 +164,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = full_sets(texts.join(small(ids), "doc_id", "left_semi"))
     sets = written(sets, "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    return written(pairs.join(right, "b").join(left, "a").where(similar(F.col("sa"), F.col("sb"))).select("a", "b").distinct(), "links")
+    return written(pairs.join(right, "b").join(left, "a").where(similar(F.col("sa"), F.col("sb"))).select("a", "b"), "links")
 
 
 def floor_at(slots: int, agree: float) -> float:
@@ -176,18 +176,25 @@ def floor_at(slots: int, agree: float) -> float:
 def block_pairs(members: DataFrame, rows: int) -> DataFrame:
     """Candidates (a, b) of different components within each bucket, by blocks of members.
 
-    members: bucket, id, component, bands, fine, n (of the bucket); rows: how many there are. Members are
-    dealt into ceil(n / BLOCK) blocks by hash; every two blocks of a bucket meet in one group of about
-    2 * BLOCK rows, and buckets of one block share groups of about that size. Pairs whose signatures put
-    them SIGMAS deviations below the threshold are ruled out; a pair that meets in several buckets is
-    emitted in the one of its first band.
+    members: bucket, id, component, bands, fine, and of the bucket main (its largest component), n and
+    n_main; rows: how many there are. Members of the main component need no comparison with each other:
+    they are dealt into blocks by hash, the rest into other blocks, and every block of the rest meets every
+    block in a group of 2 * BLOCK rows or so. A bucket of BLOCK members or fewer is one block, and such
+    buckets share groups of about that size. Pairs whose signatures put them SIGMAS deviations below the
+    threshold are ruled out; a pair that meets in several buckets is emitted in the one of its first band.
     """
-    spread = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", spread).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    whole = F.col("n") <= BLOCK
+    main = F.col("component") == F.col("main")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    of_main, of_rest = blocks(F.col("n_main")), blocks(F.col("n") - F.col("n_main"))
+    deal = lambda n: F.pmod(F.xxhash64("id"), n.cast("long")).cast("int")
+    own = F.when(whole, 0).when(main, deal(of_main)).otherwise(of_main + deal(of_rest))
+    first = F.when(whole | ~main, 0).otherwise(of_main)
+    last = F.when(whole, 0).otherwise(of_main + of_rest - 1)
     rest = ["id", "component", "bands", "fine"]
-    every = dealt.select("bucket", "blocks", *rest, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    every = members.select("bucket", whole.alias("whole"), *rest, own.alias("own"), F.explode(F.sequence(first, last)).alias("other"))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(rows // (8 * BLOCK) + 1))).otherwise(F.xxhash64("bucket", i, j))
+    group = F.when(F.col("whole"), F.pmod(F.xxhash64("bucket"), F.lit(rows // (2 * BLOCK) + 1))).otherwise(F.xxhash64("bucket", i, j))
     keyed = every.select(group.alias("group"), "bucket", i.alias("i"), j.alias("j"), "own", *rest)
     least = floor_at(FINE_SLOTS, 0.25)
 
@@ -250,7 +257,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (bucket, id, component, n) of buckets whose members are in several components."""
+    """Members (bucket, id, component, main, n, n_main) of buckets whose members are in several components."""
     placed = shared.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 < c2").select("bucket", "n")
-    return placed.join(open_, "bucket")
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    largest = F.max(F.struct("size", "component")).alias("largest")
+    open_ = sizes.groupBy("bucket").agg(largest, F.sum("size").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    return placed.join(open_.select("bucket", F.col("largest.component").alias("main"), "n", F.col("largest.size").alias("n_main")), "bucket")
