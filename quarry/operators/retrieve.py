@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions import access as A
 from quarry.functions import text as T
 from quarry.functions import vectors as V
+from quarry.plans.shared import written
 
 # Fixed values of the ranking formulas.
 K1, B, FUSION_K, DENSE_FLOOR, TRIGRAM_FLOOR = 1.2, 0.75, 60, 0.15, 0.3
@@ -127,10 +128,10 @@ def hybrid(requests: DataFrame, chunks: DataFrame, most: int = 50) -> DataFrame:
 
     Lexical ranks count all readable hits. They are needed for the best of the lexical branch and for the
     dense pool only: the former come from a top list, the latter from counting the hits ahead, so no
-    request's hits are ever sorted in one task.
+    request's hits are ever sorted in one task. Both branches are used several times: they are written once.
     """
-    lexical = bm25(requests, chunks)
-    near = dense_top(requests, chunks)
+    lexical = written(bm25(requests, chunks), "lexical")
+    near = written(dense_top(requests, chunks), "dense")
     best = top(lexical, "lexical_score", F.lit(most), "lexical_rank")
     both = lexical.join(near.select("request_id", "chunk_id"), ["request_id", "chunk_id"])
     mine = both.select("request_id", F.col("chunk_id").alias("own_id"), F.round("lexical_score", PLACES).alias("own"))

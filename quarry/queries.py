@@ -22,6 +22,7 @@ from quarry.operators import metrics as M
 from quarry.operators import retrieve as R
 from quarry.plans import ingest as I
 from quarry.plans import store as S
+from quarry.plans.shared import written
 from quarry.sources import web as W
 from quarry.sources.html import extract_html
 from quarry.streaming import ingest as L
@@ -270,7 +271,7 @@ def trigram_search(spark, sf):
 def _hits(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Requests, chunks and hits; a source counts as a document, so that its share of the evidence is capped."""
     asked, chunks = requests(spark, sf), corpus(spark, sf).withColumn("document_id", F.col("source_id"))
-    return asked, chunks, R.with_terms(R.hybrid(asked, chunks), asked, chunks)
+    return asked, chunks, written(R.with_terms(R.hybrid(asked, chunks), asked, chunks), "hits")
 
 
 @query(with_ctes("SELECT request_id, chunk_id, rank, len(matched) AS n_matched, len(matched) > 0 OR dense_rank IS NOT NULL AS supported FROM wide", "wide"))
