@@ -1,4 +1,4 @@
-"""What several operators share: hashed words in numpy, tables written to the shared folder, size checks.
+"""What several operators share: hashed words in numpy, size checks, memory.
 
 Words are maximal runs of bytes that are not ASCII white space (0x20, 0x09-0x0D). Their 64-bit
 hashes come from one pass of prefix sums over the bytes, so no Python object is made per word.
@@ -6,10 +6,7 @@ hashes come from one pass of prefix sums over the bytes, so no Python object is
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -17,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans.shared import scratch, written
+
+__all__ = ["scratch", "written"]
+
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Largest tables, in rows, that are sent to every executor; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -32,41 +33,6 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir where it is set, else one made here (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    folder = tempfile.mkdtemp(prefix="quarry-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one; it is deleted when the driver ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone: whoever owns the shared folder clears it
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder; it outlives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table with a broadcast hint if it has at most that many rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
