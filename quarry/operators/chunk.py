@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -176,6 +176,18 @@ def chunk_documents(docs: DataFrame, key: str = "document_id", text_col: str = "
     return out.withColumnRenamed("key", key)
 
 
+def register_chunk_function(spark: SparkSession, name: str = "chunk_text") -> None:
+    """A table function for SQL: SELECT * FROM docs, LATERAL chunk_text(text)."""
+
+    @F.udtf(returnType=_CHUNK)
+    class ChunkText:
+        def eval(self, text: str):
+            for n, body, size, path, a, b in chunks(text or ""):
+                yield n, body, size, list(path), a, b
+
+    spark.udtf.register(name, ChunkText)
+
+
 def locate(line_start, line_end, pages, chapters, fragment):
     """(page, fragment) of a chunk's lines: the first page that overlaps; without one, the first chapter that does names the fragment."""
     meets = lambda p: (p["line_end"] >= line_start) & (p["line_start"] <= line_end)

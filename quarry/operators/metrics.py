@@ -67,3 +67,9 @@ def recent(rows: DataFrame, key: str, at: str, seconds: int, limit: int) -> Data
     """Each row with how many of its key came in the seconds up to it, and whether that is over the limit."""
     window = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return rows.withColumn("recent", F.count("*").over(window)).withColumn("limited", F.col("recent") > limit)
+
+
+def unknown_share(terms: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """Of rows (key, term) the share of terms that the vocabulary (term) does not have, by key."""
+    known = vocabulary.select("term").distinct().withColumn("known", F.lit(True))
+    return terms.join(known, "term", "left").groupBy(key).agg(F.count("*").alias("n_terms"), F.count_if(F.col("known").isNull()).alias("unknown")).withColumn("share", F.col("unknown") / F.col("n_terms"))

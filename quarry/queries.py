@@ -592,6 +592,22 @@ def eval_retrieval_metrics(spark, sf):
     return got.withColumns({c: F.round(c, 6) for c in ("recall", "ndcg")})
 
 
+@query(with_ctes("SELECT request_id, count(*) AS n_terms, count_if(term NOT IN (SELECT DISTINCT term FROM tf)) AS unknown, round(count_if(term NOT IN (SELECT DISTINCT term FROM tf)) / count(*), 6) AS share FROM asked GROUP BY request_id", "tf", "asked"))
+def oov_rate(spark, sf):
+    terms = requests(spark, sf).select("request_id", F.explode(F.array_distinct(T.analyze(F.col("query")))).alias("term"))
+    return M.unknown_share(terms, R.term_counts(corpus(spark, sf)), "request_id").withColumn("share", F.round("share", 6))
+
+
+@query("SELECT conv_id, turn, round(CASE turn % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 0.5 END, 6) AS precision, round(CASE turn % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 / 3 ELSE 1 / 3 END, 6) AS recall FROM conversations")
+def citation_quality(spark, sf):
+    """Cited ids against three that support the answer."""
+    k = F.col("turn") % 3
+    answer = F.concat("text", F.when(k == 0, "").when(k == 1, " [e1] [e2]").otherwise(" [e1] [e9]"))
+    got = M.citation_quality(T.citations(answer), F.array(F.lit("e1"), F.lit("e2"), F.lit("e3")))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", got.alias("q"))
+    return rows.select("conv_id", "turn", F.round("q.precision", 6).alias("precision"), F.round("q.recall", 6).alias("recall"))
+
+
 _DRIFT = """WITH e AS (SELECT least(CAST(floor(value / 10) AS BIGINT), 20) AS bucket, CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'p' ELSE 'q' END AS side FROM events),
     s AS (SELECT bucket, greatest(count(*) FILTER (WHERE side = 'p'), 0.5)::DOUBLE / (SELECT count(*) FROM e WHERE side = 'p') AS p, greatest(count(*) FILTER (WHERE side = 'q'), 0.5)::DOUBLE / (SELECT count(*) FROM e WHERE side = 'q') AS q FROM e GROUP BY bucket)"""
 

@@ -60,3 +60,10 @@ def test_dataframe(spark):
     docs = spark.createDataFrame([("d1", NOTE), ("d2", ""), ("d3", None)], "document_id string, text string")
     got = C.chunk_documents(docs).collect()
     assert {r.document_id for r in got} == {"d1"} and len(got) == len(C.chunks(NOTE))
+
+
+def test_in_sql(spark):
+    C.register_chunk_function(spark)
+    spark.createDataFrame([("d1", NOTE)], "id string, text string").createOrReplaceTempView("notes")
+    got = spark.sql("SELECT id, c.ordinal, c.text FROM notes, LATERAL chunk_text(text) c ORDER BY c.ordinal").collect()
+    assert [r.text for r in got] == [x[1] for x in C.chunks(NOTE)]
