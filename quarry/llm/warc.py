@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import scratch, small, written
+from quarry.llm.common import scratch, shuffle_partitions, small, written
 
 #: Inflated bytes after which a new archive begins.
 ARCHIVE_BYTES = 64 << 20
@@ -249,12 +249,8 @@ def page_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     large = F.octet_length("payload") >= least
     copies = written(source.where(large).groupBy("sha256").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
     other = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    rows = source.withColumn("key", F.when(large, F.col("sha256"))).join(small(copies.withColumnRenamed("sha256", "key")), "key", "left").withColumn("refers_to", other)
+    rows = source.join(small(copies), "sha256", "left").withColumn("refers_to", other)  # a small payload equals no large one
     folder = scratch(spark, "warc")
     archives = written(write_archives(rows, folder), "archives")
     records = written(normalise(archives, keep_source=False), "normalised")
-    return read_records(records.repartition(max(1, shuffle_count(spark)))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("path").alias("archive"), "offset")
-
-
-def shuffle_count(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read_records(records.repartition(shuffle_partitions(spark))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("path").alias("archive"), "offset")
