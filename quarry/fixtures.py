@@ -41,7 +41,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part as a catalog with two fitments each."""
     year = F.col("p_size") + 1970
-    fit = lambda a, b: F.concat(F.col("p_brand"), F.lit(" "), F.col("p_type"), F.lit(" "), (year + a).cast("string"), F.lit("-"), (year + b).cast("string"))
+    make = F.replace("p_brand", F.lit("#"), F.lit(""))  # one token
+    fit = lambda a, b: F.concat(make, F.lit(" "), F.col("p_type"), F.lit(" "), (year + a).cast("string"), F.lit("-"), (year + b).cast("string"))
     rows = table(spark, sf_dir, "part")
     return rows.select(
         F.concat(F.lit("PRT-"), F.col("p_partkey").cast("string")).alias("part_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"),
@@ -54,8 +55,9 @@ def part_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question for every part whose number is divisible by 20."""
     rows = table(spark, sf_dir, "part").where("p_partkey % 20 = 0")
     year = (F.col("p_size") + 1970 + F.col("p_partkey") % 3 * 5).cast("string")
-    asked = F.concat(F.lit("Which "), F.col("p_name"), F.lit(" fits "), F.col("p_brand"), F.lit(" "), F.col("p_type"), F.lit(" "), year, F.lit("?"))
-    by_id = F.concat(F.lit("Does PRT-"), F.col("p_partkey").cast("string"), F.lit(" fit "), F.col("p_brand"), F.lit(" "), year, F.lit("?"))
+    make = F.replace("p_brand", F.lit("#"), F.lit(""))
+    asked = F.concat(F.lit("Which "), F.col("p_name"), F.lit(" fits "), make, F.lit(" "), F.col("p_type"), F.lit(" "), year, F.lit("?"))
+    by_id = F.concat(F.lit("Does PRT-"), F.col("p_partkey").cast("string"), F.lit(" fit "), make, F.lit(" "), year, F.lit("?"))
     return rows.select(F.concat(F.lit("q"), F.col("p_partkey").cast("string")).alias("request_id"), F.when(F.col("p_partkey") % 60 == 0, by_id).otherwise(asked).alias("query"))
 
 
@@ -105,9 +107,9 @@ CTES = {
     "staged": "SELECT event_id // 50 AS run, user_id AS document_id, arg_max(event_type, event_id) AS content, count(*) AS n FROM events GROUP BY 1, 2",
     "runs": "SELECT DISTINCT event_id // 50 AS run, CASE WHEN (event_id // 50) % 7 = 3 THEN 'discarded' WHEN (event_id // 50) % 11 = 5 THEN 'candidate' ELSE 'activated' END AS status FROM events",
     "newest": "SELECT document_id, arg_max(content, run) AS content, max(run) AS run FROM staged JOIN runs USING (run) WHERE status = 'activated' GROUP BY document_id",
-    "parts": """SELECT p_partkey, 'PRT-' || p_partkey AS part_id, p_name AS name, p_type AS description, [p_brand || ' ' || p_type || ' ' || (p_size + 1970) || '-' || (p_size + 1976), p_brand || ' ' || p_type || ' ' || (p_size + 1974) || '-' || (p_size + 1979) || ' sport'] AS fits,
+    "parts": """SELECT p_partkey, 'PRT-' || p_partkey AS part_id, p_name AS name, p_type AS description, [replace(p_brand, '#', '') || ' ' || p_type || ' ' || (p_size + 1970) || '-' || (p_size + 1976), replace(p_brand, '#', '') || ' ' || p_type || ' ' || (p_size + 1974) || '-' || (p_size + 1979) || ' sport'] AS fits,
         'supplier-' || (p_partkey % 7) AS source_id, '2026-' || lpad(CAST(p_partkey % 12 + 1 AS VARCHAR), 2, '0') AS catalog_version FROM part WHERE p_partkey % 13 <> 5""",
-    "questions": """SELECT 'q' || p_partkey AS request_id, CASE WHEN p_partkey % 60 = 0 THEN 'Does PRT-' || p_partkey || ' fit ' || p_brand || ' ' || y || '?' ELSE 'Which ' || p_name || ' fits ' || p_brand || ' ' || p_type || ' ' || y || '?' END AS query
+    "questions": """SELECT 'q' || p_partkey AS request_id, CASE WHEN p_partkey % 60 = 0 THEN 'Does PRT-' || p_partkey || ' fit ' || replace(p_brand, '#', '') || ' ' || y || '?' ELSE 'Which ' || p_name || ' fits ' || replace(p_brand, '#', '') || ' ' || p_type || ' ' || y || '?' END AS query
         FROM (SELECT *, p_size + 1970 + p_partkey % 3 * 5 AS y FROM part WHERE p_partkey % 20 = 0)""",
 }
 _NEEDS = {

@@ -47,50 +47,60 @@ def vocabulary(parts: DataFrame) -> DataFrame:
     return each.where(~F.col("token").rlike("^[0-9]+$")).distinct()
 
 
-def fitting_years(fitment: Column, asked: Column) -> Column:
-    """No year asked for, or one of them in the fitment's range (from its first to its last year)."""
-    own = years(fitment)
-    low, high = F.get(own, 0), F.get(own, F.size(own) - 1)
-    return (F.size(asked) == 0) | ((F.size(own) > 0) & F.exists(asked, lambda y: (y >= low) & (y <= high)))
+def fitments(texts: Column) -> Column:
+    """Each fitment as its tokens, those of the model (without years), and its first and last year: once per part, not per pair."""
 
+    def one(f: Column) -> Column:
+        own = years(f)
+        return F.struct(tokens(f).alias("tokens"), tokens(F.regexp_replace(f, YEAR, "")).alias("model"), F.get(own, 0).alias("low"), F.get(own, F.size(own) - 1).alias("high"))
 
-def fitment_fold(fitments: Column, terms: Column, asked: Column, vehicle: Column) -> Column:
-    """(matched, score) over the fitments in order: three for each matched term, the best counts; two more when the whole model matches."""
-    year_words = F.transform(asked, lambda y: y.cast("string"))
+    return F.transform(texts, one)
+
+
+def fitment_fold(fits: Column, terms: Column, asked: Column) -> Column:
+    """(matched, score) over the fitments in order: three for each matched term, the best counts; two more when the whole model matches.
+
+    A fitment counts if a term matches it and no year is asked for, or one in its range.
+    """
+    words = F.array_except(terms, F.transform(asked, lambda y: y.cast("string")))
 
     def step(state: Column, fitment: Column) -> Column:
-        match = F.array_except(F.array_intersect(terms, tokens(fitment)), year_words)
-        fits = (F.size(match) > 0) & fitting_years(fitment, asked)
-        whole = within(tokens(F.regexp_replace(fitment, YEAR, "")), terms)
+        match = F.array_intersect(words, fitment["tokens"])
+        in_years = (F.size(asked) == 0) | F.exists(asked, lambda y: (y >= fitment["low"]) & (y <= fitment["high"]))
+        whole = within(fitment["model"], terms)
         score = F.greatest(state["score"], F.size(match) * 3.0) + F.when(whole, 2.0).otherwise(0.0)
-        return F.when(fits, F.struct(F.array_union(state["matched"], match).alias("matched"), score.alias("score"))).otherwise(state)
+        return F.when((F.size(match) > 0) & F.coalesce(in_years, F.lit(False)), F.struct(F.array_union(state["matched"], match).alias("matched"), score.alias("score"))).otherwise(state)
 
     start = F.struct(F.array().cast("array<string>").alias("matched"), F.lit(0.0).alias("score"))
-    return F.aggregate(fitments, start, step)
+    return F.aggregate(fits, start, step)
 
 
 def search(requests: DataFrame, parts: DataFrame, limit: int = 5, least: float = LEAST_SCORE) -> DataFrame:
     """request_id, part_id, score, confidence, matched_terms, rank; best first, ties by part_id.
 
-    A hit shares a token with the query, so pairs come from an equi-join on tokens. A query that names
+    A hit shares a token with the query, so pairs come from an equi-join on tokens; of the tokens a pair
+    shares, only the first one counts, so no pair comes twice and none is shuffled. A query that names
     parts by id gets those only; one with vehicle terms gets parts with a fitment that matches them.
     """
     asked = requests.select("request_id", tokens(F.col("query")).alias("terms"), years(F.col("query")).alias("asked"))
-    words = asked.select("request_id", F.explode("terms").alias("token"))
-    vehicle = words.join(vocabulary(parts), "token").groupBy("request_id").agg(F.collect_set("token").alias("vehicle"))
+    words = asked.select("*", F.explode("terms").alias("token"))
+    vehicle = words.select("request_id", "token").join(vocabulary(parts), "token").select("request_id").distinct().withColumn("vehicle", F.lit(True))
+    ids = parts.select("part_id", tokens(F.col("part_id")).alias("id_terms"))
+    named = ids.withColumn("token", F.explode("id_terms")).join(words.select("request_id", "terms", "token"), "token").where(within(F.col("id_terms"), F.col("terms")))
+    only = named.select("request_id").distinct().withColumn("only_named", F.lit(True))
     body = F.concat_ws(" ", "part_id", "name", "description", F.array_join("compatible_with", " "))
-    rows = parts.select("part_id", "compatible_with", tokens(F.col("part_id")).alias("id_terms"), tokens(body).alias("part_terms"))
-    pairs = rows.select("part_id", F.explode("part_terms").alias("token")).join(words, "token").groupBy("request_id", "part_id").agg(F.collect_set("token").alias("lexical"))
-    wide = pairs.join(asked, "request_id").join(vehicle, "request_id", "left").withColumn("vehicle", F.coalesce("vehicle", F.array().cast("array<string>"))).join(rows.drop("part_terms"), "part_id")
-    named = within(F.col("id_terms"), F.col("terms"))
-    wide = wide.withColumn("named", named)
-    any_named = wide.where("named").select("request_id").distinct().withColumn("only_named", F.lit(True))
-    folded = wide.join(any_named, "request_id", "left").where(F.col("named") | F.col("only_named").isNull()).withColumn("fold", fitment_fold(F.col("compatible_with"), F.col("terms"), F.col("asked"), F.col("vehicle")))
-    kept = folded.where((F.size("vehicle") == 0) | (F.size("fold.matched") > 0))
+    wide = parts.select("part_id", tokens(F.col("part_id")).alias("id_terms"), fitments(F.col("compatible_with")).alias("fits"), tokens(body).alias("part_terms"))
+    rows = wide.withColumn("token", F.explode("part_terms"))
+    enriched = words.join(vehicle, "request_id", "left").join(only, "request_id", "left")
+    pairs = rows.join(enriched, "token").withColumn("lexical", F.array_intersect("terms", "part_terms")).where(F.col("token") == F.get("lexical", 0))
+    open_ = pairs.where(F.col("only_named").isNull() | within(F.col("id_terms"), F.col("terms")))
+    folded = open_.select("request_id", "part_id", "vehicle", "lexical", fitment_fold(F.col("fits"), F.col("terms"), F.col("asked")).alias("fold"))
+    kept = folded.where(F.col("vehicle").isNull() | (F.size("fold.matched") > 0))
     score = F.size("lexical") + F.col("fold.score")
-    scored = kept.select("request_id", "part_id", score.alias("score"), F.array_sort(F.array_union("lexical", "fold.matched")).alias("matched_terms")).where(F.col("score") >= least)
+    scored = kept.select("request_id", "part_id", score.alias("score"), "lexical", "fold.matched").where(F.col("score") >= least)
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "part_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).withColumn("confidence", F.least(F.lit(1.0), F.col("score") / FULL_CONFIDENCE))
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return ranked.select("request_id", "part_id", "score", F.least(F.lit(1.0), F.col("score") / FULL_CONFIDENCE).alias("confidence"), F.array_sort(F.array_union("lexical", "matched")).alias("matched_terms"), "rank")
 
 
 def answer(requests: DataFrame, parts: DataFrame, limit: int = 5) -> DataFrame:

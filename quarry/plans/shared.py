@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +18,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
+    folder = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, folder, True)
+    spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
