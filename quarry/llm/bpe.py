@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import release, shuffle_partitions, text_or_empty
+from quarry.llm.common import frees, frees_group, frees_groups, shuffle_partitions, text_or_empty
 
 #: Characters of a block; fewer where the ids are wanted too, which take more memory.
 BLOCK_BYTES, BLOCK_BYTES_WITH_IDS = 16 << 20, 6 << 20
@@ -158,8 +158,6 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pattern_text: str, most: int) -
                 n, block = n + 1, None
     if block:
         yield part << 24 | n, block
-    block = None
-    release()
 
 
 def _digest(words: list[bytes]) -> int:
@@ -181,7 +179,7 @@ def dictionaries(docs: DataFrame, pattern: str, buckets: int, most: int = BLOCK_
                 [pa.array([int(bucket[s]) for s in starts], pa.int64()), pa.array([number] * len(starts), pa.int64()), pa.array([pack_strings(words[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "block", "words"]
             )
 
-    return docs.mapInArrow(run, "bucket long, block long, words binary")
+    return docs.mapInArrow(frees(run), "bucket long, block long, words binary")
 
 
 def encoded_words(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -197,11 +195,9 @@ def encoded_words(parts: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                     known[w] = ids = encode_word(w, ranks)
                 lists.append(ids)
             out.append((block, pack(np.array([i for x in lists for i in x], np.int64)), pack(np.fromiter(map(len, lists), np.int64, len(lists)))))
-        known.clear()
-        release()
         return pd.DataFrame({"bucket": pdf["bucket"], "block": [x[0] for x in out], "ids": [x[1] for x in out], "sizes": [x[2] for x in out]})
 
-    return parts.groupBy("bucket").applyInPandas(run, "bucket long, block long, ids binary, sizes binary")
+    return parts.groupBy("bucket").applyInPandas(frees_group(run), "bucket long, block long, ids binary, sizes binary")
 
 
 def positions(docs: DataFrame, pattern: str, buckets: int, most: int = BLOCK_BYTES) -> DataFrame:
@@ -219,7 +215,7 @@ def positions(docs: DataFrame, pattern: str, buckets: int, most: int = BLOCK_BYT
                 ["block", "doc_ids", "sizes", "stream", "places", "digest"],
             )
 
-    return docs.mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, stream binary, places binary, digest long")
+    return docs.mapInArrow(frees(run), "block long, doc_ids array<long>, sizes array<long>, stream binary, places binary, digest long")
 
 
 def reassemble(parts: DataFrame, streams: DataFrame, table: list[bytes], with_ids: bool) -> DataFrame:
@@ -252,11 +248,9 @@ def reassemble(parts: DataFrame, streams: DataFrame, table: list[bytes], with_id
                     got = (*got, flat[place].astype(np.int32))
                 out.append(got)
         result = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-        del listed, raw, text, flat
-        release()
         return result.astype({"doc_id": "Int64"})
 
-    return parts.groupBy("block").cogroup(streams.groupBy("block")).applyInPandas(run, schema)
+    return parts.groupBy("block").cogroup(streams.groupBy("block")).applyInPandas(frees_groups(run), schema)
 
 
 def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

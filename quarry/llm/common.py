@@ -7,6 +7,7 @@ hashes come from one pass of prefix sums over the bytes, so no Python object is
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -47,6 +48,38 @@ def release() -> None:
         pass
 
 
+def frees(f: Callable) -> Callable:
+    """For functions of mapInArrow and mapInPandas: memory is given back when f and all it holds are gone."""
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def frees_group(f: Callable) -> Callable:
+    """The same for applyInPandas."""
+
+    def run(frame):
+        out = f(frame)
+        release()
+        return out
+
+    return run
+
+
+def frees_groups(f: Callable) -> Callable:
+    """The same for applyInPandas of cogrouped frames."""
+
+    def run(left, right):
+        out = f(left, right)
+        release()
+        return out
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

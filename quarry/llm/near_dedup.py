@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, release, slices, small, text_or_empty, windows, words_of, written
+from quarry.llm.common import frees, frees_group, mix, slices, small, text_or_empty, windows, words_of, written
 from quarry.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -118,9 +118,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 d = [np.array([mix(s ^ _U(k)).sum(dtype=_U) for s in sets], _U).view(np.int64) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(n), pa.array(d[0]), pa.array(d[1]), _lists(band_keys(signatures(sets)))], ["doc_id", "n_shingles", "d1", "d2", "bands"])
-        release()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(frees(run), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -134,9 +133,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], lists], ["id", "shingles"])
-        release()
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(frees(run), "id long, shingles array<long>")
 
 
 def fine_signatures(docs: DataFrame) -> DataFrame:
@@ -148,9 +146,8 @@ def fine_signatures(docs: DataFrame) -> DataFrame:
             for i, j in slices(texts, 1 << 20):
                 sets = shingle_sets(texts[i:j])
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], _lists(band_keys(signatures(sets))), pa.array(fine(sets), pa.binary())], ["id", "bands", "fine"])
-        release()
 
-    return docs.mapInArrow(run, "id long, bands array<long>, fine binary")
+    return docs.mapInArrow(frees(run), "id long, bands array<long>, fine binary")
 
 
 def similar(a: Column, b: Column) -> Column:
@@ -222,7 +219,7 @@ def block_pairs(members: DataFrame, rows: int) -> DataFrame:
         pairs = np.concatenate(found)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return keyed.groupBy("group").applyInPandas(compare, "a long, b long").distinct()
+    return keyed.groupBy("group").applyInPandas(frees_group(compare), "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

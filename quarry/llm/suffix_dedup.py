@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import pack, unpack
-from quarry.llm.common import mix, powers, prefix_sums, release, shuffle_partitions, text_or_empty
+from quarry.llm.common import frees, frees_group, frees_groups, mix, powers, prefix_sums, shuffle_partitions, text_or_empty
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 8 << 20
@@ -223,8 +223,6 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, li
                 n, ids, texts, held = n + 1, [], [], 0
     if ids:
         yield part << 24 | n, ids, texts
-    ids = texts = None
-    release()
 
 
 def _by_bucket(numbers: np.ndarray) -> list[tuple[int, int, int]]:
@@ -257,7 +255,7 @@ def anchor_lists(source: DataFrame, lead: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "anchors", "several"])
 
-    return source.mapInArrow(run, "bucket long, block long, anchors binary, several binary")
+    return source.mapInArrow(frees(run), "bucket long, block long, anchors binary, several binary")
 
 
 def repeated_anchors(lists: DataFrame) -> DataFrame:
@@ -273,7 +271,7 @@ def repeated_anchors(lists: DataFrame) -> DataFrame:
         bits = [np.packbits(x).tobytes() for x in np.split(more[at], ends[:-1])]
         return pd.DataFrame({"bucket": pdf["bucket"], "block": pdf["block"], "n": [len(o) for o in own], "repeated": bits})
 
-    return lists.groupBy("bucket").applyInPandas(run, "bucket long, block long, n long, repeated binary")
+    return lists.groupBy("bucket").applyInPandas(frees_group(run), "bucket long, block long, n long, repeated binary")
 
 
 def packed_blocks(source: DataFrame) -> DataFrame:
@@ -284,7 +282,7 @@ def packed_blocks(source: DataFrame) -> DataFrame:
             data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "doc_ids", "sizes", "texts"])
 
-    return source.mapInArrow(run, "block long, doc_ids array<long>, sizes array<long>, texts binary")
+    return source.mapInArrow(frees(run), "block long, doc_ids array<long>, sizes array<long>, texts binary")
 
 
 def _unpacked(row) -> list[bytes]:
@@ -321,7 +319,7 @@ def segments(flags: DataFrame, blocks: DataFrame, lead: int) -> DataFrame:
                 out.append((bucket, row.block, pack(np.array([x for x, _ in seen])), pack(np.array([len(s) for _, s in seen])), zstandard.ZstdCompressor(level=1).compress(text), pack(np.bincount(places)), pack(o), zstandard.ZstdCompressor(level=1).compress(ids[o].tobytes()), pack(first[a:b][order])))
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    return flags.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(run, schema)
+    return flags.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(frees_groups(run), schema)
 
 
 def covered(found: DataFrame) -> DataFrame:
@@ -373,7 +371,7 @@ def covered(found: DataFrame) -> DataFrame:
             result.append((int(pdf["block"].iloc[k]), pack(docs[at][own]), pack(s[own]), pack(e[own])))
         return pd.DataFrame(result, columns=["block", "docs", "starts", "ends"])
 
-    return found.groupBy("bucket").applyInPandas(run, "block long, docs binary, starts binary, ends binary")
+    return found.groupBy("bucket").applyInPandas(frees_group(run), "block long, docs binary, starts binary, ends binary")
 
 
 def smallest_ids(numbers: list[int], texts: list[bytes], least: np.ndarray, windows_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -433,7 +431,7 @@ def cut(marks: DataFrame, blocks: DataFrame, with_text: bool) -> DataFrame:
                 out.append((doc_id, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
 
-    return marks.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(run, schema)
+    return marks.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(frees_groups(run), schema)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
