@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         model = Ftrl()
+        pdf = pdf.sort_values(["numbers", "vals", "label"])  # a shuffle has no fixed order
         sets = [(np.frombuffer(a, "<i4"), np.frombuffer(b, "<f4")) for a, b in zip(pdf["numbers"], pdf["vals"], strict=True)]
         y = pdf["label"].to_numpy()
         for k in range(PASSES):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ CRLF = b"\r\n"
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Hadoop's names for object stores are not pyarrow's."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:/") else "file://" + uri[5:])
 
 
