@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import frees, frees_group, frees_groups, shuffle_partitions, text_or_empty
+from quarry.llm.common import frees, frees_group, frees_groups, shuffle_partitions, small_batches, text_or_empty
 
 #: Characters of a block; fewer where the ids are wanted too, which take more memory.
 BLOCK_BYTES, BLOCK_BYTES_WITH_IDS = 16 << 20, 6 << 20
@@ -265,6 +265,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     table = [b""] * (max(ranks.values()) + 1)
     for token, i in ranks.items():
         table[i] = token
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     buckets, most = 2 * shuffle_partitions(spark), BLOCK_BYTES_WITH_IDS if with_ids else BLOCK_BYTES

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import frees, frees_group, mix, slices, small, text_or_empty, windows, words_of, written
+from quarry.llm.common import frees, frees_group, mix, slices, small, small_batches, text_or_empty, windows, words_of, written
 from quarry.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -230,6 +230,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     without an id (component_id null, kept). Rows that share an id are one document with several texts.
     An empty table gives an empty result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     sketched = written(sketches(texts), "sketches")
     some = sketched.where("n_shingles > 0 and doc_id is not null")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_words, is_space, mix, release, slices, text_or_empty, words_of
+from quarry.llm.common import hash_words, is_space, mix, release, slices, small_batches, text_or_empty, words_of
 
 BITS = 18
 DIM = 1 << BITS
@@ -109,6 +109,7 @@ class Ftrl:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights (DIM, then the bias) from at most `rows` labelled rows; zeros if there are none."""
+    small_batches(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").withColumn("order", order).orderBy("order", "doc_id", "label").limit(rows)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import pack, unpack
-from quarry.llm.common import frees, frees_group, frees_groups, mix, powers, prefix_sums, shuffle_partitions, text_or_empty
+from quarry.llm.common import frees, frees_group, frees_groups, mix, powers, prefix_sums, shuffle_partitions, small_batches, text_or_empty
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 8 << 20
@@ -443,6 +443,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nothing and loses nothing. An empty table gives an empty result; other columns are not read. docs is
     read twice and has to be a table or another repeatable plan.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     lead = (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()
     blocks = packed_blocks(source)
