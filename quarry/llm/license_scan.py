@@ -114,8 +114,8 @@ def _gated() -> tuple[dict, list]:
     return by, [(p, label, f" {p} ") for p, label in PHRASES]
 
 
-#: Bytes one of which is in every text that a rule can match (each keyword but the digits, and each rule's other words).
-GATE = re.compile(rb"licen|apache|\bcc|gpl|cddl|wtfpl|creative|public|gnu|rights|0bsd|affero", re.I)
+#: Bytes one of which is in every text that a rule can match. '_' parts words, so \b does not show where one begins.
+GATE = re.compile(rb"licen|apache|(?<![0-9A-Za-z])cc|gpl|cddl|wtfpl|creative|public|gnu|rights|0bsd|affero", re.I)
 
 
 def detect(words: list[str]) -> tuple[list[tuple[int, int, str, float]], list[tuple[int, str]]]:

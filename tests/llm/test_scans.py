@@ -89,6 +89,14 @@ def test_licences_equal_brute_force(spark, docs, rows):
             assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+def test_phrases_between_underscores_equal_brute_force(spark):
+    texts = ["_CC BY-NC 4.0_", "is_cc_by_nc", "photo_cc-by-nc.jpg", "a cc_by_nc_b", "xcc by nc", "écc by nc", "é_cc by nc", "_under_the_MIT_license_", "x_apache_license_version_2_0"]
+    rows = L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.license_base(texts[r.doc_id])
+    assert {r.doc_id for r in rows if r.n_base} == {0, 1, 2, 3, 6, 7, 8}
+
+
 def labels(text):
     kept, _ = L.detect(L.WORD.findall(text.lower()))
     return [x for _, _, x, _ in kept]
