@@ -1,7 +1,7 @@
 """License scan: ordered signature rules over a text's words.
 
 A rule is a regular expression over the words joined by single spaces, with a label, a priority, a
-score and a keyword. Only rules whose keyword is among the text's words are tried. A detection that
+score and a keyword, a word that all it matches have. Only rules whose keyword is among the text's words are tried. A detection that
 lies inside a longer one goes; the others are taken by priority, then length, then place, and one
 that overlaps a detection already taken goes too.
 """
@@ -26,55 +26,56 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Phrases whose places are counted, with their labels (fixed values).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Licences: label; keyword that every name or identifier has; names; identifiers.
+#: Licences: label; names; SPDX identifiers (a longer one counts as its beginning: 'GFDL-1.3-only' is 'gfdl').
 LICENSES = (
-    ("mit", "mit", ("mit license", "mit licence", "mit x11 license"), ("mit",)),
-    ("mit-0", "mit", ("mit no attribution license", "mit 0 license"), ("mit 0",)),
-    ("x11", "x11", ("x11 license",), ("x11",)),
-    ("isc", "isc", ("isc license", "isc licence"), ("isc",)),
-    ("apache-1.1", "apache", ("apache software license version 1 1", "apache license 1 1"), ("apache 1 1",)),
-    ("apache-2", "apache", ("apache license version 2(?: 0)?", "apache license 2(?: 0)?", "apache 2(?: 0)? license", "apache software license 2(?: 0)?"), ("apache 2 0",)),
-    ("bsd-2-clause", "bsd", ("2 clause bsd license", "simplified bsd license", "bsd 2 clause license", "freebsd license"), ("bsd 2 clause",)),
-    ("bsd-3-clause", "bsd", ("3 clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause license"), ("bsd 3 clause",)),
-    ("bsd-4-clause", "bsd", ("4 clause bsd license", "original bsd license"), ("bsd 4 clause",)),
-    ("0bsd", "0bsd", ("0bsd license",), ("0bsd",)),
-    ("gpl-2", "2", ("gnu general public license version 2", "gnu gpl version 2", "gpl v? ?2", "gnu gpl v? ?2", "general public license v 2"), ("gpl 2 0(?: only| or later)?",)),
-    ("gpl-2", "gplv2", ("gplv2", "gnu gplv2"), ("gplv2",)),
-    ("gpl-3", "3", ("gnu general public license version 3", "gnu gpl version 3", "gpl v? ?3", "gnu gpl v? ?3", "general public license v 3"), ("gpl 3 0(?: only| or later)?",)),
-    ("gpl-3", "gplv3", ("gplv3", "gnu gplv3"), ("gplv3",)),
-    ("gpl", "gnu", ("gnu general public license", "gnu gpl"), ("gpl",)),
-    ("lgpl-2.1", "1", ("gnu lesser general public license version 2 1", "gnu lgpl version 2 1"), ("lgpl 2 1(?: only| or later)?",)),
-    ("lgpl-3", "3", ("gnu lesser general public license version 3", "gnu lgpl version 3"), ("lgpl 3 0(?: only| or later)?",)),
-    ("lgpl", "gnu", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl"), ("lgpl",)),
-    ("agpl-3", "3", ("gnu affero general public license version 3", "affero general public license version 3"), ("agpl 3 0(?: only| or later)?",)),
-    ("agpl", "affero", ("gnu affero general public license", "affero general public license"), ("agpl",)),
-    ("gfdl", "documentation", ("gnu free documentation license",), ("gfdl",)),
-    ("mpl-1.1", "mozilla", ("mozilla public license version 1 1",), ("mozilla mpl 1 1",)),
-    ("mpl-2", "mozilla", ("mozilla public license version 2(?: 0)?", "mozilla public license v 2(?: 0)?"), ("mozilla mpl 2 0",)),
-    ("mpl", "mozilla", ("mozilla public license",), ("mozilla mpl",)),
-    ("epl-1", "eclipse", ("eclipse public license version 1(?: 0)?",), ("eclipse epl 1 0",)),
-    ("epl-2", "eclipse", ("eclipse public license version 2(?: 0)?", "eclipse public license v 2(?: 0)?"), ("eclipse epl 2 0",)),
-    ("cddl", "cddl", ("common development and distribution license cddl", "cddl license"), ("cddl 1 0", "cddl 1 1")),
-    ("artistic-2", "artistic", ("artistic license 2(?: 0)?", "artistic license version 2(?: 0)?"), ("artistic 2 0",)),
-    ("boost", "boost", ("boost software license",), ("boost bsl 1 0",)),
-    ("zlib", "zlib", ("zlib license", "zlib libpng license"), ("zlib",)),
-    ("unlicense", "unlicense", ("the unlicense", "unlicense"), ("unlicense",)),
-    ("wtfpl", "wtfpl", ("wtfpl",), ("wtfpl",)),
-    ("python", "python", ("python software foundation license",), ("python 2 0",)),
-    ("postgresql", "postgresql", ("postgresql license",), ("postgresql",)),
-    ("ofl", "font", ("sil open font license",), ("ofl font 1 1",)),
-    ("odbl", "database", ("open database license",), ("odbl database 1 0",)),
-    ("cc0", "cc0", ("cc0 1 0", "cc0 license", "cc0 public domain dedication"), ("cc0 1 0",)),
-    ("cc-by-nc-nd", "nd", ("cc by nc nd(?: [1-4] 0)?", "creative commons attribution noncommercial no ?derivatives"), ("cc by nc nd [1-4] 0",)),
-    ("cc-by-nc-sa", "sa", ("cc by nc sa(?: [1-4] 0)?", "creative commons attribution non ?commercial share ?alike"), ("cc by nc sa [1-4] 0",)),
-    ("cc-by-nc", "nc", ("cc by nc(?: [1-4] 0)?",), ("cc by nc [1-4] 0",)),
-    ("cc-by-nc", "creative", ("creative commons attribution non ?commercial",), ()),
-    ("cc-by-sa", "sa", ("cc by sa(?: [1-4] 0)?",), ("cc by sa [1-4] 0",)),
-    ("cc-by-sa", "creative", ("creative commons attribution share ?alike",), ()),
-    ("cc-by-nd", "nd", ("cc by nd(?: [1-4] 0)?",), ("cc by nd [1-4] 0",)),
-    ("cc-by", "cc", ("cc by(?: [1-4] 0)?",), ("cc by [1-4] 0",)),
-    ("cc-by", "creative", ("creative commons attribution",), ()),
-    ("public-domain", "domain", ("public domain dedication", "released into the public domain", "placed in the public domain"), ()),
+    ("mit", ("mit license", "mit licence", "mit x11 license"), ("mit",)),
+    ("mit-0", ("mit no attribution license", "mit 0 license"), ("mit 0",)),
+    ("x11", ("x11 license",), ("x11",)),
+    ("isc", ("isc license", "isc licence"), ("isc",)),
+    ("apache-1.1", ("apache software license version 1 1", "apache license 1 1"), ("apache 1 1",)),
+    ("apache-2", ("apache license version 2(?: 0)?", "apache license 2(?: 0)?", "apache 2(?: 0)? license", "apache software license 2(?: 0)?"), ("apache 2 0",)),
+    ("bsd-2-clause", ("2 clause bsd license", "simplified bsd license", "bsd 2 clause license", "freebsd license"), ("bsd 2 clause",)),
+    ("bsd-3-clause", ("3 clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause license"), ("bsd 3 clause",)),
+    ("bsd-4-clause", ("4 clause bsd license", "original bsd license"), ("bsd 4 clause",)),
+    ("0bsd", ("0bsd license",), ("0bsd",)),
+    ("gpl-2", ("gnu general public license version 2", "gnu gpl version 2", "gpl v? ?2", "gnu gpl v? ?2", "general public license v 2"), ("gpl 2 0(?: only| or later)?",)),
+    ("gpl-2", ("gplv2", "gnu gplv2"), ("gplv2",)),
+    ("gpl-3", ("gnu general public license version 3", "gnu gpl version 3", "gpl v? ?3", "gnu gpl v? ?3", "general public license v 3"), ("gpl 3 0(?: only| or later)?",)),
+    ("gpl-3", ("gplv3", "gnu gplv3"), ("gplv3",)),
+    ("gpl", ("gnu general public license", "gnu gpl"), ("gpl",)),
+    ("lgpl-2.1", ("gnu lesser general public license version 2 1", "gnu lgpl version 2 1"), ("lgpl 2 1(?: only| or later)?",)),
+    ("lgpl-3", ("gnu lesser general public license version 3", "gnu lgpl version 3"), ("lgpl 3 0(?: only| or later)?",)),
+    ("lgpl", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl"), ("lgpl",)),
+    ("agpl-3", ("gnu affero general public license version 3", "affero general public license version 3"), ("agpl 3 0(?: only| or later)?",)),
+    ("agpl", ("gnu affero general public license", "affero general public license"), ("agpl",)),
+    ("gfdl", ("gnu free documentation license",), ("gfdl",)),
+    ("mpl-1.1", ("mozilla public license version 1 1",), ("mpl 1 1",)),
+    ("mpl-2", ("mozilla public license version 2(?: 0)?", "mozilla public license v 2(?: 0)?"), ("mpl 2 0",)),
+    ("mpl", ("mozilla public license",), ("mpl",)),
+    ("epl-1", ("eclipse public license version 1(?: 0)?",), ("epl 1 0",)),
+    ("epl-2", ("eclipse public license version 2(?: 0)?", "eclipse public license v 2(?: 0)?"), ("epl 2 0",)),
+    ("cddl", ("common development and distribution license cddl", "cddl license"), ("cddl 1 0", "cddl 1 1")),
+    ("artistic-2", ("artistic license 2(?: 0)?", "artistic license version 2(?: 0)?"), ("artistic 2 0",)),
+    ("boost", ("boost software license",), ("bsl 1 0",)),
+    ("zlib", ("zlib license", "zlib libpng license"), ("zlib",)),
+    ("unlicense", ("the unlicense", "unlicense"), ("unlicense",)),
+    ("wtfpl", ("wtfpl",), ("wtfpl",)),
+    ("python", ("python software foundation license",), ("python 2 0", "psf 2 0")),
+    ("postgresql", ("postgresql license",), ("postgresql",)),
+    ("ofl", ("sil open font license",), ("ofl 1 0", "ofl 1 1")),
+    ("odbl", ("open database license",), ("odbl 1 0",)),
+    ("cc0", ("cc0 1 0", "cc0 license", "cc0 public domain dedication"), ("cc0 1 0",)),
+    ("cc-by-nc-nd", ("cc by nc nd(?: [1-4] [05])?", "creative commons attribution non ?commercial no ?deriv(?:ative)?s"), ("cc by nc nd [1-4] [05]",)),
+    ("cc-by-nc-sa", ("cc by nc sa(?: [1-4] [05])?", "creative commons attribution non ?commercial share ?alike"), ("cc by nc sa [1-4] [05]",)),
+    ("cc-by-nc", ("cc by nc(?: [1-4] [05])?",), ("cc by nc [1-4] [05]",)),
+    ("cc-by-nc", ("creative commons attribution non ?commercial",), ()),
+    ("cc-by-sa", ("cc by sa(?: [1-4] [05])?",), ("cc by sa [1-4] [05]",)),
+    ("cc-by-sa", ("creative commons attribution share ?alike",), ()),
+    ("cc-by-nd", ("cc by nd(?: [1-4] [05])?",), ("cc by nd [1-4] [05]",)),
+    ("cc-by-nd", ("creative commons attribution no ?deriv(?:ative)?s",), ()),
+    ("cc-by", ("cc by(?: [1-4] [05])?",), ("cc by [1-4] [05]",)),
+    ("cc-by", ("creative commons attribution",), ()),
+    ("public-domain", ("public domain dedication", "released into the public domain", "placed in the public domain"), ()),
 )
 #: Frames around a name: priority, score, pattern.
 FRAMES = (
@@ -95,12 +96,26 @@ class Rule(NamedTuple):
     pattern: str
 
 
+#: Words that are a rule's keyword only if it has no others.
+COMMON = frozenset("general license licence new open original placed public released software the under version".split())
+
+
+def keyword(pattern: str) -> str:
+    """A word of every text that the pattern of a name or identifier matches; a longer and less common one, if it has several."""
+    plain, n = pattern, 1
+    while n:  # groups hold alternatives or may be left out
+        plain, n = re.subn(r"\(\?:[^()]*\)\??", "#", plain)
+    words = plain.split(" ")
+    own = [w for w, after in zip(words, [*words[1:], ""], strict=True) if re.fullmatch("[0-9a-z]+", w) and not after.startswith("?")]
+    return min(own, key=lambda w: (w in COMMON, -len(w)))
+
+
 def rules() -> list[Rule]:
     """In order of priority; several hundred, made of the names and frames above and the fixed phrases."""
-    out = [Rule(100, 1.0, label, phrase.split()[-1] if phrase != "apache license version 2" else "apache", phrase) for phrase, label in PHRASES]
-    for label, keyword, names, ids in LICENSES:
-        out += [Rule(95, 0.99, label, keyword, f"spdx license identifier {i}") for i in ids]
-        out += [Rule(p, s, label, keyword, f.format(name)) for name in names for p, s, f in FRAMES]
+    out = [Rule(100, 1.0, label, keyword(phrase), phrase) for phrase, label in PHRASES]
+    for label, names, ids in LICENSES:
+        out += [Rule(95, 0.99, label, keyword(i), f"spdx license identifier {i}") for i in ids]
+        out += [Rule(p, s, label, keyword(name), f.format(name)) for name in names for p, s, f in FRAMES]
     out.append(Rule(30, 0.5, "all-rights-reserved", "reserved", "all rights reserved"))
     return sorted(out, key=lambda r: -r.priority)
 

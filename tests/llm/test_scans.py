@@ -111,5 +111,38 @@ def test_longer_detections_win():
     assert labels("the Apache License, Version 2.0 or the MIT license") == ["apache-2", "mit"]
 
 
+def matches(pattern):
+    """Every text that a rule's pattern matches."""
+    if m := re.search(r"\(\?:([^()]*)\)(\??)", pattern):
+        parts = [*m[1].split("|"), *[""] * bool(m[2])]
+    elif m := re.search(r"\[([^]]*)\]", pattern):
+        parts = "1234" if m[1] == "1-4" else m[1]
+    elif m := re.search(r"(.)\?", pattern):
+        parts = (m[1], "")
+    else:
+        return {pattern}
+    return {x for part in parts for x in matches(pattern[: m.start()] + part + pattern[m.end() :])}
+
+
+def test_every_rule_fires_on_its_own_match():
+    by, _ = L._gated()
+    for rule in L.rules():
+        for text in matches(rule.pattern):
+            assert L.GATE.search(text.encode()), (rule, text)
+            words = L.WORD.findall(text)
+            assert rule.keyword in words, (rule, text)
+            assert any(r == rule and p.search(f" {' '.join(words)} ") for r, p in by[rule.keyword]), (rule, text)
+
+
+def test_versions_and_identifiers():
+    assert labels("licensed under GPL v2") == ["gpl-2"] and labels("GPL v3") == ["gpl-3"]
+    assert labels("Creative Commons Attribution-NonCommercial-ShareAlike 4.0") == labels("creative commons attribution non commercial share alike") == ["cc-by-nc-sa"]
+    assert labels("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0") == labels("creative commons attribution non commercial no derivatives") == ["cc-by-nc-nd"]
+    assert labels("Creative Commons Attribution-NoDerivatives 4.0") == ["cc-by-nd"] and labels("CC BY 2.5") == ["cc-by"]
+    ids = {"MPL-2.0": "mpl-2", "EPL-2.0": "epl-2", "BSL-1.0": "boost", "OFL-1.1": "ofl", "ODbL-1.0": "odbl", "GFDL-1.3-only": "gfdl", "AGPL-3.0-only": "agpl-3", "LGPL-2.1-or-later": "lgpl-2.1", "MPL-1.1": "mpl-1.1", "EPL-1.0": "epl-1", "CC-BY-SA-2.5": "cc-by-sa"}
+    for i, label in ids.items():
+        assert labels(f"SPDX-License-Identifier: {i}") == [label], i
+
+
 def test_licence_edges(empty, odd):
     assert L.license_scan(empty).count() == 0 and L.license_scan(odd).count() == 6
