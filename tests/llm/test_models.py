@@ -114,6 +114,58 @@ def test_probabilities_add_up_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def chained_rows():
+    """Three thousand words, far more than the head, each of which says which word is next."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    out = []
+    for i in range(1500):
+        at = r.randrange(3000)
+        out.append((i, " ".join(words[(at + k) % 3000] for k in range(r.randint(5, 60)))))
+    return out
+
+
+def test_words_outside_the_head_have_contexts(spark):
+    got = M.lm_scores(spark.createDataFrame(chained_rows(), "doc_id long, text string").repartition(3)).where("held_out").collect()
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -1.2  # a word's share alone is about -3.5
+
+
+def test_ngrams_are_exact_and_keep_the_sum():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 5, n).tolist() for n in rng.integers(0, 8, 200)]
+    after = {k: {} for k in range(3)}
+    for t in texts:
+        for i, w in enumerate([*t, "end"]):
+            one, two = t[i - 1] if i else "begin", (t[i - 2] if i > 1 else "begin") if i else None
+            for k, c in enumerate((two, one, (two, one))):
+                if k == 1 or i:
+                    after[k].setdefault(c, {}).setdefault(w, 0)
+                    after[k][c][w] += 1
+    weights = np.random.default_rng(1).random((3, M.BINS))
+    weights[:, 0] = 0
+    for two, one in [*after[2], (0, "new")]:
+        words = [*range(5), "end", "unseen"]
+        counts = np.array([[after[k].get(c, {}).get(w, 0) for w in words] for k, c in enumerate((two, one, (two, one)))])
+        contexts = np.array([[sum(after[k].get(c, {}).values())] * len(words) for k, c in enumerate((two, one, (two, one)))])
+        assert math.isclose(M.mixed(np.full(len(words), 1 / len(words)), counts, contexts, weights).sum(), 1)
+    # and what a block finds in its totals is the same
+    name = lambda w: np.uint64((w + 1) * 0x9E3779B97F4A7C15 % 2**64) if w != "end" else M.END
+    tokens = [(i, t, w) for t in texts for i, w in enumerate([*t, "end"])]
+    hashes, begins = np.array([name(w) for *_, w in tokens], np.uint64), np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    words, stream = np.unique(hashes, return_inverse=True)
+    every, at = np.unique(M.grams(hashes, begins, words), return_inverse=True)
+    parts = M.pd.DataFrame({"bucket": [0, -1], "totals": [M.pack(np.bincount(stream)), M.pack(np.bincount(at[: 3 * len(hashes)], minlength=len(every)))]})
+    vocab = M.Vocabulary(np.array([M.END]), np.array([0]), np.array([200.0]), *[None] * 4)
+    count, counts, contexts = M.counts_of(parts, words, stream, begins, vocab)
+    for j, (i, t, w) in enumerate(tokens):
+        one, two = t[i - 1] if i else "begin", (t[i - 2] if i > 1 else "begin") if i else None
+        for k, c in enumerate((two, one, (two, one))):
+            if k == 1 or i:
+                assert (counts[k, j], contexts[k, j]) == (after[k][c][w], sum(after[k][c].values()))
+            else:
+                assert contexts[k, j] == 0
+
+
 def test_lm_edges(spark, odd, empty):
     assert M.lm_scores(empty).count() == 0
     got = {(r.doc_id, r.n_tokens) for r in M.lm_scores(odd).collect()}
