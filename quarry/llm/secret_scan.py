@@ -26,9 +26,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs, so the shortest length can stand in the pattern.
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+#: Both alphabets in one run; it is parted by BASE64 only if the whole is no key.
+MIXED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Runs over line ends, also escaped ones.
+LINE_END = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*")
+WRAPPED = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "jwt", "armoured_key", "der_key", "openssh_key")
 MIN_VALUE, MIN_ACCESS = 6, 20
@@ -105,6 +110,35 @@ def signed_token(text: str) -> bool:
     return True
 
 
+def wrapped_keys(text: str) -> Iterator[tuple[int, int, str]]:
+    """Keys whose base64 goes over several lines. A key begins with a line, and its DER length says at which line's end it ends."""
+    for m in WRAPPED.finditer(text):
+        lines, at = [], m.start()
+        for e in LINE_END.finditer(text, m.start(), m.end()):
+            lines.append((at, e.start()))
+            at = e.end()
+        lines.append((at, m.end()))
+        joined = "".join(text[a:b] for a, b in lines).rstrip("=")
+        ends, n = {}, 0
+        for k, (a, b) in enumerate(lines):
+            n += len(text[a:b].rstrip("="))
+            ends[n] = k
+        n, done = 0, -1
+        for k, (a, b) in enumerate(lines):
+            size = None
+            if k > done and text.startswith("b3BlbnNzaC1rZXktdjE", a):
+                size = len(joined) - n
+            elif k > done and text.startswith("M", a) and (head := from_base64(joined[n : n + 8])) and len(head) == 6:
+                more = head[1] & 0x7F if head[1] & 0x80 else 0
+                if more <= 4:
+                    size = -(-4 * (2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])) // 3)
+            last = ends.get(n + size, -1) if size else -1
+            if last > k and (data := from_base64(joined[n : n + size])) and (kind := key_kind(data)):
+                yield a, lines[last][1], kind
+                done = last
+            n += len(text[a:b].rstrip("="))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = []
     low = text.lower()
@@ -122,13 +156,20 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if signed_token(m[0])]
     if "PRIVATE KEY-----" in text:
         for m in ARMOUR.finditer(text):
-            data = from_base64("".join(m[2].split()))
+            data = from_base64("".join(re.sub(r"\\[rn]", "", m[2]).split()))
             if data and key_kind(data):
                 found.append((m.start(), m.end(), "armoured_key"))
-    for pattern, decode in ((BASE64, from_base64), (ANY_HEX, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if (data := decode(m[0])) and (kind := key_kind(data)):
+    armoured = [(s, e) for s, e, k in found if k == "armoured_key"]
+    found += [x for x in wrapped_keys(text) if not any(s <= x[0] and x[1] <= e for s, e in armoured)]
+    for run in MIXED.finditer(text):
+        for m in (run, *BASE64.finditer(text, run.start(), run.end())):
+            if (data := from_base64(m[0])) and (kind := key_kind(data)):
                 found.append((m.start(), m.end(), kind))
+                if m is run:
+                    break
+    for m in ANY_HEX.finditer(text):
+        if kind := key_kind(bytes.fromhex(m[0])):
+            found.append((m.start(), m.end(), kind))
     return found
 
 

@@ -37,6 +37,18 @@ def test_structures_are_confirmed():
     assert kinds(base64.b64encode(b"openssh-key-v1\0" + b"\0\0\0\4none" * 2 + b"\0\0\0\0" + b"k" * 40).decode()) == ["openssh_key"]
 
 
+def test_base64url_and_wrapped_keys_are_confirmed():
+    for k in range(200):
+        url = base64.urlsafe_b64encode(der(0, 2**500 + 7**k, 65537, 2**499 + 3, 2**250 + 1, 2**249 + 5)).decode()
+        assert S.confirmed_spans(f"a {url} b") == [(2, 2 + len(url), "der_key")], k
+    body = base64.b64encode(RSA).decode()
+    for end in ("\n", "\r\n", "\\n", "\n    "):
+        lines = end.join(re.findall(".{1,64}", body))
+        for before, after in (("k: ", " x"), (f"k:{end}", f"{end}word")):
+            assert S.confirmed_spans(before + lines + after) == [(len(before), len(before) + len(lines), "der_key")], (end, before)
+    assert kinds(json.dumps({"key": PEM})) == ["armoured_key"] and kinds(PEM) == ["armoured_key"]
+
+
 def test_lookalikes_are_not():
     broken = bytearray(RSA)
     broken[1] ^= 1  # a length that no longer adds up
