@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -104,20 +103,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+class Kept(dict):
+    """What a process makes once. Functions travel by value, and a pickled Kept is empty, so tables are not sent along."""
+
+    def __reduce__(self):
+        return Kept, ()
+
 
+_KEPT = Kept()
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, _BASE, _U), np.full(n + 1, _INVERSE, _U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+def _byte_values() -> np.ndarray:
+    if "bytes" not in _KEPT:
+        _KEPT["bytes"] = mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+    return _KEPT["bytes"]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(STEP_BYTES * 2, 1 << max(1, n).bit_length()))
+    """Of the base, and of its inverse; n + 1 of each at least."""
+    n = max(STEP_BYTES * 2, 1 << max(1, n).bit_length())
+    if "powers" not in _KEPT or len(_KEPT["powers"][0]) <= n:
+        up, down = np.full(n + 1, _BASE, _U), np.full(n + 1, _INVERSE, _U)
+        up[0] = down[0] = 1
+        _KEPT["powers"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _KEPT["powers"]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Ascending. (np.unique hashes numbers of 64 bits, which is far slower than sorting them.)"""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import frees, frees_group, mix, slices, small, small_batches, text_or_empty, windows, words_of, written
+from quarry.llm.common import distinct, frees, frees_group, mix, slices, small, small_batches, text_or_empty, windows, words_of, written
 from quarry.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -40,7 +40,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     every = windows(hashes, SHINGLE)
     out = []
     for a, b in zip(begins[:-1], begins[1:], strict=True):
-        out.append(np.unique(every[a : b - SHINGLE + 1]) if b - a >= SHINGLE else windows(hashes[a:b], int(b - a)) if b > a else np.zeros(0, _U))
+        out.append(distinct(every[a : b - SHINGLE + 1]) if b - a >= SHINGLE else windows(hashes[a:b], int(b - a)) if b > a else np.zeros(0, _U))
     return out
 
 
