@@ -1,158 +1,119 @@
 """License scan: ordered signature rules over a text's words.
 
-A rule is a regular expression over the words joined by single spaces, with a label, a priority, a
-score and a keyword, a word that all it matches have. Only rules whose keyword is among the text's words are tried. A detection that
-lies inside a longer one goes; the others are taken by priority, then length, then place, and one
-that overlaps a detection already taken goes too.
+A rule (license_rules.py) is a regular expression over the words joined by single spaces, with a label, a priority,
+a score and keywords that are in all it matches. One Aho-Corasick pass finds which keywords a text has; only rules
+with all of theirs are tried, by their literal beginning. A detection that lies inside a longer one goes; the others
+are taken by priority, then length, then place, and one that overlaps a detection already taken goes too.
+
+Every step is linear in the text, or n log n in the number of detections; words are never made into a list.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_or_empty
-
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+from quarry.llm.common import frees, small_batches, text_or_empty
+from quarry.llm.license_rules import KINDS, SIGNATURES
 
 #: Phrases whose places are counted, with their labels (fixed values).
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-
-#: Licences: label; names; SPDX identifiers (a longer one counts as its beginning: 'GFDL-1.3-only' is 'gfdl').
-LICENSES = (
-    ("mit", ("mit license", "mit licence", "mit x11 license"), ("mit",)),
-    ("mit-0", ("mit no attribution license", "mit 0 license"), ("mit 0",)),
-    ("x11", ("x11 license",), ("x11",)),
-    ("isc", ("isc license", "isc licence"), ("isc",)),
-    ("apache-1.1", ("apache software license version 1 1", "apache license 1 1"), ("apache 1 1",)),
-    ("apache-2", ("apache license version 2(?: 0)?", "apache license 2(?: 0)?", "apache 2(?: 0)? license", "apache software license 2(?: 0)?"), ("apache 2 0",)),
-    ("bsd-2-clause", ("2 clause bsd license", "simplified bsd license", "bsd 2 clause license", "freebsd license"), ("bsd 2 clause",)),
-    ("bsd-3-clause", ("3 clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause license"), ("bsd 3 clause",)),
-    ("bsd-4-clause", ("4 clause bsd license", "original bsd license"), ("bsd 4 clause",)),
-    ("0bsd", ("0bsd license",), ("0bsd",)),
-    ("gpl-2", ("gnu general public license version 2", "gnu gpl version 2", "gpl v? ?2", "gnu gpl v? ?2", "general public license v 2"), ("gpl 2 0(?: only| or later)?",)),
-    ("gpl-2", ("gplv2", "gnu gplv2"), ("gplv2",)),
-    ("gpl-3", ("gnu general public license version 3", "gnu gpl version 3", "gpl v? ?3", "gnu gpl v? ?3", "general public license v 3"), ("gpl 3 0(?: only| or later)?",)),
-    ("gpl-3", ("gplv3", "gnu gplv3"), ("gplv3",)),
-    ("gpl", ("gnu general public license", "gnu gpl"), ("gpl",)),
-    ("lgpl-2.1", ("gnu lesser general public license version 2 1", "gnu lgpl version 2 1"), ("lgpl 2 1(?: only| or later)?",)),
-    ("lgpl-3", ("gnu lesser general public license version 3", "gnu lgpl version 3"), ("lgpl 3 0(?: only| or later)?",)),
-    ("lgpl", ("gnu lesser general public license", "gnu library general public license", "gnu lgpl"), ("lgpl",)),
-    ("agpl-3", ("gnu affero general public license version 3", "affero general public license version 3"), ("agpl 3 0(?: only| or later)?",)),
-    ("agpl", ("gnu affero general public license", "affero general public license"), ("agpl",)),
-    ("gfdl", ("gnu free documentation license",), ("gfdl",)),
-    ("mpl-1.1", ("mozilla public license version 1 1",), ("mpl 1 1",)),
-    ("mpl-2", ("mozilla public license version 2(?: 0)?", "mozilla public license v 2(?: 0)?"), ("mpl 2 0",)),
-    ("mpl", ("mozilla public license",), ("mpl",)),
-    ("epl-1", ("eclipse public license version 1(?: 0)?",), ("epl 1 0",)),
-    ("epl-2", ("eclipse public license version 2(?: 0)?", "eclipse public license v 2(?: 0)?"), ("epl 2 0",)),
-    ("cddl", ("common development and distribution license cddl", "cddl license"), ("cddl 1 0", "cddl 1 1")),
-    ("artistic-2", ("artistic license 2(?: 0)?", "artistic license version 2(?: 0)?"), ("artistic 2 0",)),
-    ("boost", ("boost software license",), ("bsl 1 0",)),
-    ("zlib", ("zlib license", "zlib libpng license"), ("zlib",)),
-    ("unlicense", ("the unlicense", "unlicense"), ("unlicense",)),
-    ("wtfpl", ("wtfpl",), ("wtfpl",)),
-    ("python", ("python software foundation license",), ("python 2 0", "psf 2 0")),
-    ("postgresql", ("postgresql license",), ("postgresql",)),
-    ("ofl", ("sil open font license",), ("ofl 1 0", "ofl 1 1")),
-    ("odbl", ("open database license",), ("odbl 1 0",)),
-    ("cc0", ("cc0 1 0", "cc0 license", "cc0 public domain dedication"), ("cc0 1 0",)),
-    ("cc-by-nc-nd", ("cc by nc nd(?: [1-4] [05])?", "creative commons attribution non ?commercial no ?deriv(?:ative)?s"), ("cc by nc nd [1-4] [05]",)),
-    ("cc-by-nc-sa", ("cc by nc sa(?: [1-4] [05])?", "creative commons attribution non ?commercial share ?alike"), ("cc by nc sa [1-4] [05]",)),
-    ("cc-by-nc", ("cc by nc(?: [1-4] [05])?",), ("cc by nc [1-4] [05]",)),
-    ("cc-by-nc", ("creative commons attribution non ?commercial",), ()),
-    ("cc-by-sa", ("cc by sa(?: [1-4] [05])?",), ("cc by sa [1-4] [05]",)),
-    ("cc-by-sa", ("creative commons attribution share ?alike",), ()),
-    ("cc-by-nd", ("cc by nd(?: [1-4] [05])?",), ("cc by nd [1-4] [05]",)),
-    ("cc-by-nd", ("creative commons attribution no ?deriv(?:ative)?s",), ()),
-    ("cc-by", ("cc by(?: [1-4] [05])?",), ("cc by [1-4] [05]",)),
-    ("cc-by", ("creative commons attribution",), ()),
-    ("public-domain", ("public domain dedication", "released into the public domain", "placed in the public domain"), ()),
-)
-#: Frames around a name: priority, score, pattern.
-FRAMES = (
-    (90, 0.95, r"licen[cs]ed under (?:the )?(?:terms of )?(?:the )?{}"),
-    (85, 0.9, r"(?:released|distributed|available|published|provided|made available) under (?:the )?(?:terms of )?(?:the )?{}"),
-    (80, 0.9, r"under (?:the )?(?:terms of )?(?:the )?{}"),
-    (75, 0.8, r"subject to (?:the )?(?:terms of )?(?:the )?{}"),
-    (70, 0.8, r"licen[cs]e (?:is )?(?:the )?{}"),
-    (40, 0.6, r"{}"),
-)
+#: Bytes of words as they are (A-Z lower-cased), all others as spaces.
+FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 class Rule(NamedTuple):
     priority: int
     score: float
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: str
 
 
-#: Words that are a rule's keyword only if it has no others.
-COMMON = frozenset("general license licence new open original placed public released software the under version".split())
-
-
-def keyword(pattern: str) -> str:
-    """A word of every text that the pattern of a name or identifier matches; a longer and less common one, if it has several."""
-    plain, n = pattern, 1
-    while n:  # groups hold alternatives or may be left out
-        plain, n = re.subn(r"\(\?:[^()]*\)\??", "#", plain)
-    words = plain.split(" ")
-    own = [w for w, after in zip(words, [*words[1:], ""], strict=True) if re.fullmatch("[0-9a-z]+", w) and not after.startswith("?")]
-    return min(own, key=lambda w: (w in COMMON, -len(w)))
-
-
 def rules() -> list[Rule]:
-    """In order of priority; several hundred, made of the names and frames above and the fixed phrases."""
-    out = [Rule(100, 1.0, label, keyword(phrase), phrase) for phrase, label in PHRASES]
-    for label, names, ids in LICENSES:
-        out += [Rule(95, 0.99, label, keyword(i), f"spdx license identifier {i}") for i in ids]
-        out += [Rule(p, s, label, keyword(name), f.format(name)) for name in names for p, s, f in FRAMES]
-    out.append(Rule(30, 0.5, "all-rights-reserved", "reserved", "all rights reserved"))
+    """The signatures in order of priority."""
+    out, label = [], ""
+    for line in filter(None, map(str.strip, SIGNATURES.splitlines())):
+        if line.startswith("["):
+            label = line[1:-1]
+        else:
+            kind, pattern = line.split(" ", 1)
+            certain = re.sub(r"\(\?:[^()]*\)(?:\?|\{[0-9,]+\})?", " ", pattern)  # without groups: they hold alternatives or may be left out
+            keywords = tuple(sorted({w.lower() for w in certain.split(" ") if re.fullmatch("[A-ZÀ-Þ0-9]*[A-ZÀ-Þ][A-ZÀ-Þ0-9]*", w)}))
+            out.append(Rule(*KINDS[kind], label, keywords, pattern.lower()))
     return sorted(out, key=lambda r: -r.priority)
 
 
-@lru_cache(maxsize=1)
-def _gated() -> tuple[dict, list]:
-    """Rules by keyword, compiled."""
-    by: dict[str, list] = {}
-    for r in rules():
-        by.setdefault(r.keyword, []).append((r, re.compile(f"(?<= )(?:{r.pattern})(?= )")))
-    return by, [(p, label, f" {p} ") for p, label in PHRASES]
-
-
-#: Bytes one of which is in every text that a rule can match. '_' parts words, so \b does not show where one begins.
-GATE = re.compile(rb"licen|apache|(?<![0-9A-Za-z])cc|gpl|cddl|wtfpl|creative|public|gnu|rights|0bsd|affero", re.I)
-
-
-def detect(words: list[str]) -> tuple[list[tuple[int, int, str, float]], list[tuple[int, str]]]:
-    """Detections that stay, (first word, one past the last, label, score), and places of the fixed phrases."""
-    by, phrases = _gated()
-    line = f" {' '.join(words)} "
-    have = set(words)
-    base = []
-    for phrase, label, padded in phrases:
-        at = line.find(padded)
-        while at >= 0:
-            base.append((line.count(" ", 0, at), label))
-            at = line.find(padded, at + 1)
-    found = []
-    for keyword in have & by.keys():
-        for rule, pattern in by[keyword]:
-            found += [(-rule.priority, m.start() - m.end(), m.start(), m.end(), rule.label, rule.score) for m in pattern.finditer(line)]
-    kept = []
-    for d in sorted(_outermost(found)):
-        if not any(k[2] < d[3] and d[2] < k[3] for k in kept):  # a part of it is taken
-            kept.append(d)
-    return sorted((line.count(" ", 0, s) - 1, line.count(" ", 0, e), label, score) for _, _, s, e, label, score in kept), base
+def bytewise(text: str) -> str:
+    """A character for each byte of the text's UTF-8: what lines, keywords and patterns are compared as."""
+    return text.encode("utf-8", "replace").decode("latin-1")
+
+
+def line_of(data: bytes) -> tuple[str, np.ndarray]:
+    """The words with a space before and after each, bytewise; and the places of the spaces."""
+    raw = np.frombuffer(b" " + data.translate(FOLD) + b" ", np.uint8)
+    blank = raw == 32
+    keep = np.ones(len(raw), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    raw = raw[keep]
+    return raw.tobytes().decode("latin-1"), np.flatnonzero(raw == 32)
+
+
+class Scanner:
+    """The rules by keyword, and the automaton that finds keywords; patterns are compiled when first needed."""
+
+    def __init__(self, signatures: list[Rule] | None = None):
+        self.rules = rules() if signatures is None else signatures
+        self.compiled: dict[int, re.Pattern] = {}
+        self.automaton = ahocorasick.Automaton()
+        self.by: dict[str, list[int]] = {}
+        for i, r in enumerate(self.rules):
+            self.by.setdefault(min(r.keywords, key=lambda k: (-len(k), k)), []).append(i)
+        for k in {k for r in self.rules for k in r.keywords}:
+            self.automaton.add_word(f" {bytewise(k)} ", k)
+        self.automaton.make_automaton()
+
+    def pattern(self, i: int) -> re.Pattern:
+        if i not in self.compiled:
+            self.compiled[i] = re.compile(f" {bytewise(self.rules[i].pattern)}(?= )")
+        return self.compiled[i]
+
+    def base(self, line: str, spaces: np.ndarray) -> list[tuple[int, str]]:
+        """First word and label of every place of a fixed phrase."""
+        out = []
+        for phrase, label in PHRASES:
+            at, places, wanted = 0, [], f" {phrase} "
+            while (at := line.find(wanted, at)) >= 0:
+                places.append(at)
+                at += 1
+            out += [(int(k), label) for k in np.searchsorted(spaces, places)]
+        return out
+
+    def detect(self, line: str, spaces: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """Detections that stay: first word, one past the last, label, score."""
+        have = {k for _, k in self.automaton.iter(line)}
+        found = []
+        for k in have & self.by.keys():
+            for i in self.by[k]:
+                r = self.rules[i]
+                if have.issuperset(r.keywords):
+                    found += [(-r.priority, m.start() - m.end(), m.start(), m.end(), r.label, r.score) for m in self.pattern(i).finditer(line)]
+        starts, kept = [], []  # by place; they do not overlap
+        for d in sorted(_outermost(found)):
+            i = bisect_left(starts, d[2])
+            if (i == 0 or kept[i - 1][3] <= d[2]) and (i == len(kept) or d[3] <= starts[i]):
+                starts.insert(i, d[2])
+                kept.insert(i, d)
+        first, last = (np.searchsorted(spaces, [d[j] for d in kept]).tolist() for j in (2, 3))
+        return [(a, b, d[4], d[5]) for a, b, d in zip(first, last, kept, strict=True)]
 
 
 def _outermost(found: list[tuple]) -> list[tuple]:
@@ -165,14 +126,6 @@ def _outermost(found: list[tuple]) -> list[tuple]:
     return out
 
 
-def count_words(data: bytes) -> int:
-    table = np.ones(256, bool)
-    table[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
-    table[65:91] = True
-    inside = table[np.frombuffer(data, np.uint8)]
-    return int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
-
-
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
@@ -180,29 +133,28 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_base counts the places of the fixed phrases, first_word and last_word are the smallest and largest
     of their first words (null without any); labels joins theirs and the rules'; score is the best
     detection's, 0 without one. Null text counts as empty: no words, no labels. Repeated rows are scanned
-    each; an empty table gives an empty result; other columns are not read.
+    each, a null id stays null; an empty table gives an empty result; other columns are not read. A row
+    needs memory in proportion to its own text.
     """
+    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner()
         for b in batches:
             rows = []
             for i in range(b.num_rows):
-                data = b.column(1)[i].as_py()
-                if not GATE.search(data):
-                    rows.append((count_words(data), 0, None, None, "", "", 0.0, ""))
-                    continue
-                words = WORD.findall(data.translate(LOWER).decode("utf-8", "replace"))
-                kept, base = detect(words)
+                line, spaces = line_of(b.column(1)[i].as_py())
+                base, kept = scanner.base(line, spaces), scanner.detect(line, spaces)
                 places, names = [p for p, _ in base], {x for _, x in base}
                 every = names | {x for _, _, x, _ in kept}
                 score = max([s for *_, s in kept], default=0.0)
-                rows.append((len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(names)), ",".join(sorted(every)), float(score), ",".join(f"{x}:{s}:{e}" for s, e, x, _ in kept)))
+                rows.append((len(spaces) - 1, len(base), min(places, default=None), max(places, default=None), ",".join(sorted(names)), ",".join(sorted(every)), float(score), ",".join(f"{x}:{s}:{e}" for s, e, x, _ in kept)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], NAMES)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(scan, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections string")
+    return source.mapInArrow(frees(scan), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections string")
 
 
 NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
