@@ -1,8 +1,9 @@
 """Secret scan: three pattern kinds, and structural confirmation of encoded candidates.
 
 Runs of base64 or hex characters are decoded and only reported if the bytes parse as something
-secret: a DER private key whose nested lengths add up, an OpenSSH key container, or a signed token
-whose header is a JSON object with an algorithm. Spans are in code points, end exclusive.
+secret: a DER private key whose nested lengths add up, an OpenSSH key container whose parts do, an
+armoured key under headers that name its cipher, or a signed token whose header is a JSON object
+with an algorithm. Spans are in code points, end exclusive. Every step is linear in the text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,11 +34,18 @@ MIXED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 LINE_END = re.compile(r"(?:\r?\n|\\r\\n|\\n)[ \t]*")
 WRAPPED = re.compile(r"(?:(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]{16,}(?:(?:\r?\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2}){24,}")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
+#: A token begins after a character that no token has, so that every run is read once.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+")
+#: Armour, with the headers of encrypted keys.
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----((?:[ \t]*(?:\r?\n|\\r\\n|\\n)[A-Za-z][A-Za-z0-9-]{0,40}:[^\r\n\\]{0,200})*+)((?:[A-Za-z0-9+/=\s]|\\[rn])++)-----END \1-----")
+CIPHER = re.compile(r"DEK-Info: *[A-Z0-9-]+, *([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})(?![0-9A-Fa-f])")
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "jwt", "armoured_key", "der_key", "openssh_key")
 MIN_VALUE, MIN_ACCESS = 6, 20
+#: Bytes that no single key exceeds (an RSA key of 16,384 bits has 9.3 KB).
+MOST_KEY = 1 << 16
+#: How the object identifiers of password-based encryption begin (PKCS 5 and 12).
+ENCRYPTION = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c"))
 
 
 def der_tree(data: bytes, depth: int = 0) -> list | None:
@@ -64,16 +73,35 @@ def der_tree(data: bytes, depth: int = 0) -> list | None:
     return found
 
 
+def openssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key container that data begins with: magic, cipher, key derivation, its options, number of
+    keys, that many public keys, the private part, each with its length before it. None if it is not whole."""
+
+    def after(at: int) -> int | None:
+        if at is None or at + 4 > len(data):
+            return None
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        return at if at <= len(data) else None
+
+    if not data.startswith(b"openssh-key-v1\0"):
+        return None
+    at = after(after(after(15)))
+    if at is None or at + 4 > len(data):
+        return None
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return None
+    for _ in range(keys + 1):
+        at = after(at)
+    return at
+
+
 def key_kind(data: bytes) -> str | None:
     """What decoded bytes hold: der_key, openssh_key or None."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at, parts = 15, 0
-        while at + 4 <= len(data) and parts < 3:  # cipher, kdf and its options are length-prefixed
-            size = int.from_bytes(data[at : at + 4], "big")
-            if at + 4 + size > len(data):
-                return None
-            at, parts = at + 4 + size, parts + 1
-        return "openssh_key" if parts == 3 else None
+    if len(data) > MOST_KEY:
+        return None
+    if openssh_size(data):
+        return "openssh_key"
     if len(data) < 24 or data[0] != 0x30:
         return None
     tree = der_tree(data)
@@ -85,6 +113,9 @@ def key_kind(data: bytes) -> str | None:
         tags = [t for t, _ in parts[1:]]
         if 0x04 in tags[:2] or (len(tags) >= 4 and set(tags[:4]) == {0x02}):
             return "der_key"
+    # Encrypted ones are an encryption algorithm and an octet string.
+    if [t for t, _ in parts] == [0x30, 0x04] and parts[0][1] and parts[0][1][0][0] == 0x06 and parts[0][1][0][1].startswith(ENCRYPTION):
+        return "der_key"
     return None
 
 
@@ -127,12 +158,14 @@ def wrapped_keys(text: str) -> Iterator[tuple[int, int, str]]:
         for k, (a, b) in enumerate(lines):
             size = None
             if k > done and text.startswith("b3BlbnNzaC1rZXktdjE", a):
-                size = len(joined) - n
+                piece = joined[n : n + MOST_KEY // 3 * 4]
+                head = from_base64(piece[: len(piece) - (len(piece) % 4 == 1)])
+                size = -(-4 * whole // 3) if head and (whole := openssh_size(head)) else None
             elif k > done and text.startswith("M", a) and (head := from_base64(joined[n : n + 8])) and len(head) == 6:
                 more = head[1] & 0x7F if head[1] & 0x80 else 0
                 if more <= 4:
                     size = -(-4 * (2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])) // 3)
-            last = ends.get(n + size, -1) if size else -1
+            last = ends.get(n + size, -1) if size and size <= MOST_KEY * 4 // 3 else -1
             if last > k and (data := from_base64(joined[n : n + size])) and (kind := key_kind(data)):
                 yield a, lines[last][1], kind
                 done = last
@@ -156,11 +189,13 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "jwt") for m in TOKEN.finditer(text) if signed_token(m[0])]
     if "PRIVATE KEY-----" in text:
         for m in ARMOUR.finditer(text):
-            data = from_base64("".join(re.sub(r"\\[rn]", "", m[2]).split()))
-            if data and key_kind(data):
+            data = from_base64("".join(re.sub(r"\\[rn]", "", m[3]).split()))
+            cipher = CIPHER.search(m[2])
+            if data and ((len(data) % (len(cipher[1]) // 2) == 0 if cipher else key_kind(data))):
                 found.append((m.start(), m.end(), "armoured_key"))
     armoured = [(s, e) for s, e, k in found if k == "armoured_key"]
-    found += [x for x in wrapped_keys(text) if not any(s <= x[0] and x[1] <= e for s, e in armoured)]
+    starts = [s for s, _ in armoured]
+    found += [x for x in wrapped_keys(text) if not (i := bisect_right(starts, x[0])) or armoured[i - 1][1] < x[1]]
     for run in MIXED.finditer(text):
         for m in (run, *BASE64.finditer(text, run.start(), run.end())):
             if (data := from_base64(m[0])) and (kind := key_kind(data)):
@@ -182,7 +217,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     spans lists kind:start:end of the patterns and of the confirmed structures. Null text counts as
-    empty, and has no spans (an empty string, and its digest). Repeated rows are scanned each; an empty
+    empty, and has no spans (an empty string, and its digest). Repeated rows are scanned each, a null id stays null; an empty
     table gives an empty result; other columns are not read. A row needs memory for its own text only.
     """
 
