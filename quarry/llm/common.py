@@ -90,6 +90,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def text_bytes(source: DataFrame, column: str = "text") -> int:
+    """Bytes in a column of texts; one pass over that column, in the JVM."""
+    return source.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
+def ranges(spark: SparkSession, n_bytes: int, each: int, factor: int = 1) -> int:
+    """Into how many hash ranges that much data is dealt: as many as hold `each` bytes, `factor` times the shuffle partitions at least."""
+    return max(factor * shuffle_partitions(spark), -(-n_bytes // each))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -135,6 +145,17 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of numbers below 2^32: the rank of each among the distinct ones, and how often each of those occurs."""
+    packed = np.sort(values.astype(_U) << _U(32) | np.arange(len(values), dtype=_U))
+    if not len(packed):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.append(True, (packed[1:] ^ packed[:-1]) >> _U(32) != 0)
+    rank = np.empty(len(packed), np.int64)
+    rank[(packed & _U(0xFFFFFFFF)).astype(np.int64)] = np.cumsum(new) - 1
+    return rank, np.diff(np.append(np.flatnonzero(new), len(packed)))
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """sums[j] - sums[i] times inverse power i is the polynomial hash of data[i:j]."""
     sums = np.zeros(len(data) + 1, _U)

@@ -6,15 +6,17 @@ suffix array of everything would not fit a machine, so runs are dealt out by con
 1. Every run has an anchor: the GRAM bytes in it with the smallest hash. Equal runs have equal anchors.
    Blocks of documents send the hashes of their anchors, packed, to buckets of the hash range, and get
    back a bit for each: whether it occurs in another document. All other runs occur in one document only.
-2. Around a repeated anchor, the runs that belong to it form a short segment. Equal segments of a block
-   are sent once, with their places, to the anchor's bucket, where equal ones of all blocks meet.
+2. Around a repeated anchor, the runs that belong to it form a short segment. A block sends each segment that
+   differs once, with the smallest id that has it, to the anchor's bucket; places stay with the block. Runs of
+   an anchor that has very many are dealt out one by one, by a hash of all their bytes.
 3. A bucket sorts the suffixes of the segments that differ: two-stage sorting sorts only suffixes that
    are smaller than their successors, by LENGTH bytes, and induces the others by scanning the buckets
-   of first bytes. Neighbours whose common prefix reaches LENGTH are equal runs; the smallest id of each
-   group decides which places are covered.
-4. Blocks get the covered ranges back, unite them and cut the texts.
+   of first bytes. Neighbours whose common prefix reaches LENGTH are equal runs, and get the smallest id of all.
+4. Blocks get the smallest ids of their segments' runs back, compare them with the ids at each place, unite what
+   is covered and cut the texts.
 
-Tasks hold one block or one bucket; an anchor that a third of all documents share is a row per block.
+Tasks hold one block or one bucket, whose number follows the bytes of the input; a passage that a third of all
+documents share is a row per block.
 """
 
 from __future__ import annotations
@@ -31,10 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import pack, unpack
-from quarry.llm.common import frees, frees_group, frees_groups, mix, powers, prefix_sums, shuffle_partitions, small_batches, text_or_empty
+from quarry.llm.common import frees, frees_group, frees_groups, mix, numbered, powers, prefix_sums, ranges, small_batches, text_bytes, text_or_empty
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for each bucket; anchors of more than HOT_RUNS runs are dealt out run by run, so what one of them
+#: brings into a bucket has fewer than 2^24 bytes.
+BUCKET_BYTES, HOT_RUNS = 16 << 20, 200_000
 #: Bytes that one vectorised step looks at; of suffixes that are sorted together (more if one anchor has more).
 PIECE, SORT_BYTES = 1 << 20, 1 << 20
 _U = np.uint64
@@ -53,21 +58,23 @@ def words_at(text: np.ndarray, reach: int) -> np.ndarray:
 
 
 def sort_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The places in the order of their first `depth` bytes at least, by eight bytes at a time among those still equal."""
-    order = at[np.argsort(words[at], kind="stable")]
+    """The places in the order of their first `depth` bytes at least: by eight bytes, then among those still equal by five more at a time."""
+    if not len(at):
+        return at
+    order = at[np.argsort(words[at])]
     key = words[order]
     new = np.append(True, key[1:] != key[:-1])
-    for d in range(8, depth, 8):
-        group = np.cumsum(new)
+    rest = np.arange(len(order))
+    for d in range(8, depth, 5):
         alone = new & np.append(new[1:], True)
-        rest = np.flatnonzero(~alone)
+        rest = rest[~alone]
         if not len(rest):
             break
-        key = words[order[rest] + d]
-        by = np.lexsort((key, group[rest]))
-        order[rest] = order[rest[by]]
-        key, own = key[by], group[rest][by]
-        new[rest[1:]] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        group = np.cumsum(new[~alone]).astype(_U)  # of the places that are equal so far; fewer than 2^24
+        key = group << _U(40) | words[order[rest] + d] >> _U(24)
+        by = np.argsort(key)
+        order[rest], key = order[rest[by]], key[by]
+        new = np.append(True, key[1:] != key[:-1])
     return order
 
 
@@ -76,7 +83,7 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     n = len(text)
     change = np.flatnonzero(text[1:] != text[:-1])  # last places of runs of one byte
     ends = np.append(change, n - 1)
-    run_end = ends[np.searchsorted(ends, np.arange(n))]
+    run_end = np.repeat(ends, np.diff(ends, prepend=-1))
     after = np.append(text.astype(np.int16), -1)
     return after[run_end + 1] > text[run_end]
 
@@ -204,11 +211,12 @@ class Runs:
         self.owner, self.first, self.last, self.number = self.owner[order], self.first[order], self.last[order], self.number[order]
         self.heads = np.flatnonzero(np.append(True, self.number[1:] != self.number[:-1])) if len(order) else np.zeros(0, np.int64)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the anchors, ascending, and whether each has several owners."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the anchors, ascending, whether each has several owners, and its runs."""
         if not len(self.heads):
-            return self.number, np.zeros(0, bool)
-        return self.number[self.heads], np.minimum.reduceat(self.owner, self.heads) != np.maximum.reduceat(self.owner, self.heads)
+            return self.number, np.zeros(0, bool), np.zeros(0, np.int64)
+        several = np.minimum.reduceat(self.owner, self.heads) != np.maximum.reduceat(self.owner, self.heads)
+        return self.number[self.heads], several, np.diff(np.append(self.heads, len(self.number)))
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
@@ -245,33 +253,37 @@ def unpack_ascending(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data).astype(np.int64))
 
 
+def _digest(numbers: np.ndarray) -> int:
+    return int(mix(numbers).sum(dtype=_U).astype(np.int64)) if len(numbers) else 0
+
+
 def anchor_lists(source: DataFrame, lead: int) -> DataFrame:
-    """bucket, block, anchors, several: the distinct anchors of each block and bucket, and bits: in several of its documents."""
+    """bucket, block, anchors, several, counts, digest: the distinct anchors of each block and bucket, bits (in several of its documents), and how many runs each has."""
 
     def run(batches):
         for number, _, texts in blocks_of(batches):
-            numbers, several = Runs(texts, lead).distinct()
-            rows = [(bucket, number, pack_ascending(_low(numbers[a:b])), np.packbits(several[a:b]).tobytes()) for bucket, a, b in _by_bucket(numbers)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "anchors", "several"])
+            numbers, several, counts = Runs(texts, lead).distinct()
+            rows = [(bucket, number, pack_ascending(_low(numbers[a:b])), np.packbits(several[a:b]).tobytes(), pack(counts[a:b]), _digest(numbers[a:b])) for bucket, a, b in _by_bucket(numbers)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["bucket", "block", "anchors", "several", "counts", "digest"])
 
-    return source.mapInArrow(frees(run), "bucket long, block long, anchors binary, several binary")
+    return source.mapInArrow(frees(run), "bucket long, block long, anchors binary, several binary, counts binary, digest long")
 
 
 def repeated_anchors(lists: DataFrame) -> DataFrame:
-    """bucket, block, n, repeated: for each of the block's anchors in the bucket a bit, whether another document has it."""
+    """bucket, block, n, repeated, hot, digest: for each of the block's anchors in the bucket a bit, whether another document has it, and one, whether it has more than HOT_RUNS runs."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [unpack_ascending(x) for x in pdf["anchors"]]
         several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(o)).astype(bool) for x, o in zip(pdf["several"], own, strict=True)]
-        _, at, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        more = np.bincount(at, np.concatenate(several)) > 0
-        more |= n > 1
-        ends = np.cumsum([len(o) for o in own])
-        bits = [np.packbits(x).tobytes() for x in np.split(more[at], ends[:-1])]
-        return pd.DataFrame({"bucket": pdf["bucket"], "block": pdf["block"], "n": [len(o) for o in own], "repeated": bits})
+        at, n = numbered(np.concatenate(own))
+        more = (np.bincount(at, np.concatenate(several)) > 0) | (n > 1)
+        many = np.bincount(at, np.concatenate([unpack(x) for x in pdf["counts"]])) > HOT_RUNS
+        ends = np.cumsum([len(o) for o in own])[:-1]
+        bits, hot = ([np.packbits(x).tobytes() for x in np.split(flag[at], ends)] for flag in (more, many & more))
+        return pd.DataFrame({"bucket": pdf["bucket"], "block": pdf["block"], "n": [len(o) for o in own], "repeated": bits, "hot": hot, "digest": pdf["digest"]})
 
-    return lists.groupBy("bucket").applyInPandas(frees_group(run), "bucket long, block long, n long, repeated binary")
+    return lists.groupBy("bucket").applyInPandas(frees_group(run), "bucket long, block long, n long, repeated binary, hot binary, digest long")
 
 
 def packed_blocks(source: DataFrame) -> DataFrame:
@@ -291,133 +303,161 @@ def _unpacked(row) -> list[bytes]:
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def _one_by_one(texts: list[bytes], owner: np.ndarray, first: np.ndarray, last: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, place and number of every window of the runs, numbered by a hash of the window's bytes."""
+    size = last - first + LENGTH
+    ends = np.cumsum(size)
+    data = np.frombuffer(b"".join(texts[o][f : t + LENGTH] for o, f, t in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint8)
+    n = last - first + 1
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    sums, at = prefix_sums(data), np.repeat(ends - size, n) + step
+    hashes = mix(mix((sums[at + LENGTH] - sums[at]) * powers(len(data))[1][at]) + _U(0x2545F4914F6CDD1D))
+    return np.repeat(owner, n), np.repeat(first, n) + step, hashes >> _U(32 - lead)
+
+
 def segments(flags: DataFrame, blocks: DataFrame, lead: int) -> DataFrame:
-    """bucket, block and, packed: the distinct segments of repeated anchors (anchors, sizes, text) and their places (uses: how many each; docs, ids, starts)."""
-    schema = "bucket long, block long, anchors binary, sizes binary, text binary, uses binary, docs binary, ids binary, starts binary"
+    """Of each block, by bucket, its distinct segments of repeated anchors (anchors, sizes, text) with the smallest id that has each (ids);
+    and in a bucket below 0 of its own, where they all stand: how often each occurs (uses), in which documents (docs), from where on (starts)."""
+    schema = "bucket long, block long, anchors binary, sizes binary, text binary, ids binary, uses binary, docs binary, starts binary"
+    zipped = zstandard.ZstdCompressor
 
     def run(marks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         marks = marks.sort_values("bucket")
-        bits = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(marks["repeated"], marks["n"], strict=True)]
-        repeated = np.concatenate(bits) if bits else np.zeros(0, bool)
+        repeated, hot = (np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(marks[c], marks["n"], strict=True)] or [np.zeros(0, bool)]) for c in ("repeated", "hot"))
         for row in rows.itertuples(index=False):
             texts = _unpacked(row)
             runs = Runs(texts, lead)
-            if len(runs.heads) != len(repeated):
+            if len(runs.heads) != len(repeated) or _digest(runs.number[runs.heads]) != int(marks["digest"].to_numpy(np.int64).sum()):
                 raise RuntimeError("two readings of a block differ; write the input to a table first")
             ids = np.array([-(2**63) if i is None or i != i else int(i) for i in row.doc_ids], np.int64)
-            take = np.flatnonzero(np.repeat(repeated, np.diff(np.append(runs.heads, len(runs.number)))) & (ids[runs.owner] != -(2**63)))
-            if not len(take):
-                continue
+            each = np.diff(np.append(runs.heads, len(runs.number)))
+            has_id = ids[runs.owner] != -(2**63)
+            take = np.flatnonzero(np.repeat(repeated & ~hot, each) & has_id)
             owner, first, last, number = runs.owner[take], runs.first[take], runs.last[take], runs.number[take]
+            if hot.any():
+                take = np.flatnonzero(np.repeat(hot, each) & has_id)
+                more = _one_by_one(texts, runs.owner[take], runs.first[take], runs.last[take], lead)
+                owner, first, last, number = (np.concatenate(x) for x in zip((owner, first, last, number), (more[0], more[1], more[1], more[2]), strict=True))
+                order = np.argsort(number, kind="stable")
+                owner, first, last, number = owner[order], first[order], last[order], number[order]
+            if not len(number):
+                continue
+            held = []
             for bucket, a, b in _by_bucket(number):
                 seen: dict[tuple, int] = {}
-                places = [seen.setdefault((x, texts[o][f : t + LENGTH]), len(seen)) for x, o, f, t in zip(_low(number[a:b]).tolist(), owner[a:b].tolist(), first[a:b].tolist(), last[a:b].tolist(), strict=True)]
+                places = np.array([seen.setdefault((x, texts[o][f : t + LENGTH]), len(seen)) for x, o, f, t in zip(_low(number[a:b]).tolist(), owner[a:b].tolist(), first[a:b].tolist(), last[a:b].tolist(), strict=True)])
                 order = np.argsort(places, kind="stable")
+                uses = np.bincount(places)
                 o = owner[a:b][order]
-                text = b"".join(s for _, s in seen)
-                out.append((bucket, row.block, pack(np.array([x for x, _ in seen])), pack(np.array([len(s) for _, s in seen])), zstandard.ZstdCompressor(level=1).compress(text), pack(np.bincount(places)), pack(o), zstandard.ZstdCompressor(level=1).compress(ids[o].tobytes()), pack(first[a:b][order])))
+                least = np.minimum.reduceat(ids[o], np.cumsum(uses) - uses)
+                out.append((bucket, row.block, pack(np.array([x for x, _ in seen])), pack(np.array([len(s) for _, s in seen])), zipped(level=1).compress(b"".join(s for _, s in seen)), zipped(level=1).compress(least.tobytes()), None, None, None))
+                held.append((uses, o, first[a:b][order]))
+            uses, docs, starts = (pack(np.concatenate(x)) for x in zip(*held, strict=True))
+            out.append((-1 - row.block, row.block, None, None, None, None, uses, docs, starts))
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
     return flags.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(frees_groups(run), schema)
 
 
-def covered(found: DataFrame) -> DataFrame:
-    """block, docs, starts, ends: ranges of bytes that go, packed, for each block and bucket."""
+def judged(found: DataFrame) -> DataFrame:
+    """For each block and bucket, of its segments in turn: into how many runs of windows with one smallest id they part, the runs' lengths and ids. A block's places are passed on."""
+    schema = "bucket long, block long, parts binary, lengths binary, ids binary, uses binary, docs binary, starts binary"
+    unzip, zipped = zstandard.ZstdDecompressor, zstandard.ZstdCompressor
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        numbers, texts, uses, docs, ids, starts, block = [], [], [], [], [], [], []
-        unzip = zstandard.ZstdDecompressor()
-        for k, row in enumerate(pdf.itertuples(index=False)):
+        if pdf["bucket"].iloc[0] < 0:
+            return pdf.assign(parts=None, lengths=None, ids=None)[[x.split()[0] for x in schema.split(", ")]]
+        numbers, texts, ids, held = [], [], [], []
+        for row in pdf.itertuples(index=False):
             sizes = unpack(row.sizes).astype(np.int64)
-            data, ends = unzip.decompress(row.text, max_output_size=int(sizes.sum()) + 1), np.cumsum(sizes).tolist()
+            data, ends = unzip().decompress(row.text, max_output_size=int(sizes.sum()) + 1), np.cumsum(sizes).tolist()
             texts += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             numbers.append(unpack(row.anchors))
-            uses.append(unpack(row.uses).astype(np.int64))
-            docs.append(unpack(row.docs))
-            starts.append(unpack(row.starts).astype(np.int64))
-            ids.append(np.frombuffer(unzip.decompress(row.ids, max_output_size=8 * len(docs[-1]) + 1), np.int64))
-            block.append(np.full(len(docs[-1]), k))
-        numbers, uses, docs, ids, starts, block = (np.concatenate(x) for x in (numbers, uses, docs, ids, starts, block))
+            ids.append(np.frombuffer(unzip().decompress(row.ids, max_output_size=8 * len(sizes) + 1), np.int64))
+            held.append(len(sizes))
+        numbers, ids = np.concatenate(numbers), np.concatenate(ids)
         known: dict[tuple, int] = {}
         kind = np.fromiter((known.setdefault((n, t), len(known)) for n, t in zip(numbers.tolist(), texts, strict=True)), np.int64, len(texts))
         least = np.full(len(known), 2**63 - 1)
-        of = np.repeat(kind, uses)  # the distinct segment at each place
-        np.minimum.at(least, of, ids)
-        windows_ = np.array([len(t) for _, t in known]) - LENGTH + 1
-        where, value = smallest_ids([n for n, _ in known], [t for _, t in known], least, windows_)
-        # ranges of windows whose smallest id is below the document's own
-        count = windows_[of]
-        whole = where[of] < 0
-        gone = whole & (least[of] < ids)
-        s, e = [starts[gone]], [starts[gone] + count[gone]]
-        at = [np.flatnonzero(gone)]
-        mixed = np.flatnonzero(~whole)
-        if len(mixed):
-            n = count[mixed]
-            place = np.repeat(np.arange(len(mixed)), n)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out = value[where[of[mixed]][place] + step] < ids[mixed][place]
-            new = out & ~np.append(False, out[:-1] & (place[1:] == place[:-1]))
-            end = out & ~np.append(out[1:] & (place[1:] == place[:-1]), False)
-            a, b = np.flatnonzero(new), np.flatnonzero(end)
-            s.append(starts[mixed][place[a]] + step[a])
-            e.append(starts[mixed][place[b]] + step[b] + 1)
-            at.append(mixed[place[a]])
-        s, e, at = np.concatenate(s), np.concatenate(e) + LENGTH - 1, np.concatenate(at)
-        result = []
-        for k in np.unique(block[at]):
-            own = block[at] == k
-            result.append((int(pdf["block"].iloc[k]), pack(docs[at][own]), pack(s[own]), pack(e[own])))
-        return pd.DataFrame(result, columns=["block", "docs", "starts", "ends"])
-
-    return found.groupBy("bucket").applyInPandas(frees_group(run), "block long, docs binary, starts binary, ends binary")
-
-
-def smallest_ids(numbers: list[int], texts: list[bytes], least: np.ndarray, windows_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct segments of anchors: where each one's windows stand in the second result, which has the smallest id of each window.
-
-    -1 for an anchor's only segment: its windows occur nowhere else, and not twice in it, so its own smallest id holds.
-    """
-    where = np.full(len(texts), -1, np.int64)
-    order = np.argsort(numbers, kind="stable")
-    number = np.array(numbers)[order]
-    new = np.append(True, number[1:] != number[:-1])
-    several = order[~(new & np.append(new[1:], True))]
-    values, held, total, at = [], [], 0, 0
-    offset = 0
-    while at < len(several):
+        np.minimum.at(least, kind, ids)
+        del texts
+        begins, value = smallest_ids([n for n, _ in known], [t for _, t in known], least)
+        # runs of windows with one value, by distinct segment
+        new = np.append(True, value[1:] != value[:-1])
+        new[begins] = True
+        heads = np.flatnonzero(new)
+        lengths, values = np.diff(np.append(heads, len(value))), value[heads]
+        of = np.searchsorted(heads, begins)
+        parts = np.diff(np.append(of, len(heads)))
+        out, at = [], 0
+        for block, n in zip(pdf["block"], held, strict=True):
+            k = kind[at : at + n]
+            take = np.repeat(of[k] - np.cumsum(parts[k]) + parts[k], parts[k]) + np.arange(parts[k].sum())
+            out.append((block, pack(parts[k]), pack(lengths[take]), zipped(level=1).compress(values[take].tobytes())))
+            at += n
+        result = pd.DataFrame(out, columns=["block", "parts", "lengths", "ids"])
+        return result.assign(bucket=pdf["bucket"].iloc[0], uses=None, docs=None, starts=None)[[x.split()[0] for x in schema.split(", ")]]
+
+    return found.groupBy("bucket").applyInPandas(frees_group(run), schema)
+
+
+def smallest_ids(numbers: list[int], texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct segments of anchors: where each one's windows begin in the second result, which has the smallest id of each window in turn."""
+    windows_ = np.array([len(t) for t in texts]) - LENGTH + 1
+    begins = np.cumsum(windows_) - windows_
+    values = np.empty(int(windows_.sum()), np.int64)
+    order = np.argsort(numbers, kind="stable").tolist()
+    at = 0
+    while at < len(order):
         held, total = [], 0
-        while at < len(several) and (total < SORT_BYTES or numbers[several[at]] == numbers[held[-1]]):
-            held.append(int(several[at]))
+        while at < len(order) and (total < SORT_BYTES or numbers[order[at]] == numbers[held[-1]]):
+            held.append(order[at])
             total += len(texts[held[-1]])
             at += 1
-        text = np.frombuffer(b"".join(texts[i] for i in held), np.uint8)
-        sizes = np.array([len(texts[i]) for i in held])
-        begins = np.cumsum(sizes) - sizes
+        text = np.frombuffer(b"".join([texts[i] for i in held]), np.uint8)
         n = windows_[held]
-        places = np.repeat(begins, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        places = np.repeat(np.cumsum(n + LENGTH - 1) - n - LENGTH + 1, n) + step
         wanted = np.zeros(len(text), bool)
         wanted[places] = True
         group = equal_runs(text, wanted)[places]
-        own = np.repeat(least[held], n)
         smallest = np.full(int(group.max()) + 1, 2**63 - 1)
-        np.minimum.at(smallest, group, own)
-        values.append(smallest[group])
-        where[held] = offset + np.cumsum(n) - n
-        offset += int(n.sum())
-    return where, np.concatenate(values) if values else np.zeros(0, np.int64)
+        np.minimum.at(smallest, group, np.repeat(least[held], n))
+        values[np.repeat(begins[held], n) + step] = smallest[group]
+    return begins, values
+
+
+def _covered(marks: pd.DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: documents (by their number in it), starts and ends of ranges that go, in order of document and start."""
+    if not len(marks):
+        return (np.zeros(0, np.int64),) * 3
+    own = marks["bucket"] < 0
+    uses, docs, starts = (unpack(marks.loc[own, c].iloc[0]).astype(np.int64) for c in ("uses", "docs", "starts"))
+    found = marks[~own].sort_values("bucket")
+    parts, lengths = (np.concatenate([unpack(x) for x in found[c]]).astype(np.int64) for c in ("parts", "lengths"))
+    values = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in found["ids"]])
+    head = np.cumsum(parts) - parts
+    before = np.cumsum(lengths) - lengths
+    offset = before - np.repeat(before[head], parts)  # of each run of windows in its segment
+    of = np.repeat(np.arange(len(parts)), uses)  # the segment at each place
+    place = np.repeat(np.arange(len(of)), parts[of])
+    run = np.repeat(head[of] - np.cumsum(parts[of]) + parts[of], parts[of]) + np.arange(len(place))
+    gone = values[run] < ids[docs[place]]
+    place, run = place[gone], run[gone]
+    docs, starts = docs[place], starts[place] + offset[run]
+    ends = starts + lengths[run] + LENGTH - 1
+    order = np.lexsort((starts, docs))
+    return docs[order], starts[order], ends[order]
 
 
 def cut(marks: DataFrame, blocks: DataFrame, with_text: bool) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
-    def run(ranges: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(ranges_: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        docs, starts, ends = (np.concatenate([unpack(x).astype(np.int64) for x in ranges[c]] or [np.zeros(0, np.int64)]) for c in ("docs", "starts", "ends"))
-        order = np.lexsort((starts, docs))
-        docs, starts, ends = docs[order], starts[order], ends[order]
         for row in rows.itertuples(index=False):
+            docs, starts, ends = _covered(ranges_, np.array([-(2**63) if i is None or i != i else int(i) for i in row.doc_ids], np.int64))
             for i, (doc_id, text) in enumerate(zip(row.doc_ids, _unpacked(row), strict=True)):
                 a, b = np.searchsorted(docs, i), np.searchsorted(docs, i, "right")
                 kept, spans, removed, at = [], 0, 0, 0
@@ -441,11 +481,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of it. Null text counts as empty (no bytes, the digest of nothing); texts of fewer than LENGTH bytes
     keep everything. Rows that share an id do not remove each other's bytes; a row without an id removes
     nothing and loses nothing. An empty table gives an empty result; other columns are not read. docs is
-    read twice and has to be a table or another repeatable plan.
+    read three times (once for its size) and has to be a table or another repeatable plan.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    lead = (4 * shuffle_partitions(docs.sparkSession) - 1).bit_length()
+    lead = (ranges(spark, text_bytes(source), BUCKET_BYTES, 4) - 1).bit_length()
     blocks = packed_blocks(source)
     flags = repeated_anchors(anchor_lists(source, lead))
-    return cut(covered(segments(flags, blocks, lead)), blocks, with_text)
+    return cut(judged(segments(flags, blocks, lead)), blocks, with_text)

@@ -173,6 +173,18 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     assert table(suffix_dedup(df), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
 
 
+def test_anchors_of_many_runs_are_dealt_out_run_by_run(spark, docs, rows, monkeypatch):
+    import quarry.llm.suffix_dedup as S
+
+    monkeypatch.setattr(S, "HOT_RUNS", 2)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 5000)
+    assert table(suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
+    footer = "all of these documents end in one and the same footer, which has more than fifty bytes"
+    more = [(i, f"{i * 7919} {'x' * (i % 9)} the beginning of it {i} {footer}") for i in range(300)]
+    got = table(suffix_dedup(spark.createDataFrame(more, "doc_id long, text string").repartition(7)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.repeats(more) and all(v[1] >= len(footer) for i, v in got.items() if i)
+
+
 def test_suffix_edges(odd, empty):
     assert suffix_dedup(empty).count() == 0
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(odd).collect())
