@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import pack, unpack
-from quarry.llm.common import frees, frees_group, frees_groups, mix, numbered, powers, prefix_sums, ranges, small_batches, text_bytes, text_or_empty
+from quarry.llm.common import digest, frees, frees_group, frees_groups, mix, numbered, powers, prefix_sums, ranges, small_batches, text_bytes, text_or_empty
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 8 << 20
@@ -253,17 +253,13 @@ def unpack_ascending(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data).astype(np.int64))
 
 
-def _digest(numbers: np.ndarray) -> int:
-    return int(mix(numbers).sum(dtype=_U).astype(np.int64)) if len(numbers) else 0
-
-
 def anchor_lists(source: DataFrame, lead: int) -> DataFrame:
     """bucket, block, anchors, several, counts, digest: the distinct anchors of each block and bucket, bits (in several of its documents), and how many runs each has."""
 
     def run(batches):
         for number, _, texts in blocks_of(batches):
             numbers, several, counts = Runs(texts, lead).distinct()
-            rows = [(bucket, number, pack_ascending(_low(numbers[a:b])), np.packbits(several[a:b]).tobytes(), pack(counts[a:b]), _digest(numbers[a:b])) for bucket, a, b in _by_bucket(numbers)]
+            rows = [(bucket, number, pack_ascending(_low(numbers[a:b])), np.packbits(several[a:b]).tobytes(), pack(counts[a:b]), digest(numbers[a:b])) for bucket, a, b in _by_bucket(numbers)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["bucket", "block", "anchors", "several", "counts", "digest"])
 
@@ -328,7 +324,7 @@ def segments(flags: DataFrame, blocks: DataFrame, lead: int) -> DataFrame:
         for row in rows.itertuples(index=False):
             texts = _unpacked(row)
             runs = Runs(texts, lead)
-            if len(runs.heads) != len(repeated) or _digest(runs.number[runs.heads]) != int(marks["digest"].to_numpy(np.int64).sum()):
+            if len(runs.heads) != len(repeated) or digest(runs.number[runs.heads]) != int(marks["digest"].to_numpy(np.int64).sum()):
                 raise RuntimeError("two readings of a block differ; write the input to a table first")
             ids = np.array([-(2**63) if i is None or i != i else int(i) for i in row.doc_ids], np.int64)
             each = np.diff(np.append(runs.heads, len(runs.number)))

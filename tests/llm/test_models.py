@@ -90,6 +90,49 @@ def test_base_is_exact_and_the_model_beats_it(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 100
 
 
+def with_weights(model):
+    r = np.random.default_rng(1)
+    model.cls[:-1] = r.normal(size=model.cls[:-1].shape) / 3
+    model.word[: 2 * M.WORD_ROWS] = r.normal(size=(2 * M.WORD_ROWS, M.WIDTH)) / 3
+    return model
+
+
+def test_a_gradient_step_equals_brute_force():
+    """One mini-batch, in plain loops: gradients of both factors by row, their mean square added up, a step of RATE over its root."""
+    r = np.random.default_rng(4)
+    words = np.arange(1, 1400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    heads = np.append(words[:1023], M.END)
+    order = np.argsort(heads)
+    vocab = M.Vocabulary(heads[order], order, np.arange(1024, 0, -1).astype(float), np.full(M.TAILS, 30.0), np.full(M.TAILS, 20.0), 10**6, 1400)
+    model, plain = with_weights(M.Model(vocab)), with_weights(M.Model(vocab))
+    numbers = vocab.look_up(r.choice(np.append(words, M.END), 300))
+    begins = np.array([0, 1, 3, 120, 300])
+    trainer = model.trainer()
+    trainer.fit(numbers, begins)
+    gradient = [{}, {}]
+    for a, b in zip(begins[:-1], begins[1:]):
+        for i in range(a, b):
+            x = int(numbers[i])
+            one, two = (int(numbers[i - k]) if i - k >= a else M.FEATURES - 1 for k in (1, 2))
+            cls = x // M.WIDTH if x < M.HEAD else M.HEAD_CLASSES + (x - M.HEAD) % M.TAILS
+            rows = [int(q[0]) for q in plain.class_rows(np.array([one]), np.array([two]))]
+            z = plain.cls[rows].astype(float).sum(0) + plain.cls[-1]
+            g = np.exp(z) / np.exp(z).sum() - np.eye(M.CLASSES)[cls]
+            for k in rows:
+                gradient[0][k] = gradient[0].get(k, 0) + g
+            if x < M.HEAD:
+                rows = [int(q[0]) for q in plain.word_rows(np.array([cls]), np.array([one]), np.array([two]))]
+                z = plain.word[rows].astype(float).sum(0) + plain.word[2 * M.WORD_ROWS + cls]
+                g = np.exp(z) / np.exp(z).sum() - np.eye(M.WIDTH)[x % M.WIDTH]
+                for k in rows:
+                    gradient[1][k] = gradient[1].get(k, 0) + g
+    for layer, (got, was) in enumerate(((model.cls, plain.cls), (model.word, plain.word))):
+        due = was.astype(float)
+        for k, g in gradient[layer].items():
+            due[k] -= M.RATE / np.sqrt(M.START + (g * g).mean()) * g
+        assert np.allclose(got, due, atol=2e-5) and set(np.flatnonzero(trainer.uses[layer]).tolist()) == set(gradient[layer])
+
+
 def test_probabilities_add_up_to_one():
     words = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     count = np.arange(3000, 1, -1).astype(float)
@@ -98,10 +141,7 @@ def test_probabilities_add_up_to_one():
     order = np.argsort(heads)
     counts = np.append(count[:1023], 5.0)
     vocab = M.Vocabulary(heads[order], order, counts, np.bincount(tail, count[1023:], M.TAILS), np.bincount(tail, minlength=M.TAILS).astype(float), int(count.sum() + 5), 3000)
-    model = M.Model(vocab)
-    r = np.random.default_rng(1)
-    model.cls[:-1] = r.normal(size=model.cls[:-1].shape) / 3
-    model.word[: 2 * M.WORD_ROWS] = r.normal(size=(2 * M.WORD_ROWS, M.WIDTH)) / 3
+    model = with_weights(M.Model(vocab))
     every = np.concatenate([heads, words[1023:], np.arange(M.TAILS, dtype=np.uint64) | np.uint64(1 << 63)])  # and an unseen word of each tail class
     known = np.concatenate([counts, count[1023:], np.zeros(M.TAILS)])
     numbers = vocab.look_up(every)
@@ -153,10 +193,10 @@ def test_ngrams_are_exact_and_keep_the_sum():
     tokens = [(i, t, w) for t in texts for i, w in enumerate([*t, "end"])]
     hashes, begins = np.array([name(w) for *_, w in tokens], np.uint64), np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     words, stream = np.unique(hashes, return_inverse=True)
-    every, at = np.unique(M.grams(hashes, begins, words), return_inverse=True)
-    parts = M.pd.DataFrame({"bucket": [0, -1], "totals": [M.pack(np.bincount(stream)), M.pack(np.bincount(at[: 3 * len(hashes)], minlength=len(every)))]})
+    every, at = np.unique(M.grams(hashes, begins, words, 48), return_inverse=True)
+    parts = M.pd.DataFrame({"bucket": [0, -1], "totals": [M.pack(np.bincount(stream)), M.pack(np.bincount(at[: 3 * len(hashes)], minlength=len(every)))], "digest": [M.digest(words), M.digest(every)]})
     vocab = M.Vocabulary(np.array([M.END]), np.array([0]), np.array([200.0]), *[None] * 4)
-    count, counts, contexts = M.counts_of(parts, words, stream, begins, vocab)
+    count, counts, contexts = M.counts_of(parts, words, stream, begins, vocab, 48)
     for j, (i, t, w) in enumerate(tokens):
         one, two = t[i - 1] if i else "begin", (t[i - 2] if i > 1 else "begin") if i else None
         for k, c in enumerate((two, one, (two, one))):
@@ -166,6 +206,23 @@ def test_ngrams_are_exact_and_keep_the_sum():
                 assert contexts[k, j] == 0
 
 
+def test_ranks_and_packed_keys():
+    r = np.random.default_rng(2)
+    for n, top, bits in ((0, 10, 64), (1, 10, 64), (5000, 50, 64), (5000, 2**63, 64), (70_000, 2**20, 40), (5000, 2**40, 40)):
+        keys = r.integers(0, top, n, dtype=np.int64).astype(np.uint64)
+        if top == 2**63:
+            keys = np.concatenate([keys, keys[:100] ^ np.uint64(1), keys[:50]])  # alike but for their last bits
+        every, at = M.ranked(keys, bits)
+        due = np.unique(keys, return_inverse=True)
+        assert (every == due[0]).all() and (at == due[1]).all()
+        assert (M.wide(M.narrow(every)) == every).all()
+
+
+def test_lm_clashing_names(spark, docs, rows):
+    got = {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens) for r in M.lm_scores(docs.withColumns({"train": docs.text, "held_out": docs.text, "block": docs.text, "bucket": docs.text})).collect()}
+    assert got == {i: x[:3] for i, x in brute.unigram(rows).items()}
+
+
 def test_lm_edges(spark, odd, empty):
     assert M.lm_scores(empty).count() == 0
     got = {(r.doc_id, r.n_tokens) for r in M.lm_scores(odd).collect()}
