@@ -166,23 +166,24 @@ def ranked(keys: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return keys, np.zeros(0, np.int64)
     low = _U((1 << max(1, (n - 1).bit_length())) - 1)
-    packed = np.sort(keys << _U(64 - bits) & ~low | np.arange(n, dtype=_U))
-    order = (packed & low).astype(np.int64)
-    lead, k = packed & ~low, keys[order]
-    unlike = k[1:] != k[:-1]
-    open_ = unlike & (lead[1:] == lead[:-1])
-    if open_.any():
-        group = np.cumsum(np.append(True, lead[1:] != lead[:-1])) - 1
+    packed = keys << _U(64 - bits) & ~low
+    packed |= np.arange(n, dtype=_U)
+    packed.sort()
+    new = np.ones(n, bool)
+    np.greater(packed[1:] ^ packed[:-1], low, out=new[1:])
+    order = (packed & low).view(np.int64)
+    same = np.flatnonzero(~new)  # leading bits as before
+    if len(same) and (keys[order[same]] != keys[order[same - 1]]).any():
+        k, group = keys[order], np.cumsum(new) - 1
         some = np.zeros(group[-1] + 1, bool)
-        some[group[1:][open_]] = True
+        some[group[same][k[same] != k[same - 1]]] = True
         at = np.flatnonzero(some[group])
-        by = np.lexsort((k[at], group[at]))
-        order[at], k[at] = order[at][by], k[at][by]
-        unlike = k[1:] != k[:-1]
-    new = np.append(True, unlike)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return k[new], rank
+        order[at] = order[at][np.lexsort((k[at], group[at]))]
+        k = keys[order]
+        new[1:] = k[1:] != k[:-1]
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)
+    rank[order] = np.cumsum(new, dtype=rank.dtype) - rank.dtype.type(1)
+    return keys[order[new]], rank
 
 
 def digest(numbers: np.ndarray) -> int:

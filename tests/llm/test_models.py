@@ -216,6 +216,10 @@ def test_ranks_and_packed_keys():
         due = np.unique(keys, return_inverse=True)
         assert (every == due[0]).all() and (at == due[1]).all()
         assert (M.wide(M.narrow(every)) == every).all()
+        marks = r.random(len(keys) // 2) < 0.5
+        if n and bits == 40:
+            kinds, counts = M.marked(keys, marks)
+            assert (kinds == every).all() and (counts == np.bincount(at[: len(marks)], marks, len(every))).all()
 
 
 def test_lm_clashing_names(spark, docs, rows):
