@@ -8,8 +8,9 @@
    together again. Decoding joins the ids with the table of the tokens' bytes.
 
 What is shuffled is a list of distinct words and one of their ids for each block, and about two bytes
-for each position. Steps 1 and 2 read the input twice instead of storing it; both readings must agree,
-which a digest of each block's words proves, so docs has to be a table or another repeatable plan.
+for each position; the number of buckets follows the input's bytes. Steps 1 and 2 read the input twice instead
+of storing it (and once more for its size); both readings must agree, which a digest of each block's words proves,
+so docs has to be a table or another repeatable plan.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import frees, frees_group, frees_groups, shuffle_partitions, small_batches, text_or_empty
+from quarry.llm.common import frees, frees_group, frees_groups, pack_ids, ranges, small_batches, text_bytes, text_or_empty, unpack_ids
 
 #: Characters of a block; fewer where the ids are wanted too, which take more memory.
 BLOCK_BYTES, BLOCK_BYTES_WITH_IDS = 16 << 20, 6 << 20
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 128 << 20
 #: Texts of more characters are matched piece by piece, without a list of all pre-tokens.
 LONG_TEXT = 4 << 20
 #: Words of more bytes are merged with a heap.
@@ -211,11 +214,11 @@ def positions(docs: DataFrame, pattern: str, buckets: int, most: int = BLOCK_BYT
             rank = np.empty(len(words), np.int64)
             rank[often] = np.arange(len(words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([block.ids], pa.list_(pa.int64())), pa.array([block.sizes], pa.list_(pa.int64())), pa.array([pack(rank[stream])], pa.binary()), pa.array([pack(place[often])], pa.binary()), pa.array([_digest(words)], pa.int64())],
+                [pa.array([number], pa.int64()), pa.array([pack_ids(block.ids)], pa.binary()), pa.array([block.sizes], pa.list_(pa.int64())), pa.array([pack(rank[stream])], pa.binary()), pa.array([pack(place[often])], pa.binary()), pa.array([_digest(words)], pa.int64())],
                 ["block", "doc_ids", "sizes", "stream", "places", "digest"],
             )
 
-    return docs.mapInArrow(frees(run), "block long, doc_ids array<long>, sizes array<long>, stream binary, places binary, digest long")
+    return docs.mapInArrow(frees(run), "block long, doc_ids binary, sizes array<long>, stream binary, places binary, digest long")
 
 
 def reassemble(parts: DataFrame, streams: DataFrame, table: list[bytes], with_ids: bool) -> DataFrame:
@@ -237,7 +240,8 @@ def reassemble(parts: DataFrame, streams: DataFrame, table: list[bytes], with_id
             places, stream = unpack(row.places).astype(np.int64), unpack(row.stream)
             words = places[stream]
             at = 0
-            for doc_id, n in zip(row.doc_ids, row.sizes, strict=True):
+            ids, none = unpack_ids(row.doc_ids)
+            for doc_id, n in zip([None if x else i for i, x in zip(ids.tolist(), none.tolist(), strict=True)], row.sizes, strict=True):
                 own = words[at : at + n]
                 at += n
                 each = own.tolist()
@@ -248,7 +252,7 @@ def reassemble(parts: DataFrame, streams: DataFrame, table: list[bytes], with_id
                     got = (*got, flat[place].astype(np.int32))
                 out.append(got)
         result = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-        return result.astype({"doc_id": "Int64"})
+        return result.assign(doc_id=pd.array([x[0] for x in out], "Int64"))
 
     return parts.groupBy("block").cogroup(streams.groupBy("block")).applyInPandas(frees_groups(run), schema)
 
@@ -268,6 +272,6 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    buckets, most = 2 * shuffle_partitions(spark), BLOCK_BYTES_WITH_IDS if with_ids else BLOCK_BYTES
+    buckets, most = ranges(spark, text_bytes(source), BUCKET_BYTES, 2), BLOCK_BYTES_WITH_IDS if with_ids else BLOCK_BYTES
     coded = encoded_words(dictionaries(source, pattern, buckets, most), ranks)
     return reassemble(coded, positions(source, pattern, buckets, most), table, with_ids)

@@ -10,6 +10,7 @@ import ctypes
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,6 +146,21 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
 
 
+def pack_ids(ids: list) -> bytes:
+    """Ids, some of which may be None. (A list with nulls would reach pandas as floats, which large ids do not fit in.)"""
+    return len(ids).to_bytes(4, "little") + np.packbits([i is None for i in ids]).tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
+
+
+def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (0 for None), and which are None."""
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data, "<i8", n, 4 + (n + 7) // 8), np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, 4), count=n).astype(bool)
+
+
+def nullable(ids: tuple[np.ndarray, np.ndarray]) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(ids[0].astype(np.int64), ids[1].copy())
+
+
 def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of numbers below 2^32: the rank of each among the distinct ones, and how often each of those occurs."""
     packed = np.sort(values.astype(_U) << _U(32) | np.arange(len(values), dtype=_U))

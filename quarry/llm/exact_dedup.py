@@ -7,6 +7,7 @@
 3. Fingerprints counted once are unique texts. The others' rows go to byte verification: they are
    grouped by the normalised bytes themselves, after partial aggregation within every task.
 
+The number of ranges follows the number of rows, so a range stays small at any size.
 Nothing but fingerprints is shuffled for unique texts; of copies a task sends each text once.
 """
 
@@ -21,7 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ASCII_SPACE, shuffle_partitions, small, text_or_empty, written
+from quarry.llm.common import ASCII_SPACE, ranges, small, text_or_empty, written
+
+
+#: Rows for each range of leading bits.
+RANGE_ROWS = 1 << 20
 
 
 class CountingQuotientFilter:
@@ -155,7 +160,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(raw).cast("long").alias("len"), norm.alias("norm"))
     fp = F.xxhash64("norm").alias("fp")
     slim = written(source.select("doc_id", "len", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), fp), "prints")
-    blocks = 1 << (shuffle_partitions(spark) - 1).bit_length()
+    blocks = 1 << (ranges(spark, slim.count(), RANGE_ROWS) - 1).bit_length()
     repeated = written(repeated_fingerprints(slim, blocks).select("fp"), "repeated")
     verified = (
         source.select("doc_id", "len", "norm", fp)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import pack, unpack
-from quarry.llm.common import digest, frees, frees_group, frees_groups, mix, numbered, powers, prefix_sums, ranges, small_batches, text_bytes, text_or_empty
+from quarry.llm.common import digest, frees, frees_group, frees_groups, mix, numbered, pack_ids, powers, prefix_sums, ranges, small_batches, text_bytes, text_or_empty, unpack_ids
 
 LENGTH, GRAM = 50, 20
 BLOCK_BYTES = 8 << 20
@@ -288,9 +288,9 @@ def packed_blocks(source: DataFrame) -> DataFrame:
     def run(batches):
         for number, ids, texts in blocks_of(batches):
             data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "doc_ids", "sizes", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pack_ids(ids)], pa.binary()), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["block", "doc_ids", "sizes", "texts"])
 
-    return source.mapInArrow(frees(run), "block long, doc_ids array<long>, sizes array<long>, texts binary")
+    return source.mapInArrow(frees(run), "block long, doc_ids binary, sizes array<long>, texts binary")
 
 
 def _unpacked(row) -> list[bytes]:
@@ -326,9 +326,9 @@ def segments(flags: DataFrame, blocks: DataFrame, lead: int) -> DataFrame:
             runs = Runs(texts, lead)
             if len(runs.heads) != len(repeated) or digest(runs.number[runs.heads]) != int(marks["digest"].to_numpy(np.int64).sum()):
                 raise RuntimeError("two readings of a block differ; write the input to a table first")
-            ids = np.array([-(2**63) if i is None or i != i else int(i) for i in row.doc_ids], np.int64)
+            ids, none = unpack_ids(row.doc_ids)
             each = np.diff(np.append(runs.heads, len(runs.number)))
-            has_id = ids[runs.owner] != -(2**63)
+            has_id = ~none[runs.owner]
             take = np.flatnonzero(np.repeat(repeated & ~hot, each) & has_id)
             owner, first, last, number = runs.owner[take], runs.first[take], runs.last[take], runs.number[take]
             if hot.any():
@@ -453,8 +453,9 @@ def cut(marks: DataFrame, blocks: DataFrame, with_text: bool) -> DataFrame:
     def run(ranges_: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in rows.itertuples(index=False):
-            docs, starts, ends = _covered(ranges_, np.array([-(2**63) if i is None or i != i else int(i) for i in row.doc_ids], np.int64))
-            for i, (doc_id, text) in enumerate(zip(row.doc_ids, _unpacked(row), strict=True)):
+            ids, none = unpack_ids(row.doc_ids)
+            docs, starts, ends = _covered(ranges_, ids)
+            for i, text in enumerate(_unpacked(row)):
                 a, b = np.searchsorted(docs, i), np.searchsorted(docs, i, "right")
                 kept, spans, removed, at = [], 0, 0, 0
                 if a < b:
@@ -464,8 +465,9 @@ def cut(marks: DataFrame, blocks: DataFrame, with_text: bool) -> DataFrame:
                         kept.append(text[at:s])
                         spans, removed, at = spans + 1, removed + e - s, e
                 kept = b"".join([*kept, text[at:]])
-                out.append((doc_id, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
+                out.append((None if none[i] else int(ids[i]), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
+        result = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+        return result.assign(doc_id=pd.array([x[0] for x in out], "Int64"))
 
     return marks.groupBy("block").cogroup(blocks.groupBy("block")).applyInPandas(frees_groups(run), schema)
 

@@ -42,3 +42,12 @@ def empty(spark):
 def odd(spark):
     """Null ids, and rows that repeat."""
     return spark.createDataFrame([(None, "same text here for all of us to see again"), (1, "same text here for all of us to see again"), (1, "same text here for all of us to see again"), (2, None), (None, None), (3, "another")], "doc_id long, text string")
+
+
+BIG = (1 << 62) + 1
+
+
+@pytest.fixture(scope="session")
+def big_ids(spark):
+    """Ids that a float cannot hold, beside a null one."""
+    return spark.createDataFrame([(None, "a b"), (BIG, "a b c"), (-BIG, None)], "doc_id long, text string").coalesce(1)

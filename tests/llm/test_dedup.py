@@ -8,6 +8,7 @@ from quarry.llm.exact_dedup import exact_dedup, repeated_fingerprints
 from quarry.llm.graph import components
 from quarry.llm.suffix_dedup import equal_runs, suffix_dedup, two_stage_sort
 from tests.llm import brute
+from tests.llm.conftest import BIG
 
 
 def table(df, *columns):
@@ -185,7 +186,8 @@ def test_anchors_of_many_runs_are_dealt_out_run_by_run(spark, docs, rows, monkey
     assert got == brute.repeats(more) and all(v[1] >= len(footer) for i, v in got.items() if i)
 
 
-def test_suffix_edges(odd, empty):
+def test_suffix_edges(odd, empty, big_ids):
+    assert {r.doc_id for r in suffix_dedup(big_ids).collect()} == {None, BIG, -BIG}
     assert suffix_dedup(empty).count() == 0
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(odd).collect())
     assert got == [("1", 41, 0, 0), ("1", 41, 0, 0), ("2", 0, 0, 0), ("3", 7, 0, 0), ("None", 0, 0, 0), ("None", 41, 0, 0)]

@@ -6,7 +6,7 @@ import numpy as np
 from quarry.llm import maxent_lm as M
 from quarry.llm import quality as Q
 from tests.llm import brute
-from tests.llm.conftest import prose
+from tests.llm.conftest import BIG, prose
 
 
 def auc(score, label):
@@ -227,7 +227,8 @@ def test_lm_clashing_names(spark, docs, rows):
     assert got == {i: x[:3] for i, x in brute.unigram(rows).items()}
 
 
-def test_lm_edges(spark, odd, empty):
+def test_lm_edges(spark, odd, empty, big_ids):
+    assert {r.doc_id for r in M.lm_scores(big_ids).collect()} == {None, BIG, -BIG}
     assert M.lm_scores(empty).count() == 0
     got = {(r.doc_id, r.n_tokens) for r in M.lm_scores(odd).collect()}
     assert got == {(None, 11), (1, 11), (2, 1), (None, 1), (3, 2)}
