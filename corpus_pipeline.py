@@ -19,41 +19,62 @@ from quarry.llm.near_dedup import near_dedup
 from quarry.llm.quality import quality_filter
 
 
+def _private(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, in any case."""
+    taken = {c.casefold() for c in docs.columns}
+    while name.casefold() in taken:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows of these ids; rows without an id stay."""
-    return docs.join(small(written(ids.where("doc_id is not null").distinct(), "dropped")), "doc_id", "left_anti").select(docs.columns)
+    gone = small(written(ids.where("doc_id is not null").distinct(), "dropped")).toDF(_private(docs, "dropped_id"))
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null text is scored as empty; rows are judged each, whatever their id; no rows give no rows."""
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space one stays; of rows that repeat an id and its text, too."""
+    """Of texts that are equal but for white space one stays; of rows that repeat an id and its text, too.
+
+    Null text is empty text. Rows without an id stay; texts that share an id are judged each. No rows give no rows.
+    """
     decided = written(exact_dedup(docs), "exact")
-    gone = written(decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "dropped")
+    names = [_private(docs, n) for n in ("gone_id", "gone_sha")]
+    gone = small(written(decided.where("not kept and doc_id is not null").select("doc_id", "text_sha256").distinct(), "dropped")).toDF(*names)
     sha = F.sha2(F.translate(text_or_empty(), ASCII_SPACE, "").cast("binary"), 256)
-    kept = docs.join(small(gone), (docs["doc_id"] == F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    kept = docs.join(gone, (docs["doc_id"] == gone[names[0]]) & (sha == gone[names[1]]), "left_anti")
     again = written(decided.where("kept and doc_id is not null").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id").distinct(), "repeated")
     if again.isEmpty():
         return kept
-    once = kept.join(small(again), "doc_id", "left_semi").select(docs.columns).withColumn("_sha", sha).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return kept.join(small(again), "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    again = small(again).toDF(names[0])
+    same = kept["doc_id"] == again[names[0]]
+    once = kept.join(again, same, "left_semi").withColumn(names[1], sha).dropDuplicates(["doc_id", names[1]]).drop(names[1])
+    return kept.join(again, same, "left_anti").unionByName(once)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays."""
+    """Of each group of near duplicates the smallest id stays.
+
+    Decided by id: of rows that share an id all stay or go. Texts without words, null ones among them, and rows without an id stay. No rows give no rows.
+    """
     return _without(docs, near_dedup(docs).where("not kept").select("doc_id"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Decided by id: of rows that share an id all go if one of them holds an item. Null and empty texts hold none; rows without an id stay. No rows give no rows.
+    """
     return _without(docs, decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids. Null text has no tokens; every row is encoded, without an id too; no rows give no rows."""
     return byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
