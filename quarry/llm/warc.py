@@ -56,22 +56,26 @@ class Placed:
         self.fs.move(self.temp, self.path)
 
 
-def record(kind: str, uri: str, fields: dict[str, str], block: bytes) -> bytes:
-    """One WARC/1.1 record; its id follows from the address and the content, so a repeated task writes the same bytes."""
-    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind} {uri} {fields.get('Page-Id', '')}")
-    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{rid}>", "WARC-Date": "2026-01-01T00:00:00Z", "WARC-Target-URI": uri, **fields, "Content-Length": str(len(block))}
+#: The date of all records: the tables have none.
+DATE = "2026-01-01T00:00:00Z"
+
+
+def record(kind: str, uri: str, fields: dict[str, str], block: bytes, place: str = "") -> bytes:
+    """One WARC/1.1 record; its id follows from the address, the fields and its place (archive and number), so rows that repeat have ids of their own."""
+    rid = uuid.uuid5(uuid.NAMESPACE_URL, f"{kind} {uri} {sorted(fields.items())} {place}")
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{rid}>", "WARC-Date": DATE, "WARC-Target-URI": uri, **fields, "Content-Length": str(len(block))}
     lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in head.items())
     return b"WARC/1.1\r\n" + lines.encode() + CRLF + block + CRLF + CRLF
 
 
-def page_record(page_id: int | None, uri: str, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
-    """A response with an HTTP block, or a revisit, whose block has the HTTP header alone."""
+def page_record(page_id: int | None, uri: str, payload: bytes, sha1: str, refers_to: int | None, refers_to_uri: str = "", place: str = "") -> bytes:
+    """A response with an HTTP block, or a revisit, which names the response's address and date, and whose block has the HTTP header alone."""
     fields = {"Page-Id": "" if page_id is None else str(page_id), "WARC-Payload-Digest": f"sha1:{sha1}", "Content-Type": "application/http;msgtype=response"}
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is None:
-        return record("response", uri, fields, http + payload)
-    fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "Refers-To-Page": str(refers_to)}
-    return record("revisit", uri, fields, http)
+        return record("response", uri, fields, http + payload, place)
+    fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Target-URI": refers_to_uri, "WARC-Refers-To-Date": DATE, "Refers-To-Page": str(refers_to)}
+    return record("revisit", uri, fields, http, place)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -111,16 +115,18 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(stream, chunk: int = PIECE) -> Iterator[bytes]:
-    """Pieces of a gzip file's content, whatever the number of its members."""
-    z = zlib.decompressobj(31)
+    """Pieces of a gzip file's content, whatever the number of its members; ValueError if it ends inside one, its trailer included."""
+    z, inside = zlib.decompressobj(31), False
     while data := stream.read(chunk):
-        while data:
-            out = z.decompress(data, chunk)
+        while data := data if inside else data.lstrip(b"\0"):  # members may be padded
+            out, inside = z.decompress(data, chunk), True
             if out:
                 yield out
             data = z.unconsumed_tail
             if z.eof:
-                data, z = z.unused_data, zlib.decompressobj(31)
+                data, z, inside = z.unused_data, zlib.decompressobj(31), False
+    if inside:
+        raise ValueError("a gzip member is cut short")
 
 
 def member(data: bytes) -> bytes:
@@ -129,7 +135,7 @@ def member(data: bytes) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write rows (page_id, url, payload, sha1, refers_to) as archives of one gzip stream; returns their paths.
+    """Write rows (page_id, url, payload, sha1, refers_to, refers_to_uri) as archives of one gzip stream; returns their paths.
 
     Lazy: the files are written when the result is, and a repeated task writes files of the same names.
     """
@@ -141,10 +147,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             for row in (dict(zip(b.schema.names, x, strict=True)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)):
                 if out is None:
                     path = f"{folder}/part-{part:06d}-{n:05d}.warc.gz"
-                    out, z, held, n = Placed(path), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, n + 1
-                data = page_record(row["page_id"], row["url"] or "", row["payload"], row["sha1"], row["refers_to"])
+                    out, z, held, n, k = Placed(path), zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, n + 1, 0
+                data = page_record(row["page_id"], row["url"] or "", row["payload"], row["sha1"], row["refers_to"], row["refers_to_uri"] or "", f"{path.rpartition('/')[2]} {k}")
                 out.write(z.compress(data))
-                held += len(data)
+                held, k = held + len(data), k + 1
                 if held >= ARCHIVE_BYTES:
                     out.write(z.flush())
                     out.close()
@@ -157,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path], pa.string())], ["path"])
 
-    return pages.select("page_id", "url", "payload", "sha1", "refers_to").mapInArrow(write, "path string")
+    return pages.select("page_id", "url", "payload", "sha1", "refers_to", "refers_to_uri").mapInArrow(write, "path string")
 
 
 def normalise_file(source: str, target: str) -> int:
@@ -250,9 +256,9 @@ def page_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumns({"sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256)})
     large = F.octet_length("payload") >= least
-    copies = written(source.where(large).groupBy("sha256").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
-    other = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    rows = source.join(small(copies), "sha256", "left").withColumn("refers_to", other)  # a small payload equals no large one
+    copies = written(source.where(large).groupBy("sha256").agg(F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha256", "first"), "copies")
+    again = F.col("first.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    rows = source.join(small(copies), "sha256", "left").withColumns({"refers_to": F.when(again, F.col("first.page_id")), "refers_to_uri": F.when(again, F.col("first.url"))})  # a small payload equals no large one
     folder = scratch(spark, "warc")
     archives = written(write_archives(rows, folder), "archives")
     records = written(normalise(archives, keep_source=False), "normalised")

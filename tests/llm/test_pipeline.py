@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tests.llm import brute
@@ -58,3 +59,18 @@ def test_an_empty_table(spark, folder, tmp_path):
     for _, stage in P.STAGES:
         docs_ = stage(spark, docs, where)
         assert docs_.count() == 0
+
+
+def test_clashing_names_and_two_texts_under_one_id(spark, folder):
+    where, _ = folder
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    one, other = docs.where("doc_id = 5").limit(1), docs.where("doc_id = 6").withColumn("doc_id", F.lit(5).cast("long"))
+    wide = docs.unionByName(one).unionByName(other).withColumns({n: F.lit(n) for n in ("_sha", "gone_id", "gone_sha", "dropped_id", "GONE_ID_", "shingles", "block", "component", "bands")})
+    kept = None
+    for _, stage in P.STAGES[:-1]:
+        kept = stage(spark, wide, where)
+        assert kept.columns == wide.columns and kept.schema == wide.schema
+    exact = P.exact_stage(spark, wide, where)
+    assert sorted(r.text for r in exact.where("doc_id = 5").collect()) == sorted({r.text for r in one.unionByName(other).collect()})
+    assert exact.where("doc_id = 6").count() == 0  # the same text under a smaller id
+    assert P.token_stage(spark, exact, where).count() == exact.count()

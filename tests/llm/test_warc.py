@@ -58,3 +58,26 @@ def test_edges(spark):
     big = "y" * 2000
     got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in W.page_archives(spark.createDataFrame([(None, "u", big), (2, "u", big), (2, "u", big), (1, "u", big)], schema)).collect())
     assert got == [("1", "revisit", 2), ("2", "response", None), ("2", "response", None), ("None", "revisit", 2)]
+
+
+def test_truncated_trailers_are_noticed(tmp_path):
+    whole = gzip.compress(b"".join(records(3)))
+    for cut in (1, 4, 8, 30):
+        with pytest.raises(ValueError):
+            list(W.inflate(io.BytesIO(whole[:-cut])))
+    assert b"".join(W.inflate(io.BytesIO(whole + b"\0" * 100 + whole), 64)) == b"".join(records(3)) * 2
+
+
+def test_record_ids_are_unique_and_revisits_name_their_response(spark, tmp_path):
+    big = "z" * 1500
+    rows = [(2, "https://a/", big), (2, "https://a/", big), (1, "https://b/", big), (3, "https://c/", "s"), (3, "https://c/", "s")]
+    got = W.page_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).select("archive").distinct().collect()
+    ids, revisits = [], []
+    for r in got:
+        with gzip.open(r.archive.removeprefix("file:")) as f:
+            for data in W.split_records(iter([f.read()])):
+                fields, _ = W.parse_record(data)
+                ids.append(fields["warc-record-id"])
+                revisits += [fields] if fields["warc-type"] == "revisit" else []
+    assert len(set(ids)) == len(ids) == 5
+    assert [(f["warc-refers-to-target-uri"], f["warc-refers-to-date"]) for f in revisits] == [("https://a/", W.DATE)]
