@@ -14,14 +14,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.plans.shared import scratch, written
 
 __all__ = ["scratch", "written"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-#: Largest tables, in rows, that are sent to every executor; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Largest tables, in bytes, that are sent to every executor; beyond it joins shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of text that one vectorised step looks at.
 STEP_BYTES = 1 << 20
 
@@ -34,9 +35,18 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table with a broadcast hint if it has at most that many rows, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def row_bytes(kind: T.DataType) -> int:
+    """What a value takes at most, with strings and binaries of 64 bytes and arrays of 16 values, as digests and signatures have."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(row_bytes(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 16 * row_bytes(kind.elementType)
+    return 64 if isinstance(kind, (T.StringType, T.BinaryType)) else 8
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with a broadcast hint if its rows are within that many bytes, else as it is. (Parquet's footers have the number of rows.)"""
+    return F.broadcast(df) if df.count() * row_bytes(df.schema) <= most else df
 
 
 def release() -> None:

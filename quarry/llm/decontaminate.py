@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters, digits and non-ASCII characters, lower-cased. Test items are joined with
+Tokens are runs of letters, digits and non-ASCII characters, lower-cased; dashes, quotes and other punctuation
+beyond ASCII part them too, and characters of scripts that are written without spaces are a token each. Test items are joined with
 documents on shared seeds (runs of MIN_MATCH tokens). For each document and item that share enough of
 them, running Karp-Rabin finds the longest common runs of unmarked tokens, marks them as tiles, longest
 first, and goes on with shorter ones down to MIN_MATCH. The share of an item's tokens under tiles is
@@ -8,19 +9,21 @@ its coverage; order does not matter, so reordered passages count in full.
 
 Seeds bound what tiles can cover, so items whose shared seeds cover too little are ruled out exactly.
 Items are taken in blocks of a fixed number of tokens: every block is one pass over the documents with
-a table of bounded size in each task, whatever the size of the benchmark.
+a table of bounded size in each task, whatever the size of the benchmark; the driver holds two blocks at most.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, text_or_empty, windows, words_of
+from quarry.llm.common import frees, slices, small_batches, text_or_empty, windows, words_of, written
 
 #: Tokens in a seed and in the shortest tile; the share of an item that has to be covered.
 MIN_MATCH, COVERAGE = 5, 0.6
@@ -35,9 +38,22 @@ def separators() -> np.ndarray:
     return table
 
 
+#: Punctuation and spaces beyond ASCII; and characters of scripts without spaces between words (Thai to Burmese, kana, Han).
+OTHER_PUNCTUATION = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb-\u00bf\u1680\u2000-\u206f\u2e00-\u2e7f\u3000-\u3004\u3008-\u3020\u30fb\ufe30-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u3040-\u30fa\u30fc-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
+
+def parted(text: str) -> bytes:
+    """Lower-cased, with spaces wherever tokens part beyond ASCII."""
+    text = text.lower()
+    if not text.isascii():
+        text = UNSPACED.sub(r" \1 ", OTHER_PUNCTUATION.sub(" ", text))
+    return text.encode("utf-8", "replace")
+
+
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed tokens of all texts in turn, and where each text begins."""
-    hashes, begins, *_ = words_of([t.lower().encode("utf-8", "replace") for t in texts], separators())
+    hashes, begins, *_ = words_of([parted(t) for t in texts], separators())
     return hashes, begins
 
 
@@ -125,6 +141,10 @@ class Items:
         hashes, begins = tokens(texts)
         self.ids, self.tokens = ids, [hashes[a:b] for a, b in zip(begins[:-1], begins[1:], strict=True)]
         every, inside = seeds(hashes, begins, least)
+        self.short: dict[bytes, list[int]] = {}  # items of fewer tokens than a tile, by all their tokens
+        for k, own in enumerate(self.tokens):
+            if 0 < len(own) < least:
+                self.short.setdefault(own.tobytes(), []).append(k)
         at = np.flatnonzero(inside)
         item = np.searchsorted(begins, at, "right") - 1
         order = np.argsort(every[at], kind="stable")
@@ -139,6 +159,9 @@ class Items:
         hashes, begins = tokens(texts)
         every, inside = seeds(hashes, begins, self.least)
         out: list[list] = [[] for _ in texts]
+        if self.short:
+            for d in np.flatnonzero(np.diff(begins) < self.least).tolist():
+                out[d] = [(self.ids[k], 1.0, 1, len(self.tokens[k])) for k in self.short.get(hashes[begins[d] : begins[d + 1]].tobytes(), ())]
         hit = np.flatnonzero(self.maybe[(every & self.mask).astype(np.int64)] & inside)
         lo, hi = np.searchsorted(self.seed, every[hit]), np.searchsorted(self.seed, every[hit], "right")
         hit, lo, hi = hit[hi > lo], lo[hi > lo], hi[hi > lo]
@@ -173,7 +196,7 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_TOKENS) -> Iterator[Items]:
-    """The benchmark's items in blocks of about `most` tokens, one at a time on the driver. Items of fewer tokens than a tile are left out: nothing can match them."""
+    """The benchmark's items in blocks of about `most` tokens, one at a time on the driver."""
     ids, texts, held = [], [], 0
     rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     for item, text in rows.toLocalIterator():
@@ -188,9 +211,9 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_T
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
-    """Pairs over the threshold: row (a number of the row's own), doc_id, item_id, coverage, n_tiles, longest; a row with null item_id for every document and pass without any.
+    """Pairs over the threshold: doc_id, item_id, coverage, n_tiles, longest; and rows with null item_id, so that every document has one.
 
-    Lazy but for reading the benchmark.
+    Lazy but for reading the benchmark, if that is one block of items; else each block's pairs are written.
     """
     schema = "doc_id long, item_id long, coverage double, n_tiles long, longest long"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -206,15 +229,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "coverage", "n_tiles", "longest"])
 
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(frees(run), schema)
 
-    passes = [one(x) for x in blocks(benchmark, item_col, item_text_col)]
-    if not passes:
-        return source.select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in schema.split(", ")[1:])))
-    whole = passes[0]
-    for x in passes[1:]:
-        whole = whole.unionByName(x)
-    return whole
+    small_batches(docs.sparkSession)
+    none = source.select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (x.split() for x in schema.split(", ")[1:])))
+    todo = blocks(benchmark, item_col, item_text_col)
+    first, second = next(todo, None), next(todo, None)
+    if second is None:
+        return none if first is None else one(first)
+    every, todo = none, chain([first, second], todo)
+    del first, second
+    while (items := next(todo, None)) is not None:
+        every = every.unionByName(written(one(items).where("item_id is not null"), "pass"))
+    return every
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -222,7 +249,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     An item is found in a document if tiles of at least MIN_MATCH tokens cover `coverage` of its tokens; of
     equal coverage, the item with the smallest id is named. Null or empty texts, and items with null or
-    empty text or without id, match nothing; items shorter than a tile match nothing. Rows that share an
+    empty text or without id, match nothing; an item shorter than a tile is found in documents that have its
+    tokens and no others. Rows that share an
     id (also a null one) give one row, contaminated if any of them is. An empty benchmark marks nothing,
     an empty table gives an empty result; other columns are not read.
     """

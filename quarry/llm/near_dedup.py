@@ -243,8 +243,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = written(components(links), "labels")
     rest = written(unsettled(shared, labels), "unsettled")
     ids = written(rest.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    finer = fine_signatures(texts.join(small(ids), "doc_id", "left_semi")).dropDuplicates(["id"])
-    more = written(block_pairs(rest.join(written(finer, "fine"), "id"), rest.count()), "pairs")
+    finer = fine_signatures(texts.join(small(ids), "doc_id", "left_semi")).dropDuplicates(["id", "fine"])  # an id may have several texts
+    members = rest.join(written(finer, "fine"), "id").where("array_contains(bands, bucket)")
+    more = written(block_pairs(members, rest.count()), "pairs")
     if not more.isEmpty():
         links = links.unionByName(verified(more, texts))
         labels = written(components(links), "labels")

@@ -131,6 +131,22 @@ def test_blocks_meet_in_large_buckets(spark, monkeypatch):
     assert table(N.near_dedup(df), "n_shingles", "component_id", "kept") == brute.near(rows)
 
 
+def test_several_texts_under_one_id(spark):
+    """In either order of the rows, both texts of id 3 are compared with the chain around them."""
+    base = [f"w{i}" for i in range(120)]
+    chain = []
+    for k in range(12):
+        w = list(base)
+        for j in range(k * 3):
+            w[(j * 9) % 120] = f"z{j}"
+        chain.append((k, " ".join(w)))
+    other = (3, " ".join(f"q{i}" for i in range(80)))
+    for rows in ([*chain, other], [other, *chain[::-1]]):
+        got = N.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+        due = brute.near(chain)
+        assert {r.doc_id: r.component_id for r in got} == {i: x[1] for i, x in due.items()} and len(got) == 13
+
+
 def test_near_edges(odd, empty):
     assert N.near_dedup(empty).count() == 0
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in N.near_dedup(odd).collect())
