@@ -71,8 +71,7 @@ class _Page(HTMLParser):
         self.stack: list[str] = []
         self.regions: dict[str, _Region] = {"": _Region()}
         self.active: list[tuple[int, _Region]] = [(0, self.regions[""])]  # the depth of the stack at which each began
-        self.meta: dict[str, str] = {}
-        self.links: list[str] = []
+        self.facts: list[tuple[str, dict[str, str]]] = []  # meta, link and a elements, as they come
 
     def _open(self, tag: str, attrs: dict[str, str]) -> None:
         if tag in ("article", "main", "body", "title") and tag not in self.regions:
@@ -90,14 +89,10 @@ class _Page(HTMLParser):
         self.stack.pop()
 
     def handle_starttag(self, tag, attrs):
-        named = {k: v or "" for k, v in attrs}
-        if tag == "meta" and named.get("content") and (key := named.get("name") or named.get("property")):
-            self.meta[key.lower()] = named["content"].strip()
-        elif tag == "link" and named.get("rel", "").lower() == "canonical":
-            self.meta["canonical"] = named.get("href", "")
-        elif tag == "a" and named.get("href"):
-            self.links.append(named["href"])
-        self._open(tag, named)
+        values = dict(attrs)
+        if tag in ("meta", "link", "a"):
+            self.facts.append((tag, {k: v or "" for k, v in values.items()}))
+        self._open(tag, values)
         if tag in VOID:
             self._close()
 
@@ -118,17 +113,27 @@ class _Page(HTMLParser):
                 region.text(data)
 
 
+def _about(facts: list[tuple[str, dict[str, str]]]) -> tuple[dict[str, str], str | None, list[str]]:
+    """What meta elements say by their lower-case names (the last one holds), the canonical address, and the links."""
+    named = {(a.get("name") or a.get("property") or "").lower(): a["content"].strip() for t, a in facts if t == "meta" and a.get("content")}
+    canonical = [a.get("href", "") for t, a in facts if t == "link" and a.get("rel", "").lower() == "canonical"]
+    return named, canonical[-1] if canonical else None, [a["href"] for t, a in facts if t == "a" and a.get("href")]
+
+
 def extract(html: str) -> dict:
     """text, title, canonical_url, published_at, links. Equal lines count once; elements left open end with the page."""
     page = _Page()
     page.feed(html)
     page.close()
-    while page.stack:
+    for _ in range(len(page.stack)):
         page._close()
-    lines = next(page.regions[r].lines for r in REGIONS if r in page.regions)
-    title = "".join(page.regions["title"].lines[:1]) if "title" in page.regions else page.meta.get("og:title", "")
-    published = page.meta.get("article:published_time") or page.meta.get("datepublished") or page.meta.get("date")
-    return {"text": "\n\n".join(dict.fromkeys(lines)).strip(), "title": unescape(title).strip() or "Untitled page", "canonical_url": page.meta.get("canonical"), "published_at": published, "links": page.links}
+    named, canonical, links = _about(page.facts)
+    region = min((r for r in REGIONS if r in page.regions), key=REGIONS.index)
+    heading = page.regions["title"].lines[0] if "title" in page.regions and page.regions["title"].lines else ""
+    title = heading if "title" in page.regions else named.get("og:title", "")
+    dates = [named[k] for k in ("article:published_time", "datepublished", "date") if named.get(k)]
+    text = "\n\n".join(dict.fromkeys(page.regions[region].lines)).strip()
+    return {"text": text, "title": unescape(title).strip() or "Untitled page", "canonical_url": canonical, "published_at": dates[0] if dates else None, "links": links}
 
 
 @F.pandas_udf(StructType([*(StructField(n, StringType()) for n in ("text", "title", "canonical_url", "published_at")), StructField("links", ArrayType(StringType()))]))
