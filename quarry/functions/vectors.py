@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -15,6 +13,8 @@ from quarry.functions.text import analyze
 
 DIMENSIONS = 256
 MODEL = "hashing-sha2/1"
+#: Texts that are embedded in one vectorised step.
+STEP = 500
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,23 +49,21 @@ def hash_embed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """
 
     @F.pandas_udf("array<double>")
-    def embed(terms: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
-
-        def slot(term: str) -> tuple[int, float]:
-            digest = hashlib.sha256(term.encode()).hexdigest()
-            known[term] = int(digest[:8], 16) % dimensions, 1.0 if digest[8] >= "8" else -1.0
-            return known[term]
-
-        def one(row) -> np.ndarray:
-            out = np.zeros(dimensions)
-            for term, n in Counter(row if row is not None else ()).items():
-                bucket, sign = known.get(term) or slot(term)
-                out[bucket] += sign * (1.0 + math.log(n))
-            length = math.sqrt(float(out @ out))
-            return out / length if length else out
-
-        return terms.map(one)
+    def embed(rows: pd.Series) -> pd.Series:
+        out = [np.zeros((0, dimensions))]
+        for a in range(0, len(rows), STEP):
+            some = [np.asarray(r, object) for r in rows.iloc[a : a + STEP]]
+            codes, terms = pd.factorize(np.concatenate([*some, np.zeros(0, object)]))
+            digests = [hashlib.sha256(t.encode()).hexdigest() for t in terms]  # a term's once in a step
+            bucket = np.array([int(d[:8], 16) % dimensions for d in digests], np.int64)
+            sign = np.array([1.0 if d[8] >= "8" else -1.0 for d in digests])
+            pair, n = np.unique(np.repeat(np.arange(len(some)), [len(r) for r in some]) * max(1, len(terms)) + codes, return_counts=True)
+            row, term = np.divmod(pair, max(1, len(terms)))
+            got = np.zeros((len(some), dimensions))
+            np.add.at(got, (row, bucket[term]), sign[term] * (1.0 + np.log(n)))
+            length = np.sqrt((got * got).sum(1, keepdims=True))
+            out.append(got / np.where(length > 0, length, 1.0))
+        return pd.Series(list(np.concatenate(out)))
 
     if dimensions < 8:
         raise ValueError("a hashed vector needs 8 dimensions at least")

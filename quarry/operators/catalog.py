@@ -75,27 +75,47 @@ def fitment_fold(fits: Column, terms: Column, asked: Column) -> Column:
     return F.aggregate(fits, start, step)
 
 
+def candidates(asked: DataFrame, parts: DataFrame) -> DataFrame:
+    """(request_id, part_id) of all pairs that can be hits, each once, narrow: arrays and texts are joined to what is left.
+
+    asked: request_id, terms, asked, vehicle. A question about a vehicle needs a fitment that shares a term with it, and
+    covers a year it asks for, if it asks for any: it meets fitments on (term, year), of which a fitment has a row for each
+    year that it covers. Other questions meet parts on any term.
+    """
+    words = asked.withColumn("token", F.explode(F.array_except("terms", F.transform("asked", lambda y: y.cast("string")))))
+    fits = parts.select("part_id", F.explode(fitments(F.col("compatible_with"))).alias("f")).select("part_id", F.explode("f.tokens").alias("token"), "f.low", "f.high")
+    yearly = fits.where("low is not null").select("part_id", "token", F.explode(F.sequence("low", "high")).alias("year"))
+    dated = words.where("vehicle and size(asked) > 0").select("request_id", "token", F.explode("asked").alias("year"))
+    undated = words.where("vehicle and size(asked) = 0").select("request_id", "token")
+    others = asked.where("not vehicle").select("request_id", F.explode("terms").alias("token"))
+    bodies = parts.select("part_id", F.explode(tokens(_body())).alias("token"))
+    pairs = dated.join(yearly, ["token", "year"]).select("request_id", "part_id")
+    pairs = pairs.unionByName(undated.join(fits.select("part_id", "token").distinct(), "token").select("request_id", "part_id"))
+    return pairs.unionByName(others.join(bodies, "token").select("request_id", "part_id")).distinct()
+
+
+def _body() -> Column:
+    return F.concat_ws(" ", "part_id", "name", "description", F.array_join("compatible_with", " "))
+
+
 def search(requests: DataFrame, parts: DataFrame, limit: int = 5, least: float = LEAST_SCORE) -> DataFrame:
     """request_id, part_id, score, confidence, matched_terms, rank; best first, ties by part_id.
 
-    A hit shares a token with the query, so pairs come from an equi-join on tokens; of the tokens a pair
-    shares, only the first one counts, so no pair comes twice and none is shuffled. A query that names
-    parts by id gets those only; one with vehicle terms gets parts with a fitment that matches them.
+    A query that names parts by id gets those only; one with vehicle terms gets parts with a fitment that matches them.
     """
     asked = requests.select("request_id", tokens(F.col("query")).alias("terms"), years(F.col("query")).alias("asked"))
-    words = asked.select("*", F.explode("terms").alias("token"))
-    vehicle = words.select("request_id", "token").join(vocabulary(parts), "token").select("request_id").distinct().withColumn("vehicle", F.lit(True))
-    ids = parts.select("part_id", tokens(F.col("part_id")).alias("id_terms"))
-    named = ids.withColumn("token", F.explode("id_terms")).join(words.select("request_id", "terms", "token"), "token").where(within(F.col("id_terms"), F.col("terms")))
+    words = asked.select("request_id", "terms", F.explode("terms").alias("token"))
+    vehicle = words.join(vocabulary(parts), "token", "left_semi").select("request_id").distinct().withColumn("vehicle", F.lit(True))
+    ids = parts.select("part_id", tokens(F.col("part_id")).alias("id_terms")).withColumn("token", F.explode("id_terms"))
+    named = ids.join(words, "token").where(within(F.col("id_terms"), F.col("terms"))).select("request_id", "part_id").distinct().withColumn("named", F.lit(True))
     only = named.select("request_id").distinct().withColumn("only_named", F.lit(True))
-    body = F.concat_ws(" ", "part_id", "name", "description", F.array_join("compatible_with", " "))
-    wide = parts.select("part_id", tokens(F.col("part_id")).alias("id_terms"), fitments(F.col("compatible_with")).alias("fits"), tokens(body).alias("part_terms"))
-    rows = wide.withColumn("token", F.explode("part_terms"))
-    enriched = words.join(vehicle, "request_id", "left").join(only, "request_id", "left")
-    pairs = rows.join(enriched, "token").withColumn("lexical", F.array_intersect("terms", "part_terms")).where(F.col("token") == F.get("lexical", 0))
-    open_ = pairs.where(F.col("only_named").isNull() | within(F.col("id_terms"), F.col("terms")))
-    folded = open_.select("request_id", "part_id", "vehicle", "lexical", fitment_fold(F.col("fits"), F.col("terms"), F.col("asked")).alias("fold"))
-    kept = folded.where(F.col("vehicle").isNull() | (F.size("fold.matched") > 0))
+    known = asked.join(vehicle, "request_id", "left").join(only, "request_id", "left").select("request_id", "terms", "asked", F.coalesce("vehicle", F.lit(False)).alias("vehicle"), F.coalesce("only_named", F.lit(False)).alias("only_named"))
+    free = candidates(known.where("not only_named"), parts)
+    wanted = candidates(known.where("only_named"), parts.join(named.select("part_id").distinct(), "part_id", "left_semi")).join(named, ["request_id", "part_id"], "left_semi")
+    wide = parts.select("part_id", fitments(F.col("compatible_with")).alias("fits"), tokens(_body()).alias("part_terms"))
+    pairs = free.unionByName(wanted).join(wide, "part_id").join(known, "request_id").withColumn("lexical", F.array_intersect("terms", "part_terms"))
+    folded = pairs.select("request_id", "part_id", "vehicle", "lexical", fitment_fold(F.col("fits"), F.col("terms"), F.col("asked")).alias("fold"))
+    kept = folded.where(~F.col("vehicle") | (F.size("fold.matched") > 0))
     score = F.size("lexical") + F.col("fold.score")
     scored = kept.select("request_id", "part_id", score.alias("score"), "lexical", "fold.matched").where(F.col("score") >= least)
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "part_id")

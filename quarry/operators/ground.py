@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from quarry.functions import text as T
 
 # Fixed values.
 LEAST_SCORE, MAX_EVIDENCE, PER_DOCUMENT = 0.2, 6, 3
+#: Seconds that a generator has for an answer.
+DEADLINE = 8.0
 
 
 def retrieval_scores(hits: DataFrame) -> DataFrame:
@@ -57,11 +63,42 @@ def prompts(requests: DataFrame, chosen: DataFrame, reference: Column | None = N
 
 
 def answers(chosen: DataFrame) -> DataFrame:
-    """(request_id, answer): the deterministic generator, a bullet for each piece of evidence. Others plug in here as a pandas UDF over prompts."""
+    """(request_id, answer): the deterministic generator, a bullet for each piece of evidence."""
     bullet = F.concat(F.lit("- "), F.col("document_id"), F.lit(": "), T.snippet(F.col("text")), F.lit(" ["), F.col("chunk_id"), F.lit("]"))
     return in_order(chosen, bullet, "\n").select("request_id", F.concat(F.lit("Evidence from the indexed sources:\n"), F.col("joined")).alias("answer"))
 
 
+def _within(seconds: float, call: Callable[[str], str], prompt: str) -> tuple[str | None, str | None]:
+    """The answer, or why there is none. A call that takes longer is left to end by itself."""
+    got: list[tuple[str | None, str | None]] = []
+
+    def work() -> None:
+        try:
+            answer = call(prompt)
+            got.append((answer, None) if isinstance(answer, str) and answer.strip() else (None, "generator_failed"))
+        except Exception:  # whatever a generator raises is one request's outcome
+            got.append((None, "generator_failed"))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    return got[0] if got else (None, "generator_timeout")
+
+
+def generated(asked: DataFrame, generate: Callable[[str], str], deadline: float = DEADLINE) -> DataFrame:
+    """(request_id, answer, failure) of prompts (request_id, prompt): generate runs on the executors, with a deadline in seconds for each prompt.
+
+    failure is null, generator_timeout or generator_failed (an exception, or no text); then there is no answer.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(r, *_within(deadline, generate, p)) for r, p in zip(f["request_id"], f["prompt"], strict=True)]
+            yield pd.DataFrame(rows, columns=["request_id", "answer", "failure"])
+
+    return asked.select("request_id", "prompt").mapInPandas(run, "request_id string, answer string, failure string")
+
+
 def grounding(cited: Column, allowed: Column) -> Column:
     """ok, no_citation or unknown_citation."""
     return F.when(F.size(cited) == 0, "no_citation").when(F.size(F.array_except(cited, allowed)) > 0, "unknown_citation").otherwise("ok")
@@ -85,9 +122,14 @@ def citations(checked: DataFrame, chosen: DataFrame, versions: DataFrame) -> Dat
     return rows.join(versions.select("document_id", "content_hash"), "document_id", "left").select("request_id", "position", "chunk_id", "document_id", "content_hash", F.col("content_hash").isNotNull().alias("backed"))
 
 
-def respond(requests: DataFrame, hits: DataFrame) -> DataFrame:
-    """The whole of answering: request_id, outcome, answer, cited, retrieval_score."""
+def respond(requests: DataFrame, hits: DataFrame, generate: Callable[[str], str] | None = None, deadline: float = DEADLINE) -> DataFrame:
+    """The whole of answering: request_id, outcome, answer, cited, retrieval_score. generate: a function from prompts to answers, else the deterministic one."""
     decided = outcomes(requests, hits)
     chosen = evidence(hits.join(decided.where("outcome = 'found'").select("request_id"), "request_id", "left_semi"))
-    checked = validated(answers(chosen), chosen).withColumnRenamed("outcome", "grounded")
-    return decided.join(checked, "request_id", "left").select("request_id", F.when(F.col("outcome") == "found", F.when(F.col("grounded") == "ok", "answered").otherwise(F.col("grounded"))).otherwise("no_evidence").alias("outcome"), "answer", F.coalesce("cited", F.array().cast("array<string>")).alias("cited"), "retrieval_score")
+    if generate is None:
+        answered = answers(chosen).withColumn("failure", F.lit(None).cast("string"))
+    else:
+        answered = generated(prompts(requests, chosen), generate, deadline)
+    checked = validated(answered, chosen).withColumnRenamed("outcome", "grounded")
+    given = F.coalesce("failure", F.when(F.col("grounded") == "ok", "answered").otherwise(F.col("grounded")))
+    return decided.join(checked, "request_id", "left").select("request_id", F.when(F.col("outcome") == "found", given).otherwise("no_evidence").alias("outcome"), "answer", F.coalesce("cited", F.array().cast("array<string>")).alias("cited"), "retrieval_score")

@@ -51,39 +51,53 @@ def query_terms(requests: DataFrame) -> DataFrame:
     return scoped(requests).select("request_id", "scope", F.explode(F.array_distinct(T.analyze(F.col("query")))).alias("term"))
 
 
+def analysed(chunks: DataFrame, text: Column | None = None) -> DataFrame:
+    """(chunk_id, access, length, terms) of chunks; what is analysed already stays as it is."""
+    if {"access", "length", "terms"} <= set(chunks.columns):
+        return chunks
+    rows = classed(chunks).select("chunk_id", "access", T.analyze(F.col("text") if text is None else text).alias("terms"))
+    return rows.select("chunk_id", "access", F.greatest(F.lit(1), F.size("terms")).alias("length"), "terms")
+
+
 def term_counts(chunks: DataFrame, text: Column | None = None) -> DataFrame:
     """(chunk_id, access, length, term, tf): the postings."""
-    terms = T.analyze(F.col("text") if text is None else text)
-    rows = classed(chunks).select("chunk_id", "access", terms.alias("terms")).select("chunk_id", "access", F.greatest(F.lit(1), F.size("terms")).alias("length"), F.explode("terms").alias("term"))
+    rows = analysed(chunks, text).select("chunk_id", "access", "length", F.explode("terms").alias("term"))
     return rows.groupBy("chunk_id", "access", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_statistics(requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(scope, n, average_length) over what each scope may read."""
-    lengths = classed(chunks).select("access", F.greatest(F.lit(1), F.size(T.analyze(F.col("text")))).alias("length"))
-    by_class = lengths.groupBy("access").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+def corpus_statistics(requests: DataFrame, chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(scope, n, average_length) over what each scope may read. terms: the chunks analysed."""
+    by_class = (analysed(chunks) if terms is None else terms).groupBy("access").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
     return readable_classes(requests, chunks).join(by_class, "access").groupBy("scope").agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("average_length"))
 
 
-def document_frequencies(requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(scope, term, df) of the requests' terms over what each scope may read."""
-    terms = query_terms(requests)
-    hits = term_counts(chunks).join(terms.select("term").distinct(), "term", "left_semi")
+def postings(requests: DataFrame, terms: DataFrame) -> DataFrame:
+    """Of analysed chunks, the postings of the requests' terms."""
+    return term_counts(terms).join(query_terms(requests).select("term").distinct(), "term", "left_semi")
+
+
+def document_frequencies(requests: DataFrame, chunks: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """(scope, term, df) of the requests' terms over what each scope may read. hits: their postings."""
+    hits = postings(requests, analysed(chunks)) if hits is None else hits
     by_class = hits.groupBy("access", "term").agg(F.count("*").alias("df"))
     found = by_class.join(readable_classes(requests, chunks), "access").groupBy("scope", "term").agg(F.sum("df").alias("df"))
-    return found.join(terms.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    return found.join(query_terms(requests).select("scope", "term").distinct(), ["scope", "term"], "left_semi")
 
 
 def bm25(requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(request_id, chunk_id, lexical_score) of every readable chunk with a positive score."""
-    terms = query_terms(requests)
-    hits = term_counts(chunks).join(terms.select("term").distinct(), "term", "left_semi")
-    paired = hits.join(terms, "term").join(readable_classes(requests, chunks), ["scope", "access"], "left_semi")
-    stats = corpus_statistics(requests, chunks)
+    """(request_id, chunk_id, lexical_score) of every readable chunk with a positive score.
+
+    Texts are analysed once: the analysed chunks are written, and the postings of the requests' terms.
+    """
+    analysis = written(analysed(chunks), "analysed")
+    hits = written(postings(requests, analysis), "postings")
+    classes = written(readable_classes(requests, chunks), "classes")
+    paired = hits.join(query_terms(requests), "term").join(classes, ["scope", "access"], "left_semi")
+    stats = corpus_statistics(requests, chunks, analysis)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average_length")))
     return (
-        paired.join(document_frequencies(requests, chunks), ["scope", "term"])
+        paired.join(document_frequencies(requests, chunks, hits), ["scope", "term"])
         .join(F.broadcast(stats), "scope")  # a row for each scope
         .groupBy("request_id", "chunk_id")
         .agg(F.sum(idf * share).alias("lexical_score"))

@@ -136,12 +136,12 @@ def exact_duplicates(spark, sf):
     return table(spark, sf, "documents").groupBy(T.content_hash(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@query(f"""SELECT doc_id, count(*) FILTER (WHERE abs(v) > 1e-12) AS filled, round(max(abs(v)) / sqrt(sum(v * v)), 6) AS largest, round(sum(v) / sqrt(sum(v * v)), 6) + 0.0::DOUBLE AS total FROM (
+@query(f"""SELECT doc_id, count(*) FILTER (WHERE abs(v) > 1e-12) AS filled, coalesce(round(max(abs(v)) / sqrt(sum(v * v)), 6), 0) AS largest, coalesce(round(sum(v) / sqrt(sum(v * v)), 6), 0) + 0.0::DOUBLE AS total FROM documents LEFT JOIN (
     SELECT doc_id, bucket, sum(sign * (1 + ln(n))) AS v FROM (
       SELECT doc_id, CAST(('0x' || substr(sha256(term), 1, 8)) AS BIGINT) % 256 AS bucket, CASE WHEN substr(sha256(term), 9, 1) >= '8' THEN 1.0 ELSE -1.0 END AS sign, count(*) AS n
-      FROM (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY doc_id, bucket) GROUP BY doc_id""")
+      FROM (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY doc_id, bucket) USING (doc_id) GROUP BY doc_id""")
 def hash_embed(spark, sf):
-    rows = table(spark, sf, "documents").where(F.size(T.analyze(F.col("text"))) > 0).select("doc_id", V.hash_embed(F.col("text")).alias("v"))
+    rows = table(spark, sf, "documents").select("doc_id", V.hash_embed(F.col("text")).alias("v"))
     fold = lambda f: F.aggregate("v", F.lit(0.0), f)
     return rows.select("doc_id", F.size(F.filter("v", lambda x: F.abs(x) > 1e-12)).cast("long").alias("filled"), F.round(fold(lambda s, x: F.greatest(s, F.abs(x))), 6).alias("largest"), (F.round(fold(lambda s, x: s + x), 6) + F.lit(0.0)).alias("total"))
 

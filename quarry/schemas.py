@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-SCHEMA_VERSION = 1
+#: 2: snapshots of the log.
+SCHEMA_VERSION = 2
 
 LOCATOR = "STRUCT<path: STRING, url: STRING, commit: STRING, page: INT, paragraph: INT, line_start: INT, line_end: INT, fragment: STRING>"
 

@@ -1,22 +1,27 @@
 """Files below a folder, and tracked files of a Git tree, as raw documents.
 
-Contents are read by Spark's binaryFile source; globs become one regular expression on the relative
-path. Failures of single files are a status, never an exception, and never a deletion.
+Paths are listed first, hidden ones too, and matched (globs become one regular expression on the relative path);
+executors then read the contents of what matches, and of nothing else. Failures of single files are a status,
+never an exception, and never a deletion.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import io
 import os
 import re
 import subprocess
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
+from itertools import accumulate
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,39 +68,34 @@ def tracked_match(path: Column, include: tuple[str, ...], exclude: tuple[str, ..
     return any_of(path, wanted) & ~any_of(path, unwanted)
 
 
+def _stacked(parts: list[tuple[dict, str]]) -> tuple[str, list[dict]]:
+    """The texts that are not blank with a blank line between, and what each one is with the lines it takes (two are counted between)."""
+    full = [(what, body) for what, body in parts if body.strip()]
+    heights = [body.count("\n") + 1 for _, body in full]
+    starts = accumulate((h + 2 for h in heights), initial=1)
+    return "\n\n".join(body for _, body in full), [what | {"line_start": a, "line_end": a + h - 1} for (what, _), a, h in zip(full, starts, heights, strict=False)]
+
+
 def _epub(data: bytes) -> tuple[str, list[dict]]:
     """Chapters of an e-book in reading order, with the lines they take."""
-    parts, chapters, line = [], [], 1
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         container = ElementTree.fromstring(book.read("META-INF/container.xml"))
         opf = next(e.attrib["full-path"] for e in container.iter() if e.tag.endswith("rootfile"))
         package = ElementTree.fromstring(book.read(opf))
         items = {e.attrib["id"]: e.attrib["href"] for e in package.iter() if e.tag.endswith("}item") and "html" in e.attrib.get("media-type", "")}
-        order = [e.attrib["idref"] for e in package.iter() if e.tag.endswith("}itemref") and e.attrib["idref"] in items]
-        for n, key in enumerate([*order, *(k for k in items if k not in order)], 1):
-            name = os.path.normpath(os.path.join(os.path.dirname(opf), unquote(items[key]))).replace(os.sep, "/")
-            body = extract(book.read(name).decode("utf-8", "replace"))["text"]
-            if body.strip():
-                parts.append(body)
-                lines = body.count("\n")
-                chapters.append({"chapter": n, "name": items[key], "line_start": line, "line_end": line + lines})
-                line += lines + 3
-    return "\n\n".join(parts), chapters
+        order = dict.fromkeys([*(e.attrib["idref"] for e in package.iter() if e.tag.endswith("}itemref")), *items])
+        names = [items[k] for k in order if k in items]
+        within = lambda href: os.path.normpath(os.path.join(os.path.dirname(opf), unquote(href))).replace(os.sep, "/")
+        return _stacked([({"chapter": n, "name": href}, extract(book.read(within(href)).decode("utf-8", "replace"))["text"]) for n, href in enumerate(names, 1)])
 
 
 def _pdf(data: bytes) -> tuple[str, list[dict]]:
+    """Pages of a PDF file, with the lines they take."""
     import pymupdf  # optional
 
-    parts, pages, line = [], [], 1
     with pymupdf.open(stream=data, filetype="pdf") as document:
-        for n, page in enumerate(document, 1):
-            body = page.get_text("text").replace("\r\n", "\n").replace("\r", "\n").strip()
-            if body:
-                parts.append(body)
-                size = body.count("\n") + 1
-                pages.append({"page": n, "line_start": line, "line_end": line + size - 1})
-                line += size + 2
-    return "\n\n".join(parts), pages
+        texts = [re.sub("\r\n?", "\n", p.get_text("text")).strip() for p in document]
+    return _stacked([({"page": n}, t) for n, t in enumerate(texts, 1)])
 
 
 _BINARY = "item_id STRING, text STRING, spans STRING, status STRING, parser_version STRING"
@@ -122,34 +122,52 @@ def read_books(rows: DataFrame) -> DataFrame:
     return rows.select("item_id", "suffix", "content").mapInPandas(run, _BINARY)
 
 
-def _contents(spark: SparkSession, root: str) -> DataFrame:
-    """path, item_id (relative), content, of all files below root that do not leave it through a link."""
-    base = root if "://" in root else "file://" + os.path.realpath(root)
-    prefix = urlsplit(base).path.rstrip("/") + "/"
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.regexp_replace(F.col("path"), r"^[a-z]+:/+", "/")
-    rows = rows.withColumn("item_id", F.substring(path, F.lit(len(prefix) + 1), F.length(path)))
-    if base.startswith("file:"):
+def file_system(root: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system of a folder, and its path there. Hadoop's names for object stores are not pyarrow's."""
+    uri = re.sub("^s3[an]://", "s3://", root)
+    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.realpath(uri.removeprefix("file:")))
+
 
-        @F.pandas_udf("boolean")
-        def inside(paths: pd.Series) -> pd.Series:
-            return paths.map(lambda p: os.path.realpath(prefix + p).startswith(prefix))
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """item_id (the path below root) of all files that do not leave root through a link; hidden files are files."""
+    fs, base = file_system(root)
+    base = base.rstrip("/") + "/"
+    found = [i.path.removeprefix(base) for i in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)) if i.type == pafs.FileType.File]
+    if isinstance(fs, pafs.LocalFileSystem):
+        found = [n for n in found if os.path.realpath(base + n).startswith(base)]
+    return spark.createDataFrame([(n,) for n in found], "item_id STRING")
 
-        rows = rows.where(inside("item_id"))
-    return rows
 
+def _read(names: DataFrame, root: str, digest_only: bool = False) -> DataFrame:
+    """Rows of names with content, length and sha256 of each file; null ones where it cannot be read. digest_only: without content.
+
+    Rows have to begin with item_id. One file is held at a time, and handed on before the next is read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(root)
+        for b in batches:
+            for i, name in enumerate(b.column(0).to_pylist()):
+                try:
+                    with fs.open_input_stream(f"{base.rstrip('/')}/{name}", compression=None) as stream:
+                        data = stream.read()
+                except OSError:
+                    data = None
+                sha = None if data is None else hashlib.sha256(data).hexdigest()
+                more = [pa.array([None if digest_only else data], pa.binary()), pa.array([None if data is None else len(data)], pa.int64()), pa.array([sha], pa.string())]
+                yield pa.RecordBatch.from_arrays([c.slice(i, 1) for c in b.columns] + more, [*b.schema.names, "content", "length", "sha256"])
 
-def _documents(rows: DataFrame, source_id: str, known: DataFrame | None, limit: int | None, suffixes: tuple[str, ...], parser: str) -> DataFrame:
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in names.schema.fields)
+    return names.repartition("item_id").mapInArrow(run, f"{schema}, content BINARY, length BIGINT, sha256 STRING")
+
+
+def _documents(rows: DataFrame, source_id: str, suffixes: tuple[str, ...], parser: str) -> DataFrame:
     """Rows (item_id, content, length, source_revision, extra) as raw documents."""
-    if known is not None:  # unchanged since: (item_id, source_revision)
-        rows = rows.join(known.select("item_id", "source_revision"), ["item_id", "source_revision"], "left_anti")
-    if limit is not None:
-        rows = rows.orderBy("item_id").limit(limit)
     suffix = F.lower(F.regexp_extract("item_id", r"\.([^./]+)$", 1))
     rows = rows.withColumn("suffix", suffix)
     book = F.col("suffix").isin("pdf", "epub")
     books = read_books(rows.where(book)).select("item_id", F.col("text").alias("book"), "spans", F.col("status").alias("book_status"), F.col("parser_version").alias("book_parser"))
-    valid = F.is_valid_utf8(F.col("content"))
+    valid = F.coalesce(F.is_valid_utf8(F.col("content")), F.lit(False))
     body = F.when(book, F.col("book")).when(valid, F.decode("content", "UTF-8"))
     status = F.when(~F.col("suffix").isin(*suffixes), "unsupported").when(book, F.col("book_status")).when(valid, "available").otherwise("unreadable")
     stem = F.regexp_extract("item_id", r"([^/]+?)(?:\.[^./]*)?$", 1)
@@ -164,11 +182,25 @@ def _documents(rows: DataFrame, source_id: str, known: DataFrame | None, limit:
 
 
 def read_files(spark: SparkSession, source_id: str, root: str, include=FILE_INCLUDE, exclude=(), known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Raw documents of the files below root that match; the revision is the content's SHA-256."""
-    rows = _contents(spark, root)
-    rows = rows.where(any_of(F.col("item_id"), [glob_regex(p) for p in include]) & ~any_of(F.col("item_id"), [glob_regex(p) for p in exclude]))
-    rows = rows.withColumn("source_revision", F.sha2("content", 256)).withColumn("extra", F.to_json(F.struct(F.col("item_id").alias("relative_path"))))
-    return _documents(rows, source_id, known, limit, FILE_SUFFIXES, "text-passthrough/1")
+    """Raw documents of the files below root that match; the revision is the content's SHA-256.
+
+    With known, files are digested first and only those that differ are read; with a limit, the first paths only.
+    """
+    names = list_files(spark, root)
+    names = names.where(any_of(F.col("item_id"), [glob_regex(p) for p in include]) & ~any_of(F.col("item_id"), [glob_regex(p) for p in exclude]))
+    if known is not None:
+        names = _chosen(_read(names, root, digest_only=True).select("item_id", F.col("sha256").alias("source_revision")), known, limit).select("item_id")
+    else:
+        names = _chosen(names, None, limit)
+    rows = _read(names, root).withColumnRenamed("sha256", "source_revision").withColumn("extra", F.to_json(F.struct(F.col("item_id").alias("relative_path"))))
+    return _documents(rows, source_id, FILE_SUFFIXES, "text-passthrough/1")
+
+
+def _chosen(names: DataFrame, known: DataFrame | None, limit: int | None) -> DataFrame:
+    """Those that are not as known (item_id, source_revision), and of them the first by path."""
+    if known is not None:
+        names = names.join(known.select("item_id", "source_revision"), ["item_id", "source_revision"], "left_anti")
+    return names if limit is None else names.orderBy("item_id").limit(limit)
 
 
 def git(root: str, *command: str) -> bytes:
@@ -178,9 +210,11 @@ def git(root: str, *command: str) -> bytes:
 def read_git(spark: SparkSession, source_id: str, root: str, include=GIT_INCLUDE, exclude=GIT_EXCLUDE, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Raw documents of the tracked files of a working tree that match; the revision is the commit."""
     commit = git(root, "rev-parse", "HEAD").decode().strip()
-    names = [(n.decode(),) for n in git(root, "ls-files", "-z").split(b"\0") if n]
-    listed = spark.createDataFrame(names, "item_id STRING").where(tracked_match(F.col("item_id"), tuple(include), tuple(exclude)))
-    safe = ~F.col("item_id").rlike(r"(^/|(^|/)\.\.(/|$))")
-    rows = _contents(spark, root).join(listed.where(safe), "item_id", "left_semi")
-    rows = rows.withColumn("source_revision", F.lit(commit)).withColumn("extra", F.to_json(F.struct(F.lit(commit).alias("commit"), F.col("item_id").alias("relative_path"))))
-    return _documents(rows, source_id, known, limit, tuple(MEDIA), "git-text/1")
+    fs, base = file_system(root)
+    listed = [n.decode("utf-8", "surrogateescape") for n in git(root, "ls-files", "-z").split(b"\0") if n]
+    below = [n for n in listed if n.isprintable() and os.path.isfile(f"{base}/{n}") and os.path.realpath(f"{base}/{n}").startswith(f"{base}/")]
+    names = spark.createDataFrame([(n,) for n in below], "item_id STRING").where(tracked_match(F.col("item_id"), tuple(include), tuple(exclude)))
+    names = names.where(~F.col("item_id").rlike(r"(^/|(^|/)\.\.(/|$))")).withColumn("source_revision", F.lit(commit))
+    rows = _read(_chosen(names, known, limit).select("item_id", "source_revision"), root)
+    rows = rows.withColumn("extra", F.to_json(F.struct(F.lit(commit).alias("commit"), F.col("item_id").alias("relative_path"))))
+    return _documents(rows, source_id, tuple(MEDIA), "git-text/1")

@@ -109,3 +109,19 @@ def test_results_do_not_depend_on_partitions(spark):
     a = R.hybrid(requests, chunks.repartition(1)).orderBy("rank").collect()
     b = R.hybrid(requests, chunks.repartition(7, F.rand(1))).orderBy("rank").collect()
     assert a == b
+
+
+def test_generators_have_a_deadline_and_may_fail(spark):
+    def generate(prompt):
+        import time
+
+        if "slow" in prompt:
+            time.sleep(5)
+        if "broken" in prompt:
+            raise RuntimeError("no model")
+        return " " if "silent" in prompt else prompt.upper()
+
+    asked = spark.createDataFrame([(x, x) for x in ("fine", "slow", "broken", "silent")], "request_id string, prompt string")
+    got = {r.request_id: (r.answer, r.failure) for r in G.generated(asked, generate, deadline=0.5).collect()}
+    assert got == {"fine": ("FINE", None), "slow": (None, "generator_timeout"), "broken": (None, "generator_failed"), "silent": (None, "generator_failed")}
+    assert G.generated(asked.limit(0), generate).count() == 0

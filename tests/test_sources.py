@@ -99,6 +99,32 @@ def test_git(spark, tmp_path):
     assert json.loads(got["top.md"].metadata_json)["commit"] == got["top.md"].source_revision
 
 
+def test_hidden_names_are_read(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@x", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    run("init")
+    names = (".github/ci.yml", "_index.md", "_notes/x.md", "a/y.md", "a/.z.md")
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}")
+    run("add", ".")
+    run("commit", "-m", "c")
+    got = {r.item_id: (r.status, r.text) for r in S.read_git(spark, "g", str(tmp_path), exclude=()).collect()}
+    assert got == {n: ("available", f"# {n}") for n in names}
+    assert {r.item_id for r in S.read_files(spark, "f", str(tmp_path), include=("**/*.md",)).collect()} == set(names) - {".github/ci.yml"}
+    known = spark.createDataFrame([("a/y.md", S.read_git(spark, "g", str(tmp_path)).first().source_revision)], "item_id string, source_revision string")
+    assert {r.item_id for r in S.read_git(spark, "g", str(tmp_path), exclude=(), known=known, limit=2).collect()} == {".github/ci.yml", "_index.md"}
+
+
+def test_only_what_matches_is_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.md").write_text("a")
+    (tmp_path / "b.bin").write_bytes(b"b")
+    read = S._read
+    seen = []
+    monkeypatch.setattr(S, "_read", lambda names, *a, **k: (seen.append({r.item_id for r in names.collect()}), read(names, *a, **k))[1])
+    assert S.read_files(spark, "f", str(tmp_path)).count() == 1 and seen == [{"a.md"}]
+    assert S.read_files(spark, "f", str(tmp_path / "none")).count() == 0
+
+
 def test_globs():
     import re
 

@@ -111,6 +111,68 @@ def test_of_two_writers_one_fails(spark, store):
         store._commit({"run_id": "x", "source_id": "notes", "status": "candidate"}, 0)
 
 
+def test_of_many_writers_one_wins(store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def commit(k):
+        try:
+            store._commit({"run_id": f"r{k}", "source_id": "notes", "status": "candidate"}, 0)
+            return 1
+        except IngestionError:
+            return 0
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(commit, range(8))) == 1 and len(store._log()) == 1
+
+
+def test_rows_that_break_a_rule_are_refused_before_any_write(spark, store):
+    first = go(spark, store, [("a", "one"), ("b", "two")])
+    versions, chunks = (store.table(n).where(F.col("index_run_id") == first.index_run_id) for n in ("versions", "chunks"))
+    versions, chunks = (spark.createDataFrame(df.collect(), df.schema) for df in (versions, chunks))
+    run = store.open_run("notes")
+    bad = {
+        "embedding_width": (versions, chunks.withColumn("dense_embedding", F.slice("dense_embedding", 1, 9))),
+        "chunk_id_unique": (versions, chunks.unionByName(chunks)),
+        "version_unique": (versions.unionByName(versions), chunks),
+        "chunk_has_version": (versions.where("document_id = 'notes:a'"), chunks),
+    }
+    for rule, (v, c) in bad.items():
+        with pytest.raises(IngestionError, match=rule):
+            store.stage(run, v, c)
+        assert store.table("chunks").where(F.col("index_run_id") == run).count() == 0
+    store.stage(run, versions, chunks)
+    assert store.table("chunks").where(F.col("index_run_id") == run).count() == 2
+
+
+def test_snapshots_of_the_log(spark, store, monkeypatch):
+    from quarry.plans import store as S
+
+    monkeypatch.setattr(S, "SNAPSHOT", 3)
+    for _ in range(4):
+        store.discard(store.open_run("notes"))
+    assert [n for n, _ in store._named("snapshots")] == [3, 6] and len(store._log()) == 8
+    read = []
+    monkeypatch.setattr(store, "_read", lambda path, f=store._read: (read.append(path.getName()), f(path))[1])
+    assert [e["event_seq"] for e in store._log()] == list(range(8)) and len(read) == 3
+
+
+def test_migrations_are_applied_once_and_in_order(spark, tmp_path, monkeypatch):
+    from quarry.plans import store as S
+
+    root = f"file://{tmp_path}/old"
+    monkeypatch.setattr(schemas, "SCHEMA_VERSION", 1)
+    IndexStore(spark, root).open_run("notes")
+    done = []
+    monkeypatch.setattr(S, "MIGRATIONS", ((2, lambda s: done.append(2)), (3, lambda s: done.append(3)), (4, lambda s: done.append(4))))
+    monkeypatch.setattr(schemas, "SCHEMA_VERSION", 3)
+    store = IndexStore(spark, root)
+    assert done == [2, 3] and store.applied() == [1, 2, 3] and store.migrate() == []
+    assert IndexStore(spark, root).applied() == [1, 2, 3] and done == [2, 3] and store.events().count() == 1
+    monkeypatch.setattr(schemas, "SCHEMA_VERSION", 2)
+    with pytest.raises(IngestionError):
+        IndexStore(spark, root)
+
+
 def test_registering_again_replaces(spark, store):
     store.register_source(as_row(spark, OWN))
     store.register_source(as_row(spark, {**OWN, "display_name": "Renamed"}))
