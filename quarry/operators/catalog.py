@@ -57,12 +57,11 @@ def fitments(texts: Column) -> Column:
     return F.transform(texts, one)
 
 
-def fitment_fold(fits: Column, terms: Column, asked: Column) -> Column:
+def fitment_fold(fits: Column, terms: Column, words: Column, asked: Column) -> Column:
     """(matched, score) over the fitments in order: three for each matched term, the best counts; two more when the whole model matches.
 
-    A fitment counts if a term matches it and no year is asked for, or one in its range.
+    A fitment counts if a term other than the years (words) matches it and no year is asked for, or one in its range.
     """
-    words = F.array_except(terms, F.transform(asked, lambda y: y.cast("string")))
 
     def step(state: Column, fitment: Column) -> Column:
         match = F.array_intersect(words, fitment["tokens"])
@@ -78,11 +77,11 @@ def fitment_fold(fits: Column, terms: Column, asked: Column) -> Column:
 def candidates(asked: DataFrame, parts: DataFrame) -> DataFrame:
     """(request_id, part_id) of all pairs that can be hits, each once, narrow: arrays and texts are joined to what is left.
 
-    asked: request_id, terms, asked, vehicle. A question about a vehicle needs a fitment that shares a term with it, and
+    asked: request_id, terms, words (terms that are no year asked for), asked (years), vehicle. A question about a vehicle needs a fitment that shares a term with it, and
     covers a year it asks for, if it asks for any: it meets fitments on (term, year), of which a fitment has a row for each
     year that it covers. Other questions meet parts on any term.
     """
-    words = asked.withColumn("token", F.explode(F.array_except("terms", F.transform("asked", lambda y: y.cast("string")))))
+    words = asked.withColumn("token", F.explode("words"))
     fits = parts.select("part_id", F.explode(fitments(F.col("compatible_with"))).alias("f")).select("part_id", F.explode("f.tokens").alias("token"), "f.low", "f.high")
     yearly = fits.where("low is not null").select("part_id", "token", F.explode(F.sequence("low", "high")).alias("year"))
     dated = words.where("vehicle and size(asked) > 0").select("request_id", "token", F.explode("asked").alias("year"))
@@ -109,12 +108,12 @@ def search(requests: DataFrame, parts: DataFrame, limit: int = 5, least: float =
     ids = parts.select("part_id", tokens(F.col("part_id")).alias("id_terms")).withColumn("token", F.explode("id_terms"))
     named = ids.join(words, "token").where(within(F.col("id_terms"), F.col("terms"))).select("request_id", "part_id").distinct().withColumn("named", F.lit(True))
     only = named.select("request_id").distinct().withColumn("only_named", F.lit(True))
-    known = asked.join(vehicle, "request_id", "left").join(only, "request_id", "left").select("request_id", "terms", "asked", F.coalesce("vehicle", F.lit(False)).alias("vehicle"), F.coalesce("only_named", F.lit(False)).alias("only_named"))
+    known = asked.join(vehicle, "request_id", "left").join(only, "request_id", "left").select("request_id", "terms", F.array_except("terms", F.transform("asked", lambda y: y.cast("string"))).alias("words"), "asked", F.coalesce("vehicle", F.lit(False)).alias("vehicle"), F.coalesce("only_named", F.lit(False)).alias("only_named"))
     free = candidates(known.where("not only_named"), parts)
     wanted = candidates(known.where("only_named"), parts.join(named.select("part_id").distinct(), "part_id", "left_semi")).join(named, ["request_id", "part_id"], "left_semi")
     wide = parts.select("part_id", fitments(F.col("compatible_with")).alias("fits"), tokens(_body()).alias("part_terms"))
     pairs = free.unionByName(wanted).join(wide, "part_id").join(known, "request_id").withColumn("lexical", F.array_intersect("terms", "part_terms"))
-    folded = pairs.select("request_id", "part_id", "vehicle", "lexical", fitment_fold(F.col("fits"), F.col("terms"), F.col("asked")).alias("fold"))
+    folded = pairs.select("request_id", "part_id", "vehicle", "lexical", fitment_fold(F.col("fits"), F.col("terms"), F.col("words"), F.col("asked")).alias("fold"))
     kept = folded.where(~F.col("vehicle") | (F.size("fold.matched") > 0))
     score = F.size("lexical") + F.col("fold.score")
     scored = kept.select("request_id", "part_id", score.alias("score"), "lexical", "fold.matched").where(F.col("score") >= least)

@@ -9,15 +9,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.errors import EngineError
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir where it is set, else one made here (tests, local mode)."""
+    """The shared folder: spark.checkpoint.dir where it is set; else one made here, but only where everything runs in one process (tests, local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise EngineError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="quarry-")
     atexit.register(shutil.rmtree, folder, True)
     spark.sparkContext.setCheckpointDir(folder)

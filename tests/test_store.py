@@ -193,3 +193,16 @@ def test_descriptors(tmp_path):
     for bad in ({"source_id": "bad id"}, {"visibility": "secret"}, {"owner": ""}):
         with pytest.raises(ValueError):
             descriptor({**OWN, **bad})
+
+
+def test_no_local_scratch_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from quarry.errors import EngineError
+    from quarry.plans.shared import checkpoint_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(EngineError):
+        checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+    assert checkpoint_dir(spark)
