@@ -118,10 +118,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of a 64-bit murmur hash."""
     x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
+    x *= _U(0xFF51AFD7ED558CCD)
+    x ^= x >> _U(33)
+    x *= _U(0xC4CEB9FE1A85EC53)
+    x ^= x >> _U(33)
+    return x
 
 
 class Kept(dict):
