@@ -70,6 +70,30 @@ def test_scores_are_dot_products():
     assert np.allclose(Q.scores(texts, w), direct, atol=1e-6)
 
 
+def test_ftrl_equals_a_plain_version():
+    """Per coordinate: z += g - sigma w, n += g^2, w from z and n; the bias has no L1."""
+    r = np.random.default_rng(6)
+    model, z, n = Q.Ftrl(12), {}, {}
+
+    def weight(k):
+        l1 = 0.0 if k == 12 else Q.L1
+        zk = z.get(k, 0.0)
+        return 0.0 if abs(zk) <= l1 else -(zk - math.copysign(l1, zk)) / ((Q.BETA + math.sqrt(n.get(k, 0.0))) / Q.ALPHA + Q.L2)
+
+    for _ in range(300):
+        at = np.sort(r.choice(12, r.integers(0, 6), replace=False))
+        x, label = r.random(len(at)), int(r.random() < 0.5)
+        model.step(at, x, label)
+        row = [*zip(at.tolist(), x.tolist(), strict=True), (12, 1.0)]
+        w = {k: weight(k) for k, _ in row}
+        p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in row)))
+        for k, v in row:
+            g = (p - label) * v
+            sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / Q.ALPHA
+            z[k], n[k] = z.get(k, 0.0) + g - sigma * w[k], n.get(k, 0.0) + g * g
+    assert np.allclose(model.weights(np.arange(13)), [weight(k) for k in range(13)], atol=1e-9)
+
+
 # ---- language model ----
 
 
