@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.columns import computed
 from quarry.operators.ground import grounding
 
 # Fixed values.
@@ -63,15 +64,17 @@ def fitment_fold(fits: Column, terms: Column, words: Column, asked: Column) -> C
     A fitment counts if a term other than the years (words) matches it and no year is asked for, or one in its range.
     """
 
-    def step(state: Column, fitment: Column) -> Column:
-        match = F.array_intersect(words, fitment["tokens"])
-        in_years = (F.size(asked) == 0) | F.exists(asked, lambda y: (y >= fitment["low"]) & (y <= fitment["high"]))
+    def judged(fitment: Column) -> Column:
         whole = within(fitment["model"], terms)
-        score = F.greatest(state["score"], F.size(match) * 3.0) + F.when(whole, 2.0).otherwise(0.0)
-        return F.when((F.size(match) > 0) & F.coalesce(in_years, F.lit(False)), F.struct(F.array_union(state["matched"], match).alias("matched"), score.alias("score"))).otherwise(state)
+        return F.struct(F.array_intersect(words, fitment["tokens"]).alias("match"), F.when(whole, 2.0).otherwise(0.0).alias("more"))
+
+    def step(state: Column, fitment: Column) -> Column:
+        score = F.greatest(state["score"], F.size(fitment["match"]) * 3.0) + fitment["more"]
+        return F.struct(F.array_union(state["matched"], fitment["match"]).alias("matched"), score.alias("score"))
 
+    in_years = F.filter(fits, lambda f: (F.size(asked) == 0) | F.exists(asked, lambda y: (y >= f["low"]) & (y <= f["high"])))
     start = F.struct(F.array().cast("array<string>").alias("matched"), F.lit(0.0).alias("score"))
-    return F.aggregate(fits, start, step)
+    return F.aggregate(F.filter(F.transform(in_years, judged), lambda f: F.size(f["match"]) > 0), start, step)
 
 
 def candidates(asked: DataFrame, parts: DataFrame) -> DataFrame:
@@ -112,8 +115,8 @@ def search(requests: DataFrame, parts: DataFrame, limit: int = 5, least: float =
     free = candidates(known.where("not only_named"), parts)
     wanted = candidates(known.where("only_named"), parts.join(named.select("part_id").distinct(), "part_id", "left_semi")).join(named, ["request_id", "part_id"], "left_semi")
     wide = parts.select("part_id", fitments(F.col("compatible_with")).alias("fits"), tokens(_body()).alias("part_terms"))
-    pairs = free.unionByName(wanted).join(wide, "part_id").join(known, "request_id").withColumn("lexical", F.array_intersect("terms", "part_terms"))
-    folded = pairs.select("request_id", "part_id", "vehicle", "lexical", fitment_fold(F.col("fits"), F.col("terms"), F.col("words"), F.col("asked")).alias("fold"))
+    pairs = free.unionByName(wanted).join(wide, "part_id").join(known, "request_id")
+    folded = computed(pairs, lexical=F.array_intersect("terms", "part_terms"), fold=fitment_fold(F.col("fits"), F.col("terms"), F.col("words"), F.col("asked")))
     kept = folded.where(~F.col("vehicle") | (F.size("fold.matched") > 0))
     score = F.size("lexical") + F.col("fold.score")
     scored = kept.select("request_id", "part_id", score.alias("score"), "lexical", "fold.matched").where(F.col("score") >= least)
