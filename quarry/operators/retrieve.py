@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions import access as A
 from quarry.functions import text as T
 from quarry.functions import vectors as V
+from quarry.functions.columns import computed
 from quarry.plans.shared import written
 
 # Fixed values of the ranking formulas.
@@ -110,7 +111,8 @@ def dense(requests: DataFrame, chunks: DataFrame, floor: float = DENSE_FLOOR) ->
     asked = scoped(requests).where(F.col("vector").isNotNull()).select("request_id", "scope", "vector")
     open_ = asked.join(readable_classes(requests, chunks), "scope").select("request_id", "vector", "access")
     vectors = classed(chunks).where(F.col("embedding").isNotNull()).select("chunk_id", "access", "embedding")
-    return vectors.join(open_, "access").select("request_id", "chunk_id", V.dot(F.col("vector"), F.col("embedding")).alias("dense_score")).where(F.col("dense_score") >= floor)
+    scored = computed(vectors.join(open_, "access").select("request_id", "chunk_id", "vector", "embedding"), dense_score=V.dot(F.col("vector"), F.col("embedding")))
+    return scored.select("request_id", "chunk_id", "dense_score").where(F.col("dense_score") >= floor)
 
 
 def by_score(score: str) -> Window:
