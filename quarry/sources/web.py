@@ -1,4 +1,4 @@
-"""Web pages that a crawler has fetched: address rules, policies, and raw documents. Fetching itself is left to crawlers."""
+"""Fetched web pages, by a crawler or by fetch.fetch_pages: address rules, policies, and raw documents."""
 
 from __future__ import annotations
 
@@ -52,18 +52,19 @@ def policy(url: Column, html: Column, status: Column | None = None, content_type
     return out.when(F.octet_length(html.cast("binary")) > MAX_BYTES, "too_large").otherwise("ok")
 
 
+def all_public(addresses: list[str]) -> bool:
+    """Whether there are addresses and all are public."""
+    try:
+        each = [ipaddress.ip_address(a.strip()) for a in addresses]
+    except ValueError:
+        return False
+    return bool(each) and not any(a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified for a in each)
+
+
 @F.pandas_udf(BooleanType())
 def public_address(addresses: pd.Series) -> pd.Series:
     """Whether all of a host's comma-separated addresses are public; a host without any is not."""
-
-    def ok(value) -> bool:
-        try:
-            each = [ipaddress.ip_address(a.strip()) for a in value.split(",")]
-        except (ValueError, AttributeError):
-            return False
-        return not any(a.is_private or a.is_loopback or a.is_link_local or a.is_reserved or a.is_multicast or a.is_unspecified for a in each)
-
-    return addresses.map(ok)
+    return addresses.map(lambda value: isinstance(value, str) and all_public(value.split(",")))
 
 
 def robots(agent: str):
@@ -99,18 +100,23 @@ def absolute(base: pd.Series, link: pd.Series) -> pd.Series:
 
 
 def read_pages(pages: DataFrame, source_id: str, url: str = "url", html: str = "html") -> DataFrame:
-    """Raw documents of fetched pages (url, html, and if there: status, content_type, etag, last_modified)."""
-    have = lambda c: F.col(c) if c in pages.columns else None
-    rule = policy(F.col(url), F.col(html), have("status"), have("content_type"))
+    """Raw documents of fetched pages: url, html, and if there: status, content_type, etag, last_modified, final_url, body_sha256, failure."""
+    have = lambda c: F.col(c) if c in pages.columns else F.lit(None).cast("string")
+    asked = lambda c: F.col(c) if c in pages.columns else None
+    rule = F.coalesce(have("failure"), policy(F.col(url), F.col(html), asked("status"), asked("content_type")))
     rows = pages.withColumn("rule", rule).withColumn("page", F.when(F.col("rule") == "ok", extract_html(F.col(html))))
     address = normalize_url(F.col(url))
-    canonical = F.coalesce(normalize_url(absolute(address, F.col("page.canonical_url"))), address)
-    status = F.when(F.col("rule") == "unsupported", "unsupported").when(F.col("rule") != "ok", "quarantined").when(F.col("page.text") == "", "unreadable").otherwise("available")
-    marks = [c for c in (have("etag"), have("last_modified")) if c is not None]
-    digest = F.sha2(F.col(html).cast("binary"), 256)
+    reached = F.coalesce(normalize_url(have("final_url")), address)
+    canonical = F.coalesce(normalize_url(absolute(reached, F.col("page.canonical_url"))), reached)
+    status = (
+        F.when(F.col("rule") == "unsupported", "unsupported").when(F.col("rule") == "request_failed", "unreadable").when(F.col("rule") != "ok", "quarantined")
+        .when(F.col("page.text") == "", "unreadable").otherwise("available")
+    )
+    digest = F.coalesce(have("body_sha256"), F.sha2(F.col(html).cast("binary"), 256))
+    about = F.struct(F.col(url).alias("source_url"), canonical.alias("canonical_url"), have("etag").alias("etag"), have("last_modified").alias("last_modified"), F.nullif(F.col("rule"), F.lit("ok")).alias("rule"))
     return rows.select(
         F.lit(source_id).alias("source_id"), F.coalesce(address, F.col(url)).alias("item_id"), F.coalesce(address, F.col(url)).alias("source_uri"), F.lit("text/html").alias("media_type"), status.alias("status"),
-        F.col("page.title").alias("title"), F.octet_length(F.col(html).cast("binary")).cast("long").alias("size_bytes"), F.coalesce(*marks, digest).alias("source_revision"), F.col("page.text").alias("text"),
+        F.col("page.title").alias("title"), F.octet_length(F.col(html).cast("binary")).cast("long").alias("size_bytes"), F.coalesce(have("etag"), have("last_modified"), digest).alias("source_revision"), F.col("page.text").alias("text"),
         F.lit("html-regions/1").alias("parser_version"), F.current_timestamp().alias("fetched_at"), published_at(F.col("page.published_at")).alias("published_at"), F.lit(None).cast("string").alias("language"),
-        F.to_json(F.struct(F.col(url).alias("source_url"), canonical.alias("canonical_url"))).alias("metadata_json"),
+        F.to_json(about).alias("metadata_json"),
     )

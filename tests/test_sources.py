@@ -1,3 +1,4 @@
+import hashlib
 import json
 import subprocess
 import zipfile
@@ -5,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.sources import fetch as X
 from quarry.sources import files as S
 from quarry.sources import web as W
 from quarry.sources.html import extract
@@ -61,6 +63,67 @@ def test_pages(spark):
     assert got["http://x.example/b"].status == "quarantined" and got["https://x.example/c"].status == "unreadable"
 
 
+def site(url, address, headers):
+    """A small web: (status, headers, body) of an address."""
+    assert address == "93.184.216.34" and headers["User-Agent"] == "probe"
+    host, path = url.removeprefix("https://").split("/", 1)
+    if path == "robots.txt":
+        return {"closed.example": (403, {}, b""), "free.example": (404, {}, b"")}.get(host, (200, {}, b"User-agent: *\nDisallow: /private"))
+    if path == "broken":
+        raise TimeoutError
+    moved = {"old": "/new#part", "out": "http://free.example/x", "in": "https://inside.example/x", "loop": "/loop", "hidden": "/private/x", "nowhere": ""}
+    if path in moved:
+        return 302, {"location": moved[path]}, b""
+    if path == "big":
+        return 200, {"content-type": "text/html"}, b"x" * (W.MAX_BYTES + 1)
+    if path == "pdf":
+        return 200, {"content-type": "application/pdf"}, b"%PDF"
+    if path == "gone":
+        return 410, {}, b""
+    return 200, {"content-type": "text/html; charset=iso-8859-2", "etag": '"v1"' if path == "new" else ""}, "<article><p>żółw</p></article>".encode("iso-8859-2")
+
+
+def resolve(host):
+    return ["93.184.216.34", "10.0.0.1"] if host == "inside.example" else ["93.184.216.34"]
+
+
+def test_fetching(spark):
+    expect = {
+        "https://a.example/new": None, "https://a.example/old": None, "https://A.example./plain": None, "https://free.example/private/x": None, "https://a.example/out": "not_https",
+        "https://a.example/in": "private_address", "https://a.example/loop": "too_many_redirects", "https://a.example/hidden": "robots", "https://a.example/private/y": "robots", "https://closed.example/z": "robots",
+        "https://a.example/nowhere": "no_location", "https://a.example/big": "too_large", "https://a.example/broken": "request_failed", "https://localhost/x": "local_host", "http://a.example/x": "not_https",
+        "https://a.example:x/": "not_https", "https://inside.example/x": "private_address", "https://a.example/pdf": None, "https://a.example/gone": None, None: "not_https",
+    }
+    fetched = X.fetch_pages(spark.createDataFrame([(u,) for u in expect], "url string"), "probe", get=site, resolve=resolve).cache()
+    got = {r.url: r for r in fetched.collect()}
+    assert {u: r.failure for u, r in got.items()} == expect
+    assert got["https://a.example/old"].final_url == "https://a.example/new" and "żółw" in got["https://a.example/old"].html
+    raw = {r.source_uri: r for r in W.read_pages(fetched, "web").collect()}
+    old, plain = raw["https://a.example/old"], raw["https://a.example/plain"]
+    assert (old.status, old.source_revision, old.text, json.loads(old.metadata_json)["canonical_url"]) == ("available", '"v1"', "żółw", "https://a.example/new")
+    assert plain.source_revision == hashlib.sha256("<article><p>żółw</p></article>".encode("iso-8859-2")).hexdigest()
+    status = {u: raw[u].status for u in ("https://a.example/pdf", "https://a.example/gone", "https://a.example/broken", "https://a.example/big", "https://closed.example/z")}
+    assert list(status.values()) == ["unsupported", "quarantined", "unreadable", "quarantined", "quarantined"]
+
+
+def test_fetching_from_allowed_hosts_only(spark):
+    rows = spark.createDataFrame([("https://a.example/new",), ("https://free.example/new",)], "url string")
+    assert {r.url: r.failure for r in X.fetch_pages(rows, "probe", allow_hosts=("a.example",), get=site, resolve=resolve).collect()} == {"https://a.example/new": None, "https://free.example/new": "host_not_allowed"}
+
+
+def test_addresses_have_one_form(spark):
+    urls = ["https://A.example", "HTTPS://u:p@a.example.:443/x?", "https://a.example:8443/x?q#f", "https://a.example?q", "http://a", "https:///x", "", "https://./x"]
+    column = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(W.normalize_url(F.col("u"))).collect()]
+
+    def python(url):
+        try:
+            return X.normal(url)
+        except X.Refused:
+            return None
+
+    assert [python(u) for u in urls] == column
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "docs/deep").mkdir(parents=True)
     (tmp_path / "docs/a.md").write_text("# Title here\n\nbody")
