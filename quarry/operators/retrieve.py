@@ -199,34 +199,52 @@ def clauses(query: Column) -> Column:
 def full_text(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """(request_id, chunk_id) of readable chunks in which all clauses hold.
 
-    Candidates come from an equi-join on the first word of the first positive clause's alternatives; the
-    other clauses are tested on them. Queries without a positive clause match nothing.
+    Candidates come from an equi-join on the first words of one positive clause's alternatives, the clause whose words are in the
+    fewest chunks; all clauses are tested on them. Queries without a positive clause match nothing. Texts are analysed once.
     """
     parsed = scoped(requests).select("request_id", "scope", clauses(F.col("query")).alias("clauses"))
-    first = F.get(F.filter("clauses", lambda c: ~c["negated"]), 0)["alternatives"]
-    keys = parsed.where(first.isNotNull()).select("*", F.explode(F.transform(first, lambda a: F.substring_index(a, " ", 1))).alias("term"))
-    terms = T.analyze(F.col("text"))
-    postings = classed(chunks).select("chunk_id", "access", F.explode(F.array_distinct(terms)).alias("term"))
-    found = postings.join(keys, "term").join(readable_classes(requests, chunks), ["scope", "access"], "left_semi").select("request_id", "chunk_id", "clauses").dropDuplicates(["request_id", "chunk_id"])
-    line = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
-    texts = chunks.select("chunk_id", line.alias("line"))
+    positive = parsed.select("request_id", "scope", F.posexplode(F.filter("clauses", lambda c: ~c["negated"])).alias("clause", "c"))
+    keys = positive.select("request_id", "scope", "clause", F.explode("c.alternatives").alias("a")).select("request_id", "scope", "clause", F.substring_index("a", " ", 1).alias("term")).distinct()
+    analysis = written(analysed(chunks), "analysed")
+    hits = analysis.select("chunk_id", "access", F.explode(F.array_distinct("terms")).alias("term"))
+    hits = written(hits.join(keys.select("term").distinct(), "term", "left_semi"), "postings")
+    often = keys.join(hits.groupBy("term").agg(F.count("*").alias("n")), "term", "left").groupBy("request_id", "clause").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = often.groupBy("request_id").agg(F.min(F.struct("n", "clause")).alias("least")).select("request_id", "least.clause")
+    found = hits.join(keys.join(rarest, ["request_id", "clause"], "left_semi"), "term").join(readable_classes(requests, chunks), ["scope", "access"], "left_semi").select("request_id", "chunk_id").distinct()
+    lines = analysis.select("chunk_id", F.concat(F.lit(" "), F.array_join("terms", " "), F.lit(" ")).alias("line"))
     there = lambda a: F.contains(F.col("line"), F.concat(F.lit(" "), a, F.lit(" ")))
     holds = F.forall("clauses", lambda c: F.exists(c["alternatives"], there) != c["negated"])
-    return found.join(texts, "chunk_id").where(holds).select("request_id", "chunk_id")
+    return found.join(lines, "chunk_id").join(parsed.drop("scope"), "request_id").where(holds).select("request_id", "chunk_id")
 
 
 def trigram_hits(requests: DataFrame, chunks: DataFrame, floor: float = TRIGRAM_FLOOR) -> DataFrame:
-    """(request_id, chunk_id, score) of readable chunks by the trigrams they share. Each distinct text is compared once."""
-    asked = scoped(requests).select("request_id", "scope", T.trigrams(F.col("query")).alias("grams")).select("request_id", "scope", F.size("grams").alias("n_asked"), F.explode("grams").alias("gram"))
-    rows = classed(chunks).select("chunk_id", "access", "text")
-    there = rows.select("access", "text").distinct().withColumn("grams", T.trigrams(F.col("text"))).select("access", "text", F.size("grams").alias("n_there"), F.explode("grams").alias("gram"))
-    shared = there.join(asked, "gram").join(readable_classes(requests, chunks), ["scope", "access"], "left_semi").groupBy("request_id", "access", "text", "n_asked", "n_there").agg(F.count("*").alias("n"))
-    near = shared.select("request_id", "access", "text", (F.col("n") / (F.col("n_asked") + F.col("n_there") - F.col("n"))).alias("score")).where(F.col("score") >= floor)
-    return rows.join(near, ["access", "text"]).select("request_id", "chunk_id", "score")
+    """(request_id, chunk_id, score) of readable chunks by the trigrams they share.
+
+    Each distinct text is compared once, under its digest. A request meets texts on its rarest trigrams only: as many of its
+    most frequent ones are spared as could not reach the score alone. Pairs that could reach it with all the spared ones,
+    few as a rule, are then compared in full, so the result is exact.
+    """
+    asked = scoped(requests).select("request_id", "scope", T.trigrams(F.col("query")).alias("own"))
+    rows = classed(chunks).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    texts = written(rows.dropDuplicates(["access", "digest"]).select("access", "digest", T.trigrams(F.col("text")).alias("grams")), "grams")
+    there = texts.select("access", "digest", F.size("grams").alias("n_there"), F.explode("grams").alias("gram"))
+    each = asked.select("request_id", "scope", F.size("own").alias("n_asked"), F.explode("own").alias("gram"))
+    often = there.join(each.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("often"))
+    # a score of floor takes floor * n_asked shared ones; far less than one is left for rounding
+    spared = F.greatest(F.lit(0), (F.ceil(F.lit(floor) * F.col("n_asked") - 1e-9) - 1).cast("int"))
+    ordered = each.join(often, "gram").groupBy("request_id", "scope", "n_asked").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("known"))
+    rare = ordered.withColumn("spared", F.least(spared, F.size("known"))).withColumn("g", F.explode(F.slice("known", 1, F.size("known") - F.col("spared")))).select("request_id", "scope", "n_asked", "spared", "g.gram")
+    fits = F.least("n_asked", "n_there") / F.greatest("n_asked", "n_there") >= floor  # the score is this at most
+    met = there.join(rare, "gram").where(fits).join(readable_classes(requests, chunks), ["scope", "access"], "left_semi").groupBy("request_id", "access", "digest", "n_asked", "n_there", "spared").agg(F.count("*").alias("n"))
+    score = lambda n: n / (F.col("n_asked") + F.col("n_there") - n)
+    hopeful = met.where(score(F.least(F.col("n") + F.col("spared"), "n_asked", "n_there")) >= floor).drop("n", "spared")
+    exact = computed(hopeful.join(texts, ["access", "digest"]).join(asked.drop("scope"), "request_id"), n=F.size(F.array_intersect("own", "grams")))
+    near = exact.select("request_id", "access", "digest", score(F.col("n")).alias("score")).where(F.col("score") >= floor)
+    return rows.select("access", "digest", "chunk_id").join(near, ["access", "digest"]).select("request_id", "chunk_id", "score")
 
 
 def lexical_with_fallback(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     """Full-text hits, and trigram hits of the requests that have none: request_id, chunk_id, score, mode."""
-    exact = full_text(requests, chunks)
-    open_ = requests.join(exact.select("request_id").distinct(), "request_id", "left_anti")
+    exact = written(full_text(requests, chunks), "full-text")
+    open_ = written(requests.join(exact.select("request_id").distinct(), "request_id", "left_anti"), "unanswered")
     return exact.select("request_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("full_text").alias("mode")).unionByName(trigram_hits(open_, chunks).withColumn("mode", F.lit("trigram")))

@@ -1,4 +1,5 @@
 import math
+import re
 
 from quarry.operators import ground as G
 from quarry.operators import retrieve as R
@@ -125,3 +126,53 @@ def test_generators_have_a_deadline_and_may_fail(spark):
     got = {r.request_id: (r.answer, r.failure) for r in G.generated(asked, generate, deadline=0.5).collect()}
     assert got == {"fine": ("FINE", None), "slow": (None, "generator_timeout"), "broken": (None, "generator_failed"), "silent": (None, "generator_failed")}
     assert G.generated(asked.limit(0), generate).count() == 0
+
+
+def test_trigrams_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["brand", "brandy", "grand", "stand", "sand", "xylem", "quartz", "opal", "jade", "pearl"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(0, 9))) for _ in range(120)] + [None, "", "brand " + "zyx" * 40]
+    asked = [" ".join(rng.choices(words, k=rng.randrange(0, 5))) + " brand"[: rng.randrange(7)] for _ in range(40)]
+    chunks = spark.createDataFrame([(f"c{i}", "s", ["public"] if i % 5 else ["private"], t) for i, t in enumerate(texts)], "chunk_id string, source_id string, acl_labels array<string>, text string")
+    requests = spark.createDataFrame([(f"r{i}", q, ["public"], []) for i, q in enumerate(asked)], "request_id string, query string, grants array<string>, source_ids array<string>")
+    grams = lambda t: {f"  {w} "[i : i + 3] for w in (t or "").split() for i in range(len(w) + 1)}
+    for floor in (0.3, 0.75, 1.0):
+        expected = {}
+        for i, q in enumerate(asked):
+            for j, t in enumerate(texts):
+                a, b = grams(q), grams(t)
+                if j % 5 and a & b and len(a & b) / len(a | b) >= floor:
+                    expected[f"r{i}", f"c{j}"] = len(a & b) / len(a | b)
+        assert {(r.request_id, r.chunk_id): r.score for r in R.trigram_hits(requests, chunks, floor).collect()} == expected
+
+
+def test_full_text_against_plain_clauses(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["apple", "banana", "cherry", "damson", "elder", "fig"]
+    texts = [" ".join(rng.choices(words, [9, 5, 3, 2, 1, 1], k=rng.randrange(0, 8))) for _ in range(80)] + [None, ""]
+    asked = [" ".join(rng.choice(["", "", "-"]) + rng.choice([w, w, f'"{w} {rng.choice(words)}"']) for w in rng.choices(words, k=rng.randrange(1, 4))) for _ in range(40)] + ["fig or elder", "apple -banana or cherry", "missing apple", "", "-apple"]
+
+    def matches(query, text):
+        groups, either = [], False
+        for part in re.findall(r'-?"[^"]*"|\S+', query):
+            if part == "or":
+                either = True
+                continue
+            phrase = part.strip('-"')
+            if either and groups:
+                groups[-1][1].append(phrase)
+            else:
+                groups.append((part.startswith("-"), [phrase]))
+            either = False
+        there = lambda p: f" {p} " in f" {text or ''} "
+        return any(not n for n, _ in groups) and all(any(there(p) for p in ps) != n for n, ps in groups)
+
+    chunks = spark.createDataFrame([(f"c{i}", "s", ["public"] if i % 5 else ["private"], t) for i, t in enumerate(texts)], "chunk_id string, source_id string, acl_labels array<string>, text string")
+    requests = spark.createDataFrame([(f"r{i}", q, ["public"], []) for i, q in enumerate(asked)], "request_id string, query string, grants array<string>, source_ids array<string>")
+    expected = {(f"r{i}", f"c{j}") for i, q in enumerate(asked) for j, t in enumerate(texts) if j % 5 and matches(q, t)}
+    got = [(r.request_id, r.chunk_id) for r in R.full_text(requests, chunks).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 50
