@@ -78,6 +78,12 @@ CTES = {
     "readable": "SELECT r.request_id, c.chunk_id FROM reqs r JOIN corpus c ON list_has_any(c.acl, r.grants) AND (len(r.source_ids) = 0 OR list_contains(r.source_ids, c.source))",
     "tf": "SELECT chunk_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT chunk_id, greatest(1, len(terms)) AS length, unnest(terms) AS term FROM corpus) GROUP BY chunk_id, term",
     "asked": "SELECT request_id, unnest(asked) AS term FROM reqs",
+    # covers of the two least terms of a request
+    "pairs": "SELECT request_id, chunk_id, list_slice(list_sort(asked), 1, 2) AS two, terms FROM reqs JOIN readable USING (request_id) JOIN corpus USING (chunk_id) WHERE len(asked) > 0 AND list_has_all(terms, list_slice(list_sort(asked), 1, 2))",
+    "places": "SELECT request_id, chunk_id, pos, term, len(two) AS n_two, row_number() OVER (PARTITION BY request_id, chunk_id ORDER BY pos) AS k FROM (SELECT request_id, chunk_id, two, unnest(terms) AS term, unnest(range(1, len(terms) + 1)) AS pos FROM pairs) WHERE list_contains(two, term)",
+    "ends": "SELECT a.request_id, a.chunk_id, a.pos AS e, a.k AS ke, any_value(a.n_two) AS n_two, b.term, max(b.pos) AS p, max(b.k) AS kp FROM places a JOIN places b ON a.request_id = b.request_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY a.request_id, a.chunk_id, a.pos, a.k, b.term",
+    "covers": "SELECT request_id, chunk_id, e, min(p) AS s, ke - min(kp) + 1 AS n FROM ends GROUP BY request_id, chunk_id, e, ke HAVING count(*) = any_value(n_two)",
+    "minimal": "SELECT request_id, chunk_id, s, min(e) AS e, arg_min(n, e) AS n FROM covers GROUP BY request_id, chunk_id, s",
     "stats": "SELECT request_id, count(*) AS n, avg(greatest(1, len(terms))) AS average_length FROM readable JOIN corpus USING (chunk_id) GROUP BY request_id",
     "df": "SELECT request_id, term, count(*) AS df FROM readable JOIN tf USING (chunk_id) JOIN asked USING (request_id, term) GROUP BY request_id, term",
     "bm25": """SELECT request_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average_length))) AS lexical_score
@@ -113,7 +119,7 @@ CTES = {
         FROM (SELECT *, p_size + 1970 + p_partkey % 3 * 5 AS y FROM part WHERE p_partkey % 20 = 0)""",
 }
 _NEEDS = {
-    "corpus": ["docs"], "readable": ["corpus", "reqs"], "tf": ["corpus"], "asked": ["reqs"], "stats": ["readable"], "df": ["readable", "tf", "asked"], "bm25": ["df", "stats"], "lexical": ["bm25"],
+    "corpus": ["docs"], "readable": ["corpus", "reqs"], "tf": ["corpus"], "asked": ["reqs"], "pairs": ["readable"], "places": ["pairs"], "ends": ["places"], "covers": ["ends"], "minimal": ["covers"], "stats": ["readable"], "df": ["readable", "tf", "asked"], "bm25": ["df", "stats"], "lexical": ["bm25"],
     "near": ["readable"], "dense": ["near"], "fused": ["lexical", "dense"], "hits": ["fused"], "wide": ["hits"], "confidence": ["wide"], "ordered": ["wide"], "fold": ["ordered"], "last": ["fold"], "chosen": ["last"],
     "newest": ["staged", "runs"],
 }

@@ -10,8 +10,10 @@ aggregated by class and summed by scope, so no request is ever paired with every
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quarry.functions import access as A
 from quarry.functions import text as T
@@ -22,6 +24,7 @@ from quarry.plans.shared import written
 # Fixed values of the ranking formulas.
 K1, B, FUSION_K, DENSE_FLOOR, TRIGRAM_FLOOR = 1.2, 0.75, 60, 0.15, 0.3
 POOL_FACTOR, POOL_LEAST = 5, 25
+DENSITY = 0.1
 #: Decimals to which scores are compared: sums of floats differ in the last bits with their order.
 PLACES = 9
 
@@ -217,6 +220,41 @@ def full_text(requests: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.join(lines, "chunk_id").join(parsed.drop("scope"), "request_id").where(holds).select("request_id", "chunk_id")
 
 
+@F.pandas_udf(DoubleType())
+def cover_density(asked: pd.Series, terms: pd.Series) -> pd.Series:
+    """Of (alternatives of each clause, terms of a text): the sum of DENSITY / (1 + other terms inside) over the covers.
+
+    A cover is a stretch that has an alternative of each clause and no shorter one inside. One pass over the terms.
+    """
+
+    def one(groups, words) -> float:
+        words = list(words)
+        phrases = [[str(a).split(" ") for a in g] for g in groups]
+        known = {w for g in phrases for p in g for w in p}
+        last, before, total, newest = [-1] * len(phrases), [0], 0.0, -1
+        for end, word in enumerate(words):
+            before.append(before[-1] + (word in known))
+            if word not in known:
+                continue
+            for c, g in enumerate(phrases):
+                last[c] = max([last[c], *(end + 1 - len(p) for p in g if word == p[-1] and words[max(0, end + 1 - len(p)) : end + 1] == p)])
+            start = min(last, default=-1)
+            if start > newest:
+                newest = start
+                total += DENSITY / (1 + (end + 1 - start) - (before[end + 1] - before[start]))
+        return total
+
+    return pd.Series([one(a, t) for a, t in zip(asked, terms, strict=True)], dtype="float64")
+
+
+def density_top(requests: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(request_id, chunk_id, score, rank): full-text hits by cover density, as many of each request as its pool has; ties by chunk_id."""
+    own = F.transform(F.filter(clauses(F.col("query")), lambda c: ~c["negated"]), lambda c: c["alternatives"])
+    asked = requests.select("request_id", "top_k", own.alias("own"))
+    pairs = full_text(requests, chunks).join(asked, "request_id").join(analysed(chunks).select("chunk_id", "terms"), "chunk_id")
+    return top(pairs.withColumn("score", cover_density("own", "terms")), "score", pool(F.col("top_k")), "rank").select("request_id", "chunk_id", "score", "rank")
+
+
 def trigram_hits(requests: DataFrame, chunks: DataFrame, floor: float = TRIGRAM_FLOOR) -> DataFrame:
     """(request_id, chunk_id, score) of readable chunks by the trigrams they share.
 

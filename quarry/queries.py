@@ -245,6 +245,13 @@ def fts_all_terms(spark, sf):
     return R.full_text(asked, corpus(spark, sf))
 
 
+@query(with_ctes("""SELECT request_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (
+    SELECT request_id, chunk_id, sum(0.1::DOUBLE / (1 + m.e + 1 - m.s - m.n)) AS score FROM minimal m GROUP BY request_id, chunk_id)) WHERE rank <= 40""", "minimal"))
+def cover_density(spark, sf):
+    asked = requests(spark, sf).withColumn("query", F.array_join(F.slice(T.lexical_terms(F.col("query")), 1, 2), " "))
+    return R.density_top(asked, corpus(spark, sf)).select("request_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 def _part_texts(spark, sf) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf, "part").withColumn("text", F.concat_ws(" ", "p_name", "p_brand"))
     chunks = rows.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("chunk_id"), F.lit("parts").alias("source_id"), F.array(F.lit("public")).alias("acl_labels"), "text")

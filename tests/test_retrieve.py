@@ -176,3 +176,25 @@ def test_full_text_against_plain_clauses(spark):
     expected = {(f"r{i}", f"c{j}") for i, q in enumerate(asked) for j, t in enumerate(texts) if j % 5 and matches(q, t)}
     got = [(r.request_id, r.chunk_id) for r in R.full_text(requests, chunks).collect()]
     assert len(got) == len(set(got)) and set(got) == expected and len(expected) > 50
+
+
+def test_cover_density(spark):
+    def density(groups, text):
+        """Every stretch that has all clauses and loses one when it loses an end."""
+        words, has = text.split(), lambda w: all(any(f" {a} " in f" {' '.join(w)} " for a in g) for g in groups)
+        known = {x for g in groups for a in g for x in a.split()}
+        covers = [words[i:j] for i in range(len(words)) for j in range(i + 1, len(words) + 1) if has(words[i:j]) and not has(words[i + 1 : j]) and not has(words[i : j - 1])]
+        return sum(0.1 / (1 + sum(x not in known for x in c)) for c in covers)
+
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(200):
+        groups = [[" ".join(rng.choices("abc", k=rng.randrange(1, 3))) for _ in range(rng.randrange(1, 3))] for _ in range(rng.randrange(1, 4))]
+        rows.append((groups, " ".join(rng.choices("abcxyz", k=rng.randrange(0, 14)))))
+    got = spark.createDataFrame([(i, g, t.split()) for i, (g, t) in enumerate(rows)], "i int, g array<array<string>>, t array<string>").select("i", R.cover_density("g", "t").alias("d")).collect()
+    assert all(math.isclose(r.d, density(*rows[r.i]), abs_tol=1e-12) for r in got) and sum(r.d > 0 for r in got) > 50
+    requests, chunks = tables(spark, ('apple recipe -secret or "apple notes"', ["owner:me", "public"], [], None), ("apple", ["owner:me"], [], None))
+    top = {(r.request_id, r.chunk_id): (r.score, r.rank) for r in R.density_top(requests, chunks).collect()}
+    assert top["r1", "a:1"] == (0.2, 1)
