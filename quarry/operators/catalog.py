@@ -186,11 +186,11 @@ def search(requests: DataFrame, parts: DataFrame, limit: int = 5, least: float =
 
 def answer(requests: DataFrame, parts: DataFrame, limit: int = 5) -> DataFrame:
     """request_id, outcome, answer, cited, retrieval_score: a line for each hit with its id in brackets, checked like any answer."""
-    hits = search(requests, parts, limit).join(parts.select("part_id", "name"), "part_id")
+    hits = search(requests, parts, limit).join(parts.select("part_id", "name").hint("merge"), "part_id")
     line = F.struct("rank", F.concat(F.lit("- "), F.col("name"), F.lit(" ["), F.col("part_id"), F.lit("]")).alias("line"))
     found = hits.groupBy("request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("answer"), F.collect_set("part_id").alias("allowed"), F.max("confidence").alias("retrieval_score"))
     cited = T.citations(F.col("answer"), T.PART_CITATION_PATTERN)
-    joined = requests.select("request_id").join(found, "request_id", "left")
+    joined = requests.select("request_id").join(found.hint("merge"), "request_id", "left")
     outcome = F.when(F.col("answer").isNull(), "no_evidence").otherwise(grounding(cited, F.col("allowed")))
     return joined.select("request_id", outcome.alias("outcome"), "answer", F.coalesce(cited, F.array().cast("array<string>")).alias("cited"), F.coalesce("retrieval_score", F.lit(0.0)).alias("retrieval_score"))
 
