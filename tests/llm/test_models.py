@@ -258,3 +258,29 @@ def test_lm_edges(spark, odd, empty, big_ids):
     assert got == {(None, 11), (1, 11), (2, 1), (None, 1), (3, 2)}
     held = spark.createDataFrame([(i, "a b") for i in range(200) if brute.crc(i, 7) == 2][:3], "doc_id long, text string")
     assert all((r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) for r in M.lm_scores(held).collect())
+
+
+def test_ngram_weights_are_fitted_to_every_training_token(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_BYTES", 4096)  # many blocks
+    seen, real = [], M.settled
+    monkeypatch.setattr(M, "settled", lambda tally: (seen.append(tally), real(tally))[1])
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 60)) for i in range(200)], "doc_id long, text string").repartition(2)
+    got = M.lm_scores(docs).collect()
+    trained = {r.train_tokens for r in got}
+    assert len(seen) == 1 and trained == {n for tally in seen for n in tally.sum((1, 2))} and trained != {0}
+
+
+def test_tallies_give_the_weights_of_plain_em():
+    rng = np.random.default_rng(3)
+    contexts = rng.integers(0, 50, (3, 20_000))
+    counts = rng.binomial(contexts, rng.random((3, 20_000)) ** 4)
+    p = 10 ** -(1 + 3 * rng.random(20_000))
+    got, plain = M.settled(M.tallies(p, counts, contexts)), p
+    for k in range(3):
+        at, share, w = M.bins(contexts[k]), counts[k] / np.maximum(contexts[k], 1), np.full(M.BINS, 0.5)
+        w[0] = 0
+        for _ in range(40):
+            own = w[at] * share
+            w = np.bincount(at, own / (own + (1 - w[at]) * plain), M.BINS) / (np.bincount(at, minlength=M.BINS) + 5)
+        assert np.abs(got[k] - w)[: at.max() + 1].max() < 0.002
+        plain = M.mixed(plain, counts[k : k + 1], contexts[k : k + 1], got[k : k + 1])
