@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 
@@ -270,6 +271,37 @@ def test_ngram_weights_are_fitted_to_every_training_token(spark, monkeypatch):
     assert len(seen) == 1 and trained == {n for tally in seen for n in tally.sum((1, 2))} and trained != {0}
 
 
+def shuffled(spark):
+    """The shuffled files that are on disk."""
+    every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {x for x in every if "/shuffle_" in x}
+
+
+def test_shuffles_are_freed_before_the_next_step(spark, monkeypatch):
+    """Each step finds no file that an earlier one shuffled; the session's setting is as before."""
+    left, old, key = [], shuffled(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def watch(name):
+        real = getattr(M, name)
+
+        def run(*args):
+            end = time.monotonic() + 10  # executors delete them a little later
+            while shuffled(spark) - old and time.monotonic() < end:
+                time.sleep(0.1)
+            left.append((name, len(shuffled(spark) - old)))
+            return real(*args)
+
+        monkeypatch.setattr(M, name, run)
+
+    for name in ("train", "weights_of", "scored"):
+        watch(name)
+    setting = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 60)) for i in range(200)], "doc_id long, text string").repartition(2)
+    result = M.lm_scores(docs)
+    assert left == [("train", 0), ("weights_of", 0), ("scored", 0)] and spark.conf.get(key) == setting
+    assert result.count() == result.count() == 200  # it may run twice
+
+
 def test_tallies_give_the_weights_of_plain_em():
     rng = np.random.default_rng(3)
     contexts = rng.integers(0, 50, (3, 20_000))
