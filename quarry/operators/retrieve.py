@@ -281,8 +281,28 @@ def trigram_hits(requests: DataFrame, chunks: DataFrame, floor: float = TRIGRAM_
     return rows.select("access", "digest", "chunk_id").join(near, ["access", "digest"]).select("request_id", "chunk_id", "score")
 
 
-def lexical_with_fallback(requests: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Full-text hits, and trigram hits of the requests that have none: request_id, chunk_id, score, mode."""
-    exact = written(full_text(requests, chunks), "full-text")
-    open_ = written(requests.join(exact.select("request_id").distinct(), "request_id", "left_anti"), "unanswered")
-    return exact.select("request_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("full_text").alias("mode")).unionByName(trigram_hits(open_, chunks).withColumn("mode", F.lit("trigram")))
+#: Most requests whose ids are sent to every executor; beyond it their join shuffles.
+BROADCAST_REQUESTS = 200_000
+
+
+def lexical_with_fallback(requests: DataFrame, chunks: DataFrame, places: int | None = None) -> DataFrame:
+    """Full-text hits, and trigram hits of the requests that have none: request_id, chunk_id, score (to that many places), mode.
+
+    Equal queries of a scope are asked once, and of equal texts of an access class one; pairs of those, with their scores, are
+    written. What is left is to list them for each copy: chunks first, then requests, so that the whole result is never shuffled
+    while the requests' ids are few enough to be broadcast.
+    """
+    asked = scoped(requests).select("request_id", "query", "grants", "source_ids", "scope")
+    rows = classed(chunks).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    questions = written(asked.dropDuplicates(["scope", "query"]).withColumn("request_id", F.expr("uuid()")), "questions")
+    texts = written(rows.dropDuplicates(["access", "digest"]).select(F.expr("uuid()").alias("chunk_id"), "source_id", "acl_labels", "text", "access", "digest"), "texts")
+    exact = written(full_text(questions, texts), "full-text")
+    open_ = written(questions.join(exact.select("request_id").distinct(), "request_id", "left_anti"), "unanswered")
+    found = exact.select("request_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("full_text").alias("mode")).unionByName(trigram_hits(open_, texts).withColumn("mode", F.lit("trigram")))
+    score = F.col("score") if places is None else F.round("score", places)
+    pairs = written(found.select(F.col("request_id").alias("question"), F.col("chunk_id").alias("of_text"), score.alias("score"), "mode"), "pairs")
+    alike = rows.select("chunk_id", "access", "digest").join(texts.select("access", "digest", F.col("chunk_id").alias("of_text")), ["access", "digest"]).select("of_text", "chunk_id")
+    asking = written(asked.select("request_id", "scope", "query").join(questions.select("scope", "query", F.col("request_id").alias("question")), ["scope", "query"]).select("question", "request_id"), "asking")
+    if asking.count() <= BROADCAST_REQUESTS:
+        asking = F.broadcast(asking)
+    return pairs.join(alike, "of_text").join(asking, "question").select("request_id", "chunk_id", "score", "mode")

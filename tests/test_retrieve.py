@@ -69,6 +69,23 @@ def test_fallback_to_trigrams(spark):
     assert sorted((r.request_id, r.chunk_id, r["mode"]) for r in R.lexical_with_fallback(requests, chunks).collect()) == [("r0", "a:2", "trigram"), ("r1", "a:1", "full_text")]
 
 
+def test_fallback_asks_equal_queries_of_equal_texts_once(spark, monkeypatch):
+    """Copies of requests and texts are listed, not searched again; scopes and access classes stay apart."""
+    seen = {}
+    for name in ("full_text", "trigram_hits"):
+        monkeypatch.setattr(R, name, lambda requests, chunks, name=name, real=getattr(R, name): (seen.update({name: (requests.count(), chunks.count())}), real(requests, chunks))[1])
+    asked = [(f"{q}{i}", q, ["public"], []) for q in ("green pear", "gren paer trees") for i in range(30)] + [("mine", "green pear", ["owner:me"], []), ("null", None, ["public"], [])]
+    texts = [(f"{label}{i}", "s", [label], "green pear trees") for label, n in (("public", 40), ("owner:me", 3)) for i in range(n)] + [("none", "s", ["public"], None)]
+    requests = spark.createDataFrame(asked, "request_id string, query string, grants array<string>, source_ids array<string>")
+    chunks = spark.createDataFrame(texts, "chunk_id string, source_id string, acl_labels array<string>, text string")
+    due = {(f"{q}{i}", f"public{j}", mode) for q, mode in (("green pear", "full_text"), ("gren paer trees", "trigram")) for i in range(30) for j in range(40)} | {("mine", f"owner:me{j}", "full_text") for j in range(3)}
+    for most in (R.BROADCAST_REQUESTS, 0):  # ids broadcast or shuffled
+        monkeypatch.setattr(R, "BROADCAST_REQUESTS", most)
+        got = [(r.request_id, r.chunk_id, r["mode"]) for r in R.lexical_with_fallback(requests, chunks).collect()]
+        assert len(got) == len(due) and set(got) == due
+    assert seen == {"full_text": (4, 3), "trigram_hits": (2, 3)}
+
+
 def hits(spark, rows):
     return spark.createDataFrame([("r", i + 1, c, d, "s", t, True) for i, (c, d, t) in enumerate(rows)], "request_id string, rank int, chunk_id string, document_id string, source_id string, text string, supported boolean")
 
