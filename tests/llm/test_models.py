@@ -302,6 +302,30 @@ def test_shuffles_are_freed_before_the_next_step(spark, monkeypatch):
     assert result.count() == result.count() == 200  # it may run twice
 
 
+def test_gathered_gradients_equal_plain_sums():
+    """Rows that occur once, a few times and very often."""
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 4096):
+        rows = np.minimum(rng.zipf(1.3, n), 5000).astype(np.int64)
+        gradient = rng.normal(size=(n, 32)).astype(np.float32)
+        at, uses, got = M.gathered(rows, gradient)
+        due = np.zeros((5001, 32))
+        np.add.at(due, rows, gradient)
+        assert sorted(at.tolist()) == np.unique(rows).tolist() and (uses == np.bincount(rows)[at]).all()
+        assert np.allclose(got, due[at], atol=1e-3)
+
+
+def test_places_in_order_give_each_key_its_value():
+    """Also keys whose bits and places don't fit in one number."""
+    rng = np.random.default_rng(7)
+    for bits, top in ((40, 1 << 12), (62, 1 << 62)):
+        keys = rng.integers(0, top, 5000).astype(np.uint64)
+        keys = np.concatenate([keys, keys[:200], keys[:100] ^ np.uint64(1)])
+        every, order, new = M.in_order(keys, bits)
+        assert (every == np.unique(keys)).all() and (keys[order] == np.sort(keys)).all() and new.sum() == len(every)
+        assert (M.spread(every, order, new) == keys).all()
+
+
 def test_tallies_give_the_weights_of_plain_em():
     rng = np.random.default_rng(3)
     contexts = rng.integers(0, 50, (3, 20_000))
