@@ -42,6 +42,8 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES, HOT_RUNS = 16 << 20, 200_000
 #: Bytes that one vectorised step looks at; of suffixes that are sorted together (more if one anchor has more).
 PIECE, SORT_BYTES = 1 << 20, 1 << 20
+#: Places of segments that one step looks at; of a passage that is everywhere, a block may have as many as bytes.
+STEP_PLACES = 1 << 18
 _U = np.uint64
 
 
@@ -197,18 +199,22 @@ def _joined(own, offset, parts):
 
 
 class Runs:
-    """All runs of windows of a block's texts: owner, first and last window in the text, and the anchor's number (lead + 32 bits)."""
+    """All runs of windows of a block's texts: owner, first and last window in the text, and the anchor's number (lead + 32 bits).
+    Every window of a run of one byte is a run of its own, so there may be as many as bytes."""
 
     def __init__(self, texts: list[bytes], lead: int):
-        found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, _U),)]
+        found = [(np.zeros(0, np.int32),) * 3 + (np.zeros(0, _U),)]
         for own, offset, data, starts, ends in pieces(texts):
             first, last, hashes = anchors(np.frombuffer(data, np.uint8), np.array(starts), np.array(ends))
             k = np.searchsorted(starts, first, "right") - 1
             shift = np.array(offset)[k] - np.array(starts)[k]
-            found.append((np.array(own)[k], first + shift, last + shift, hashes >> _U(32 - lead)))
-        self.owner, self.first, self.last, self.number = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((*(x.astype(np.int32) for x in (np.array(own)[k], first + shift, last + shift)), hashes >> _U(32 - lead)))
+        columns = [list(x) for x in zip(*found, strict=True)]
+        del found
+        self.number = np.concatenate(columns.pop())
         order = np.argsort(self.number, kind="stable")
-        self.owner, self.first, self.last, self.number = self.owner[order], self.first[order], self.last[order], self.number[order]
+        self.number = self.number[order]
+        self.last, self.first, self.owner = (np.concatenate(columns.pop())[order] for _ in range(3))
         self.heads = np.flatnonzero(np.append(True, self.number[1:] != self.number[:-1])) if len(order) else np.zeros(0, np.int64)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -300,15 +306,34 @@ def _unpacked(row) -> list[bytes]:
 
 
 def _one_by_one(texts: list[bytes], owner: np.ndarray, first: np.ndarray, last: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, place and number of every window of the runs, numbered by a hash of the window's bytes."""
-    size = last - first + LENGTH
-    ends = np.cumsum(size)
-    data = np.frombuffer(b"".join(texts[o][f : t + LENGTH] for o, f, t in zip(owner.tolist(), first.tolist(), last.tolist(), strict=True)), np.uint8)
-    n = last - first + 1
-    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    sums, at = prefix_sums(data), np.repeat(ends - size, n) + step
-    hashes = mix(mix((sums[at + LENGTH] - sums[at]) * powers(len(data))[1][at]) + _U(0x2545F4914F6CDD1D))
-    return np.repeat(owner, n), np.repeat(first, n) + step, hashes >> _U(32 - lead)
+    """Owner, place and number of every window of the runs, numbered by a hash of the window's bytes. Runs overlap, up to LENGTH times; texts are read once, in pieces."""
+    base = np.cumsum([0, *map(len, texts)])
+    edges = np.zeros(base[-1] + 1, np.int8)  # of the runs: +1 at the first window, -1 after the last one
+    edges[base[owner] + first] += 1
+    edges[base[owner] + last + 1] -= 1
+    wanted = np.cumsum(edges, dtype=np.int8, out=edges).view(bool)
+    found = [(np.zeros(0, np.int32),) * 2 + (np.zeros(0, _U),)]
+    for own, offset, data, starts, ends in pieces(texts):
+        here = np.zeros(len(data), bool)
+        for o, f, a, b in zip(own, offset, starts, ends, strict=True):
+            if b - a >= LENGTH:
+                here[a : b - LENGTH + 1] = wanted[base[o] + f : base[o] + f + b - a - LENGTH + 1]
+        at = np.flatnonzero(here)
+        k = np.searchsorted(starts, at, "right") - 1
+        sums = prefix_sums(np.frombuffer(data, np.uint8))
+        hashes = mix(mix((sums[at + LENGTH] - sums[at]) * powers(len(data))[1][at]) + _U(0x2545F4914F6CDD1D))
+        found.append((np.array(own)[k].astype(np.int32), (np.array(offset)[k] + at - np.array(starts)[k]).astype(np.int32), hashes >> _U(32 - lead)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _kinds(number: np.ndarray, owner: np.ndarray, first: np.ndarray, last: np.ndarray, texts: list[bytes]) -> tuple[dict[tuple[int, bytes], int], np.ndarray]:
+    """Numbers for segments that differ in anchor or bytes, in the order they are met, and the number at each place."""
+    seen: dict[tuple[int, bytes], int] = {}
+    places = np.empty(len(number), np.int32)
+    for at in range(0, len(number), STEP_PLACES):
+        part = slice(at, at + STEP_PLACES)
+        places[part] = [seen.setdefault((x, texts[o][f : t + LENGTH]), len(seen)) for x, o, f, t in zip(_low(number[part]).tolist(), owner[part].tolist(), first[part].tolist(), last[part].tolist(), strict=True)]
+    return seen, places
 
 
 def segments(flags: DataFrame, blocks: DataFrame, lead: int) -> DataFrame:
@@ -333,16 +358,19 @@ def segments(flags: DataFrame, blocks: DataFrame, lead: int) -> DataFrame:
             owner, first, last, number = runs.owner[take], runs.first[take], runs.last[take], runs.number[take]
             if hot.any():
                 take = np.flatnonzero(np.repeat(hot, each) & has_id)
-                more = _one_by_one(texts, runs.owner[take], runs.first[take], runs.last[take], lead)
+                several = runs.owner[take], runs.first[take], runs.last[take]
+                del runs, take
+                more = _one_by_one(texts, *several, lead)
+                del several
                 owner, first, last, number = (np.concatenate(x) for x in zip((owner, first, last, number), (more[0], more[1], more[1], more[2]), strict=True))
+                del more
                 order = np.argsort(number, kind="stable")
                 owner, first, last, number = owner[order], first[order], last[order], number[order]
             if not len(number):
                 continue
             held = []
             for bucket, a, b in _by_bucket(number):
-                seen: dict[tuple, int] = {}
-                places = np.array([seen.setdefault((x, texts[o][f : t + LENGTH]), len(seen)) for x, o, f, t in zip(_low(number[a:b]).tolist(), owner[a:b].tolist(), first[a:b].tolist(), last[a:b].tolist(), strict=True)])
+                seen, places = _kinds(number[a:b], owner[a:b], first[a:b], last[a:b], texts)
                 order = np.argsort(places, kind="stable")
                 uses = np.bincount(places)
                 o = owner[a:b][order]
@@ -425,26 +453,42 @@ def smallest_ids(numbers: list[int], texts: list[bytes], least: np.ndarray) -> t
 
 
 def _covered(marks: pd.DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: documents (by their number in it), starts and ends of ranges that go, in order of document and start."""
+    """Of a block: documents (by their number in it), starts and ends of the maximal ranges that go, in order of document and start."""
     if not len(marks):
         return (np.zeros(0, np.int64),) * 3
     own = marks["bucket"] < 0
-    uses, docs, starts = (unpack(marks.loc[own, c].iloc[0]).astype(np.int64) for c in ("uses", "docs", "starts"))
+    uses, docs, starts = (unpack(marks.loc[own, c].iloc[0]) for c in ("uses", "docs", "starts"))
     found = marks[~own].sort_values("bucket")
     parts, lengths = (np.concatenate([unpack(x) for x in found[c]]).astype(np.int64) for c in ("parts", "lengths"))
     values = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.int64) for x in found["ids"]])
     head = np.cumsum(parts) - parts
     before = np.cumsum(lengths) - lengths
     offset = before - np.repeat(before[head], parts)  # of each run of windows in its segment
-    of = np.repeat(np.arange(len(parts)), uses)  # the segment at each place
-    place = np.repeat(np.arange(len(of)), parts[of])
-    run = np.repeat(head[of] - np.cumsum(parts[of]) + parts[of], parts[of]) + np.arange(len(place))
-    gone = values[run] < ids[docs[place]]
-    place, run = place[gone], run[gone]
-    docs, starts = docs[place], starts[place] + offset[run]
-    ends = starts + lengths[run] + LENGTH - 1
+    until = np.cumsum(uses.astype(np.int64))
+    out = [(np.zeros(0, np.int64),) * 3]
+    for at in range(0, len(docs), STEP_PLACES):
+        d, s = docs[at : at + STEP_PLACES].astype(np.int64), starts[at : at + STEP_PLACES].astype(np.int64)
+        of = np.searchsorted(until, np.arange(at, at + len(d)), "right")  # the segment at each place
+        n = parts[of]
+        place = np.repeat(np.arange(len(of)), n)
+        run = np.repeat(head[of] - np.cumsum(n) + n, n) + np.arange(len(place))
+        gone = values[run] < ids[d[place]]
+        place, run = place[gone], run[gone]
+        begin = s[place] + offset[run]
+        out.append(_united(d[place], begin, begin + lengths[run] + LENGTH - 1))
+    return _united(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+def _united(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same ranges in order of document and start, those that overlap or touch as one."""
+    if not len(docs):
+        return docs, starts, ends
     order = np.lexsort((starts, docs))
-    return docs[order], starts[order], ends[order]
+    docs, starts, ends = docs[order], starts[order], ends[order]
+    base = docs << 32  # texts have fewer than 2^31 bytes
+    reach = np.maximum.accumulate(base + ends)
+    new = np.append(True, base[1:] + starts[1:] > reach[:-1])
+    return docs[new], starts[new], (reach - base)[np.append(new[1:], True)]
 
 
 def cut(marks: DataFrame, blocks: DataFrame, with_text: bool) -> DataFrame:
@@ -458,12 +502,9 @@ def cut(marks: DataFrame, blocks: DataFrame, with_text: bool) -> DataFrame:
             for i, text in enumerate(_unpacked(row)):
                 a, b = np.searchsorted(docs, i), np.searchsorted(docs, i, "right")
                 kept, spans, removed, at = [], 0, 0, 0
-                if a < b:
-                    reach = np.maximum.accumulate(ends[a:b])
-                    new = np.append(True, starts[a + 1 : b] > reach[:-1])
-                    for s, e in zip(starts[a:b][new].tolist(), reach[np.append(new[1:], True)].tolist(), strict=True):
-                        kept.append(text[at:s])
-                        spans, removed, at = spans + 1, removed + e - s, e
+                for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True):
+                    kept.append(text[at:s])
+                    spans, removed, at = spans + 1, removed + e - s, e
                 kept = b"".join([*kept, text[at:]])
                 out.append((None if none[i] else int(ids[i]), len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] * with_text)))
         result = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])

@@ -202,6 +202,38 @@ def test_anchors_of_many_runs_are_dealt_out_run_by_run(spark, docs, rows, monkey
     assert got == brute.repeats(more) and all(v[1] >= len(footer) for i, v in got.items() if i)
 
 
+def test_runs_of_one_byte_take_memory_in_step_with_their_text():
+    import tracemalloc
+
+    import quarry.llm.suffix_dedup as S
+
+    texts = [f"{i * 7919} a table begins here and ends {'-' * 2000}".encode() for i in range(200)]
+    runs = S.Runs(texts, 9)
+    tracemalloc.start()
+    try:
+        owner, place, number = S._one_by_one(texts, runs.owner, runs.first, runs.last, 9)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 200e6
+    by = {}
+    for o, p, n in zip(owner.tolist(), place.tolist(), number.tolist(), strict=True):
+        by.setdefault(texts[o][p : p + 50], set()).add(n)
+    assert len(set(zip(owner.tolist(), place.tolist(), strict=True))) == len(owner) == sum(len(t) - 49 for t in texts)
+    assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+
+
+def test_runs_of_one_byte_are_removed(spark, monkeypatch):
+    import quarry.llm.suffix_dedup as S
+
+    for name, value in (("HOT_RUNS", 300), ("BLOCK_BYTES", 5000), ("PIECE", 700), ("STEP_PLACES", 64)):
+        monkeypatch.setattr(S, name, value)
+    rows = [(i, f"{i * 7919} a table {'-' * (40 + i * 3)} {'=' * (i % 7 * 20)} ends here {i * i} {'ab' * (i % 5 * 30)}") for i in range(120)]
+    rows += [(500, "-" * 2000), (501, "ab" * 1000), (502, None)]
+    got = table(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.repeats(rows) and any(v[2] > 1 for v in got.values())
+
+
 def test_suffix_edges(odd, empty, big_ids):
     assert {r.doc_id for r in suffix_dedup(big_ids).collect()} == {None, BIG, -BIG}
     assert suffix_dedup(empty).count() == 0
