@@ -283,6 +283,8 @@ def trigram_hits(requests: DataFrame, chunks: DataFrame, floor: float = TRIGRAM_
 
 #: Most requests whose ids are sent to every executor; beyond it their join shuffles.
 BROADCAST_REQUESTS = 200_000
+#: Copies of a text that are listed together, and rows that are listed by a task, about.
+COPIES, LISTED = 256, 4_000_000
 
 
 def lexical_with_fallback(requests: DataFrame, chunks: DataFrame, places: int | None = None) -> DataFrame:
@@ -290,19 +292,30 @@ def lexical_with_fallback(requests: DataFrame, chunks: DataFrame, places: int |
 
     Equal queries of a scope are asked once, and of equal texts of an access class one; pairs of those, with their scores, are
     written. What is left is to list them for each copy: chunks first, then requests, so that the whole result is never shuffled
-    while the requests' ids are few enough to be broadcast.
+    while the requests' ids are few enough to be broadcast. The listing makes many rows of few, so its tasks follow the rows that
+    are due, not the bytes read: copies are dealt out in blocks of a text, and each pair goes to all blocks of its text.
     """
     asked = scoped(requests).select("request_id", "query", "grants", "source_ids", "scope")
     rows = classed(chunks).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     questions = written(asked.dropDuplicates(["scope", "query"]).withColumn("request_id", F.expr("uuid()")), "questions")
-    texts = written(rows.dropDuplicates(["access", "digest"]).select(F.expr("uuid()").alias("chunk_id"), "source_id", "acl_labels", "text", "access", "digest"), "texts")
+    alone = rows.groupBy("access", "digest").agg(*(F.first(c).alias(c) for c in ("source_id", "acl_labels", "text")), F.count("*").alias("copies"))
+    kinds = written(alone.withColumn("chunk_id", F.expr("uuid()")), "texts")
+    texts = kinds.drop("copies")
     exact = written(full_text(questions, texts), "full-text")
     open_ = written(questions.join(exact.select("request_id").distinct(), "request_id", "left_anti"), "unanswered")
     found = exact.select("request_id", "chunk_id", F.lit(1.0).alias("score"), F.lit("full_text").alias("mode")).unionByName(trigram_hits(open_, texts).withColumn("mode", F.lit("trigram")))
     score = F.col("score") if places is None else F.round("score", places)
     pairs = written(found.select(F.col("request_id").alias("question"), F.col("chunk_id").alias("of_text"), score.alias("score"), "mode"), "pairs")
-    alike = rows.select("chunk_id", "access", "digest").join(texts.select("access", "digest", F.col("chunk_id").alias("of_text")), ["access", "digest"]).select("of_text", "chunk_id")
     asking = written(asked.select("request_id", "scope", "query").join(questions.select("scope", "query", F.col("request_id").alias("question")), ["scope", "query"]).select("question", "request_id"), "asking")
+    sizes = kinds.select(F.col("chunk_id").alias("of_text"), "access", "digest", "copies", F.ceil(F.col("copies") / COPIES).alias("blocks"))
+    sized = pairs.join(sizes.select("of_text", "copies", "blocks"), "of_text")
+    due = sized.join(asking.groupBy("question").agg(F.count("*").alias("asked")), "question").agg(F.sum(F.col("copies") * F.col("asked"))).first()[0] or 0
+    tasks = max(requests.sparkSession.sparkContext.defaultParallelism, -(-due // LISTED))
+    block = F.pmod(F.xxhash64("chunk_id"), F.col("blocks"))
+    copies = rows.select("chunk_id", "access", "digest").join(sizes, ["access", "digest"]).select("of_text", block.alias("block"), "chunk_id")
+    dealt = sized.select("question", "of_text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "score", "mode")
+    key = ["of_text", "block"]
+    listed = dealt.repartition(tasks, *key).hint("merge").join(copies.repartition(tasks, *key), key)
     if asking.count() <= BROADCAST_REQUESTS:
         asking = F.broadcast(asking)
-    return pairs.join(alike, "of_text").join(asking, "question").select("request_id", "chunk_id", "score", "mode")
+    return listed.join(asking, "question").select("request_id", "chunk_id", "score", "mode")

@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 from quarry.operators import ground as G
 from quarry.operators import retrieve as R
@@ -86,6 +87,18 @@ def test_fallback_asks_equal_queries_of_equal_texts_once(spark, monkeypatch):
     assert seen == {"full_text": (4, 3), "trigram_hits": (2, 3)}
 
 
+def test_listing_copies_is_dealt_out_by_rows_due(spark, monkeypatch):
+    """One text in one file, asked by equal queries: blocks of its copies are listed by several tasks, each pair once."""
+    monkeypatch.setattr(R, "COPIES", 16, raising=False)
+    monkeypatch.setattr(R, "LISTED", 500, raising=False)
+    requests = spark.createDataFrame([(f"r{i}", "gren paer trees", ["public"], []) for i in range(40)], "request_id string, query string, grants array<string>, source_ids array<string>")
+    chunks = spark.createDataFrame([(f"c{j}", "s", ["public"], "green pear trees") for j in range(300)], "chunk_id string, source_id string, acl_labels array<string>, text string").coalesce(1)
+    got = R.lexical_with_fallback(requests, chunks, 6).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 12_000 and {(r.request_id, r.chunk_id) for r in got} == {(f"r{i}", f"c{j}") for i in range(40) for j in range(300)}
+    assert {(r.score, r["mode"]) for r in got} == {(got[0].score, "trigram")}
+    assert max(Counter(r.task for r in got).values()) < 6_000
+
+
 def hits(spark, rows):
     return spark.createDataFrame([("r", i + 1, c, d, "s", t, True) for i, (c, d, t) in enumerate(rows)], "request_id string, rank int, chunk_id string, document_id string, source_id string, text string, supported boolean")
 
